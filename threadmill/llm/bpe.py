@@ -29,11 +29,11 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Words beyond so many bytes are merged with a heap.
 LONG = 192
 #: Entries beyond which a worker's memo of words starts anew; it saves time only.
-MEMO = 400_000
+MEMO = 300_000
 #: Rows of one matrix of words.
 BLOCK = 16_384
 #: Characters of text whose new words are merged together.
-SLICE = 4_000_000
+SLICE = 2_000_000
 _NONE, _PAD = (1 << 31) - 1, (1 << 20) - 1
 
 
@@ -70,8 +70,8 @@ class ByteBpe:
         for text, i in self.special.items():
             self.token[i] = text.encode()
         self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.unsafe: set[str] = set()
+        self.heads: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def merge_all(self, words: list[bytes]) -> list[bytes]:
         """Token ids of pre-split words, each as little-endian u32."""
@@ -143,19 +143,24 @@ class ByteBpe:
             at = m.end()
         return out + self.split.findall(text[at:])
 
-    def _learn(self, keys: list[str]) -> None:
-        """Put the ids of these texts in the memo."""
-        cut, known = {k: self._cut(k) for k in keys}, self.pieces
+    def _learn(self, heads: set[str], tails: set[str]) -> None:
+        """Put the ids of texts, and of texts after a space, in the memo."""
+        cut: list[tuple[dict[str, bytes], str, list[str]]] = []
+        plain = not any(x in y for x in self.special for y in ("\n".join(heads), "\n".join(tails)))
+        for memo, keys, space in ((self.heads, heads, ""), (self.tails, tails, " ")):
+            for k in keys:
+                if k.isalpha():
+                    cut.append((memo, k, [space + k]))
+                elif k[:-1].isalpha() and k[-1] in ".,":
+                    cut.append((memo, k, [space + k[:-1], k[-1]]))
+                else:
+                    cut.append((memo, k, self.split.findall(space + k) if plain else self._cut(space + k)))
+        known = self.pieces
         known.update((k, i.to_bytes(4, "little")) for k, i in self.special.items())
-        new = [p for p in {p for x in cut.values() for p in x} if p not in known]
+        new = [*{p for _, _, pieces in cut for p in pieces if p not in known}]
         known.update(zip(new, self.merge_all([p.encode() for p in new])))
-        for k, pieces in cut.items():
-            self.chunks[k] = known[pieces[0]] if len(pieces) == 1 else b"".join(map(known.__getitem__, pieces))
-
-    @staticmethod
-    def _chunks(text: str) -> list[str]:
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]]
+        for memo, k, pieces in cut:
+            memo[k] = known[pieces[0]] if len(pieces) == 1 else b"".join(map(known.__getitem__, pieces))
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian u32.
@@ -165,30 +170,23 @@ class ByteBpe:
         """
         at = 0
         while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and size < SLICE:
-                size, end = size + len(texts[end]), end + 1
-            if len(self.chunks) + len(self.pieces) > MEMO:
-                self.chunks.clear()
-                self.pieces.clear()
-                self.unsafe.clear()
-            new: set[str] = set()
-            whole: set[int] = set()
-            for i in range(at, end):
-                keys = {*self._chunks(texts[i])}
-                fresh = [k for k in keys if k not in self.chunks]
-                self.unsafe.update(k for k in fresh if k and (k == " " or k[-1].isspace() or (k[0] == " " and k[1].isspace())))
-                if self.unsafe.isdisjoint(keys):
-                    new.update(fresh)
-                else:
-                    whole.add(i)
-                    new.add(texts[i])
-            self._learn([k for k in new if k not in self.chunks])
-            for i in range(at, end):
-                yield self.chunks[texts[i]] if i in whole else b"".join(map(self.chunks.__getitem__, self._chunks(texts[i])))
-            for i in whole:
-                self.chunks.pop(texts[i], None)
-            at = end
+            cuts, size = [], 0
+            while at < len(texts) and size < SLICE:
+                head, *tails = texts[at].split(" ")
+                cuts.append((head, tails))
+                size, at = size + len(texts[at]), at + 1
+            if len(self.tails) + len(self.pieces) > MEMO:
+                for memo in (self.tails, self.pieces, self.heads):
+                    memo.clear()
+            used = set().union(*(x for _, x in cuts))
+            unsafe = {k for k in used if not k or k[0].isspace() or k[-1].isspace()}
+            for i, (head, tails) in enumerate(cuts):
+                if tails and (not head or head[-1].isspace() or not unsafe.isdisjoint(tails)):
+                    cuts[i] = (" ".join([head, *tails]), [])
+            self._learn({x for x, _ in cuts if x not in self.heads}, {x for x in used - unsafe if x not in self.tails})
+            for head, tails in cuts:
+                yield b"".join([self.heads[head], *map(self.tails.__getitem__, tails)])
+            self.heads.clear()
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))
