@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threadmill.llm import bpe, simhash, substrings
+from threadmill.llm import bpe, kdtree, records, simhash, substrings
 
 #: The vocabulary that the queries use; operators take any path.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,14 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), VOCABULARY)
 
 
+def op5_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.round_trip(documents(spark, sf_dir), VOCABULARY)
+
+
+def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.eight_shards(documents(spark, sf_dir))
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_ids(documents(spark, sf_dir))
 
@@ -31,6 +39,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op5_record_files": op5_record_files,
+    "op6_kd_shards": op6_kd_shards,
     "op7_simhash_groups": op7_simhash_groups,
     "op10_substring_dedup": op10_substring_dedup,
 }
