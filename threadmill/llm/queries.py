@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threadmill.llm import bpe, kdtree, records, simhash, substrings
+from threadmill.llm import bpe, kdtree, mixing, records, simhash, substrings, topk
 
 #: The vocabulary that the queries use; operators take any path.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,14 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_ids(documents(spark, sf_dir))
 
 
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(documents(spark, sf_dir))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.every_twentieth(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(documents(spark, sf_dir))
 
@@ -42,6 +50,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_record_files": op5_record_files,
     "op6_kd_shards": op6_kd_shards,
     "op7_simhash_groups": op7_simhash_groups,
+    "op8_mixture": op8_mixture,
+    "op9_top_k": op9_top_k,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
