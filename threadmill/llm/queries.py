@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threadmill.llm import bpe, kdtree, mixing, records, simhash, substrings, topk
+from threadmill.llm import bpe, kdtree, langid, mixing, perplexity, records, simhash, substrings, topk
 
 #: The vocabulary that the queries use; operators take any path.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,14 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), VOCABULARY)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out(documents(spark, sf_dir))
+
+
+def op4_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.rules(documents(spark, sf_dir))
+
+
 def op5_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.round_trip(documents(spark, sf_dir), VOCABULARY)
 
@@ -47,6 +55,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op3_language_id": op3_language_id,
+    "op4_perplexity_rules": op4_perplexity_rules,
     "op5_record_files": op5_record_files,
     "op6_kd_shards": op6_kd_shards,
     "op7_simhash_groups": op7_simhash_groups,
@@ -55,4 +65,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-SQL: dict[str, str] = {}
+#: Operators that learn models or use XXH64, CRC-32 or a tokenizer file have no SQL; tests hold them against brute force.
+SQL: dict[str, str] = {
+    "op9_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2]))::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+        QUALIFY rank <= 20""",
+    "op10_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), p AS (
+            SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20
+        ), g AS (
+            SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i : i + 19], ' ') ORDER BY doc_id, i) AS k FROM p
+        ), c AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS at FROM g WHERE k > 1
+        ), x AS (
+            SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM d
+        ), kept AS (
+            SELECT x.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY x.at) AS text FROM x ANTI JOIN c ON x.doc_id = c.doc_id AND x.at = c.at GROUP BY 1
+        )
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+}
