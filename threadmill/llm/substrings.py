@@ -120,7 +120,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, finish: C
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in found])), part.column(0).take(pa.array(owner)), pa.array(np.concatenate([p for _, p in found]).astype(np.int32))], ["anchor", "id", "at"])
 
     seen = docs.select(id_col, text_col).mapInArrow(anchors, f"anchor bigint, id {kind}, at int")
-    again = seen.groupBy("anchor").count().where("count > 1").select("anchor")
+    again = materialise(seen.groupBy("anchor").count().where("count > 1").select("anchor"), "again")
     seeds = materialise(seen.join(again, "anchor").groupBy("id").agg(F.collect_list("at").alias("seeds")), "seeds")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
