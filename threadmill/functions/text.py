@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[\p{L}\p{N}_]"
 #: The emoji blocks that count.
@@ -38,13 +39,13 @@ def clean_comment(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"\x00", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalise_nfkc(s: pd.Series) -> pd.Series:
     """NFKC; there is no built-in function for it."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalise_nfkd(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
 
