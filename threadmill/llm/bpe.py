@@ -28,12 +28,8 @@ from pyspark.sql import functions as F
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words beyond so many bytes are merged with a heap.
 LONG = 192
-#: Entries beyond which a worker's memo of words starts anew; it saves time only.
-MEMO = 300_000
 #: Rows of one matrix of words.
 BLOCK = 16_384
-#: Characters of text whose new words are merged together.
-SLICE = 2_000_000
 _NONE, _PAD = (1 << 31) - 1, (1 << 20) - 1
 
 
@@ -47,6 +43,11 @@ def _byte_symbols() -> dict[str, int]:
 class ByteBpe:
     """Encoder and decoder of one vocabulary file."""
 
+    #: Entries beyond which the memo of words shrinks to those of the text at hand; it saves time only.
+    memo = 400_000
+    #: Characters of text whose new words are merged together.
+    slice = 2_000_000
+
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -144,23 +145,29 @@ class ByteBpe:
         return out + self.split.findall(text[at:])
 
     def _learn(self, heads: set[str], tails: set[str]) -> None:
-        """Put the ids of texts, and of texts after a space, in the memo."""
+        """Put the ids of texts, and of texts after a space, in the memos. A piece that begins with a space is kept as a tail, so that no word is kept twice."""
         cut: list[tuple[dict[str, bytes], str, list[str]]] = []
         plain = not any(x in y for x in self.special for y in ("\n".join(heads), "\n".join(tails)))
-        for memo, keys, space in ((self.heads, heads, ""), (self.tails, tails, " ")):
-            for k in keys:
-                if k.isalpha():
-                    cut.append((memo, k, [space + k]))
-                elif k[:-1].isalpha() and k[-1] in ".,":
-                    cut.append((memo, k, [space + k[:-1], k[-1]]))
-                else:
-                    cut.append((memo, k, self.split.findall(space + k) if plain else self._cut(space + k)))
-        known = self.pieces
-        known.update((k, i.to_bytes(4, "little")) for k, i in self.special.items())
-        new = [*{p for _, _, pieces in cut for p in pieces if p not in known}]
-        known.update(zip(new, self.merge_all([p.encode() for p in new])))
+        after, alone = self.tails, self.pieces
+        alone.update((k, i.to_bytes(4, "little")) for k, i in self.special.items())
+        whole: list[str] = []
+        for k in tails:
+            if k.isalpha():
+                whole.append(k)
+            elif k[-1] in ".," and k[:-1].isalpha():
+                cut.append((after, k, [" " + k[:-1], k[-1]]))
+            else:
+                cut.append((after, k, self.split.findall(" " + k) if plain else self._cut(" " + k)))
+        cut += [(self.heads, k, self.split.findall(k) if plain else self._cut(k)) for k in heads]
+        needed = {p for _, _, pieces in cut for p in pieces}
+        spaced = {*whole, *(p[1:] for p in needed if p[0] == " " and len(p) > 1 and p[1:] not in after)}
+        bare = [p for p in needed if (p[0] != " " or len(p) == 1) and p not in alone]
+        order = [*spaced]
+        made = self.merge_all([*((" " + p).encode() for p in order), *(p.encode() for p in bare)])
+        after.update(zip(order, made))
+        alone.update(zip(bare, made[len(order) :]))
         for memo, k, pieces in cut:
-            memo[k] = known[pieces[0]] if len(pieces) == 1 else b"".join(map(known.__getitem__, pieces))
+            memo[k] = b"".join([after[p[1:]] if p[0] == " " and len(p) > 1 else alone[p] for p in pieces])
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian u32.
@@ -171,19 +178,22 @@ class ByteBpe:
         at = 0
         while at < len(texts):
             cuts, size = [], 0
-            while at < len(texts) and size < SLICE:
+            while at < len(texts) and size < self.slice:
                 head, *tails = texts[at].split(" ")
                 cuts.append((head, tails))
                 size, at = size + len(texts[at]), at + 1
-            if len(self.tails) + len(self.pieces) > MEMO:
-                for memo in (self.tails, self.pieces, self.heads):
-                    memo.clear()
             used = set().union(*(x for _, x in cuts))
-            unsafe = {k for k in used if not k or k[0].isspace() or k[-1].isspace()}
+            if len(self.tails) > self.memo:
+                self.tails = {k: self.tails[k] for k in used if k in self.tails}
+            if len(self.pieces) > self.memo:
+                self.pieces = {}
+            known = self.tails
+            new = {x for x in used if x not in known}
+            unsafe = {k for k in new if not k.isalpha() and (not k or k[0].isspace() or k[-1].isspace())}
             for i, (head, tails) in enumerate(cuts):
-                if tails and (not head or head[-1].isspace() or not unsafe.isdisjoint(tails)):
+                if tails and (not head or head[-1].isspace() or (unsafe and not unsafe.isdisjoint(tails))):
                     cuts[i] = (" ".join([head, *tails]), [])
-            self._learn({x for x, _ in cuts if x not in self.heads}, {x for x in used - unsafe if x not in self.tails})
+            self._learn({x for x, _ in cuts}, new - unsafe)
             for head, tails in cuts:
                 yield b"".join([self.heads[head], *map(self.tails.__getitem__, tails)])
             self.heads.clear()

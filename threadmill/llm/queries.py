@@ -81,9 +81,9 @@ SQL: dict[str, str] = {
         WITH d AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
         ), p AS (
-            SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20
+            SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, unnest(list_transform(range(1, len(w) - 18), lambda i: md5(array_to_string(w[i : i + 19], ' ')))) AS "window" FROM d WHERE len(w) >= 20
         ), g AS (
-            SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i : i + 19], ' ') ORDER BY doc_id, i) AS k FROM p
+            SELECT doc_id, i, row_number() OVER (PARTITION BY "window" ORDER BY doc_id, i) AS k FROM p
         ), c AS (
             SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS at FROM g WHERE k > 1
         ), x AS (

@@ -38,6 +38,8 @@ _LANE = 1024
 class LibraryBpe(ByteBpe):
     """The same memo of words, filled by the ``tokenizers`` library."""
 
+    memo, slice = 900_000, 4_000_000
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -196,7 +198,7 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
                     if left:
                         raise ValueError(f"{name} ends within a record")
 
-    return tasks.repartitionByRange(F.col("part")).mapInArrow(run, f"`{id_col}` bigint, start bigint, n_tokens bigint, ids binary")
+    return tasks.repartition(max(1, files.count())).mapInArrow(run, f"`{id_col}` bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def round_trip(df: DataFrame, vocabulary: str) -> DataFrame:
