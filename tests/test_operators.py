@@ -177,3 +177,29 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     assert got["rows"] == 60
     events.to_parquet(events.new_rows(events.read(spark, f"{tmp_path}/in", batch.schema), "ts", "10 days", "k", "o"), f"{tmp_path}/out", f"{tmp_path}/cp2").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == batch.dropDuplicates(["k", "o"]).count()
+
+
+def test_ingest_twice_adds_nothing(spark, tmp_path):
+    from threadmill.operators import ingest
+
+    ddl = "seq bigint, client string, platform string, platform_id string, text string"
+    new = table(spark, [(1, "a", "f", "x", "t"), (2, "a", "g", "x", "t"), (3, "b", "f", "x", "u")])
+    assert ingest.append(spark, f"{tmp_path}/t", new, ddl).count() == 2
+    assert ingest.append(spark, f"{tmp_path}/t", new, ddl).count() == 2
+    raw = spark.createDataFrame([("p", "ann", 3)], "post_id string, author string, rating int")
+    r = ingest.comments(raw).first()
+    assert (r.platform_id, r.text, r.likes, r.author.username) == ("p_unknown", "", 0, "ann") and json.loads(r.raw_data)["rating"] == 3
+    a = ingest.author({"user_id": F.lit("7"), "username": F.lit(""), "screen_name": F.lit("ann")})
+    assert one(spark, a).asDict() == {"platform_id": "7", "username": "ann", "display_name": None, "profile_url": None, "profile_image": None}
+
+
+def test_density_clusters(spark):
+    v = spark.createDataFrame([(i, [1.0, i / 100], "g") for i in range(4)] + [(9, [0.0, 1.0], "g")], "vec_id int, embedding array<double>, label string")
+    assert {r.vec_id: r.cluster for r in similarity.dbscan(v, 0.1, 3, "label").collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 9: -1}
+
+
+def test_command_line(capsys):
+    from threadmill.__main__ import main
+
+    main(["list-formats"])
+    assert capsys.readouterr().out.split() == ["csv", "json", "jsonl", "parquet"]

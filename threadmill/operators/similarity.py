@@ -112,3 +112,29 @@ def condense(df: DataFrame, threshold: float, partition: str, id_col: str = "vec
 
     kinds = dict(df.dtypes)
     return df.select(partition, id_col, vec_col).groupBy(partition).applyInPandas(greedy, f"{partition} {kinds[partition]}, {id_col} {kinds[id_col]}, leader {kinds[id_col]}")
+
+
+def dbscan(df: DataFrame, eps: float, min_samples: int, partition: str, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Density clusters by cosine distance within each partition value; -1 is noise. A cluster is named by its smallest core id. Partitions must be of bounded size, as each is one matrix."""
+    import numpy as np
+    import pandas as pd
+
+    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(id_col)
+        m = np.array(pdf[vec_col].tolist(), float)
+        m /= np.maximum(np.linalg.norm(m, axis=1), 1e-12)[:, None]
+        near = m @ m.T >= 1 - eps
+        core = near.sum(1) >= min_samples
+        label = np.full(len(m), -1)
+        for i in np.flatnonzero(core):
+            if label[i] < 0:
+                reached, front = np.zeros(len(m), bool), np.zeros(len(m), bool)
+                front[i] = True
+                while front.any():
+                    reached |= front
+                    front = near[front & core].any(0) & ~reached if (front & core).any() else np.zeros(len(m), bool)
+                label[reached & (label < 0)] = pdf[id_col].iloc[i]
+        return pd.DataFrame({partition: pdf[partition], id_col: pdf[id_col], "cluster": label})
+
+    kinds = dict(df.dtypes)
+    return df.select(partition, id_col, vec_col).groupBy(partition).applyInPandas(cluster, f"{partition} {kinds[partition]}, {id_col} {kinds[id_col]}, cluster long")

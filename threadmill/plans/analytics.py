@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadmill.functions import text as tx
-from threadmill.operators import commenters, export, metrics, similarity, store, validate
+from threadmill.operators import commenters, export, ingest, metrics, similarity, store, validate
 from threadmill.plans.core import ACTIVITY, COMMENTS, register
 from threadmill.sources import adapters as a
 from threadmill.sources import files
@@ -292,3 +292,31 @@ def _(s, d):
 @register("registry_last_wins", "SELECT c_nationkey, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) = 1")
 def _(s, d):
     return store.keep_last(a.table(s, d, "customer"), ["c_nationkey"], "c_custkey").select("c_nationkey", "c_custkey")
+
+
+@register("density_clusters")
+def _(s, d):
+    return similarity.dbscan(a.table(s, d, "embeddings"), 0.5, 3, "label")
+
+
+@register("ingest_normalised", "SELECT conv_id AS post_id, CASE WHEN turn % 2 = 0 THEN turn::VARCHAR ELSE conv_id || '_unknown' END AS platform_id, role AS username, 0::BIGINT AS likes FROM conversations")
+def _(s, d):
+    raw = a.table(s, d, "conversations").select(F.col("conv_id").alias("post_id"), F.when(F.col("turn") % 2 == 0, F.col("turn").cast("string")).alias("id"), F.col("role").alias("author"), "text")
+    return ingest.comments(raw).select("post_id", "platform_id", F.col("author.username").alias("username"), "likes")
+
+
+@register("ingest_selected", "SELECT o_orderkey AS platform_id FROM orders JOIN (SELECT o_custkey, max(o_orderdate) AS mark FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) USING (o_custkey) WHERE o_orderdate >= mark AND o_orderkey % 2 = 1 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0)")
+def _(s, d):
+    p = a.posts(s, d)
+    old = p.where("platform_id % 2 = 0")
+    marks = old.groupBy("account_id").agg(F.max("published_at").alias("last_post_date"))
+    return ingest.selected(p, marks, old).select("platform_id")
+
+
+@register("ingest_totals", f"""
+    WITH o AS (SELECT * FROM {COMMENTS} WHERE seq % 3 = 0 AND seq % 50 < 25), n AS (SELECT * FROM {COMMENTS} WHERE post_id NOT IN (SELECT post_id FROM o))
+    SELECT (SELECT count(DISTINCT post_id) FROM {COMMENTS}) AS posts_scraped, count(*) AS comments_found, count(*) AS new_saved, 0::BIGINT AS duplicates_skipped FROM n""")
+def _(s, d):
+    c = a.comments(s, d)
+    p = c.select(F.col("post_id").alias("platform_id")).distinct()
+    return ingest.totals(p, c, c.where("seq % 3 = 0 AND seq % 50 < 25"))
