@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -28,6 +29,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/threadmill/{name}-{uuid.uuid4().hex}"
 
 
+def scratch_uri(spark: SparkSession, name: str) -> str:
+    """The same as a URI, for readers and writers in tasks that take no other paths."""
+    path = scratch(spark, name)
+    return path if path.split("/")[0].endswith(":") else f"file://{os.path.abspath(path)}"
+
+
 #: Lets Spark delete an execution's shuffle files when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

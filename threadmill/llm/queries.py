@@ -72,6 +72,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Operators that learn models or use XXH64, CRC-32 or a tokenizer file have no SQL; tests hold them against brute force.
 SQL: dict[str, str] = {
+    "op8_mixture": r"""
+        WITH RECURSIVE t AS (
+            SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens, md5('7|' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+        ), s AS (
+            SELECT source, sum(tokens)::BIGINT AS tokens, ceil(greatest(sum(tokens), 1) / 262144)::BIGINT AS blocks FROM t GROUP BY 1
+        ), p AS (
+            SELECT list(ln(tokens / total)) AS l, count(*) AS n, max(tokens) AS top FROM (SELECT *, sum(tokens) OVER () AS total FROM s WHERE tokens > 0)
+        ), entropy(i, low, high) AS (
+            SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+            UNION ALL
+            SELECT i + 1, CASE WHEN ok THEN mid ELSE low END, CASE WHEN ok THEN high ELSE mid END FROM (
+                SELECT i, low, high, mid, ln(list_sum(z)) - mid * list_sum(list_transform(list_zip(z, l), lambda x: x[1] * x[2])) / list_sum(z) >= 0.95 * ln(n) AS ok FROM (
+                    SELECT i, low, high, mid, l, n, list_transform(l, lambda x: exp(mid * x)) AS z FROM (SELECT *, (low + high) / 2 AS mid FROM entropy, p WHERE i < 24)))
+        ), first AS (
+            SELECT CASE WHEN n <= 1 OR -list_sum(list_transform(l, lambda x: exp(x) * x)) >= 0.95 * ln(n) THEN 1.0 ELSE floor((SELECT low FROM entropy WHERE i = 24) * 1e6) / 1e6 END AS a, list_max(l) - list_min(l) AS gap, top FROM p
+        ), repeats(i, low, high) AS (
+            SELECT 0, a, 1.0::DOUBLE FROM first
+            UNION ALL
+            SELECT i + 1, CASE WHEN ok THEN low ELSE mid END, CASE WHEN ok THEN mid ELSE high END FROM (SELECT i, low, high, (low + high) / 2 AS mid, exp((1 - (low + high) / 2) * gap) <= 4 AS ok FROM repeats, first WHERE i < 24)
+        ), a AS (
+            SELECT CASE WHEN exp((1 - a) * gap) <= 4 THEN a ELSE ceil((SELECT high FROM repeats WHERE i = 24) * 1e6) / 1e6 END AS a, top FROM first
+        ), w AS (
+            SELECT source, blocks, tokens, budget, CASE WHEN tokens = 0 THEN 1 ELSE budget // tokens END AS epochs, CASE WHEN tokens = 0 THEN 0 ELSE budget % tokens END AS rest
+            FROM (SELECT *, CASE WHEN tokens = 0 THEN 0 ELSE greatest(round(tokens * pow(top / tokens, 1 - a))::BIGINT, tokens) END AS budget FROM s, a)
+        ), b AS (
+            SELECT t.*, blocks, epochs, rest, ('0x' || left(key, 12))::BIGINT % blocks AS block FROM t JOIN w USING (source)
+        ), e AS (
+            SELECT source, block, size, epochs, rest, unnest(range(0, epochs + 1)) AS epoch FROM (SELECT source, block, epochs, rest, sum(b.tokens)::BIGINT AS size FROM b GROUP BY ALL)
+        ), r AS (
+            SELECT *, row_number() OVER o AS block_rank, sum(size) OVER o - size AS before FROM e WINDOW o AS (PARTITION BY source, epoch ORDER BY md5('7|' || source || '|' || epoch || '|' || block), block ROWS UNBOUNDED PRECEDING)
+        )
+        SELECT doc_id, source, tokens, epoch::INTEGER AS epoch, block, block_rank::INTEGER AS block_rank FROM (
+            SELECT b.doc_id, b.source, b.tokens, r.epoch, b.block, r.block_rank, r.epoch < r.epochs OR before + size <= r.rest OR (before < r.rest AND before + sum(b.tokens) OVER (PARTITION BY b.source, b.block, r.epoch ORDER BY b.key) <= r.rest) AS ok
+            FROM b JOIN r ON b.source = r.source AND b.block = r.block WHERE r.epoch < r.epochs OR before < r.rest)
+        WHERE ok""",
     "op9_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings

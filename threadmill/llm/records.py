@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadmill.llm.bpe import ByteBpe
-from threadmill.llm.common import scratch
+from threadmill.llm.common import scratch_uri
 
 _HEAD = "<Bq"
 #: Bytes that are read from a file at once, and checked together.
@@ -204,7 +204,6 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
 def round_trip(df: DataFrame, vocabulary: str) -> DataFrame:
     """Write all documents to a new folder below the shared one, and read the files back."""
     spark = df.sparkSession
-    path = scratch(spark, "records")
-    path = path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
+    path = scratch_uri(spark, "records")
     write(df, path, vocabulary)
     return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -14,7 +14,6 @@ smallest vector counts, of candidates that share an id each row does; ties go to
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import materialise, scratch
+from threadmill.llm.common import materialise, scratch_uri
 
 #: Queries of a file, candidates of a tile, lists that one merge takes.
 QUERIES, TILE, FAN_IN = 2048, 8192, 64
@@ -73,8 +72,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: float
     spark = candidates.sparkSession
     clean = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where(F.col("id").isNotNull() & _usable(F.col("vec")))
     asked = materialise(clean(queries).groupBy("id").agg(F.min("vec").alias("vec")), "asked")
-    path = scratch(spark, "queries")
-    path = path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
+    path = scratch_uri(spark, "queries")
     asked.repartition(max(1, -(-asked.count() // QUERIES))).write.parquet(path)
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
