@@ -38,7 +38,7 @@ _LANE = 1024
 class LibraryBpe(ByteBpe):
     """The same memo of words, filled by the ``tokenizers`` library."""
 
-    memo, slice = 900_000, 4_000_000
+    memo, slice = 1_200_000, 4_000_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,10 +50,26 @@ class LibraryBpe(ByteBpe):
         self.library.no_padding()
 
     def merge_all(self, words: list[bytes]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(words), 4096):
-            found = self.library.encode_batch_fast([w.decode() for w in words[at : at + 4096]], add_special_tokens=False)
-            out += [array("I", x.ids).tobytes() for x in found]
+        """Words of a space and letters go to the library many at a time, as one text whose words it numbers; others one by one."""
+        texts = [w.decode() for w in words]
+        out: list[bytes] = [b""] * len(words)
+        plain = [i for i, t in enumerate(texts) if t[0] == " " and t[1:].isalpha()]
+        runs = [plain[at : at + 256] for at in range(0, len(plain), 256)]
+        single = sorted({*range(len(texts))} - {*plain})
+        for at in range(0, len(runs), 16):
+            some = runs[at : at + 16]
+            for run, x in zip(some, self.library.encode_batch(["".join(texts[i] for i in run) for run in some], add_special_tokens=False)):
+                cuts = np.searchsorted(np.array(x.word_ids), np.arange(len(run) + 1)).tolist()
+                if x.word_ids[-1] + 1 != len(run):
+                    single += run
+                    continue
+                ids = array("I", x.ids).tobytes()
+                for i, a, b in zip(run, cuts, cuts[1:]):
+                    out[i] = ids[4 * a : 4 * b]
+        for at in range(0, len(single), 4096):
+            some = single[at : at + 4096]
+            for i, x in zip(some, self.library.encode_batch_fast([texts[i] for i in some], add_special_tokens=False)):
+                out[i] = array("I", x.ids).tobytes()
         return out
 
 
