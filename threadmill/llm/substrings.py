@@ -135,7 +135,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, finish: C
     hinted = docs.join(seeds.withColumnsRenamed({"id": "__id", "seeds": "__seeds"}), docs[id_col] == F.col("__id"), "left")
     window = hinted.where("__seeds is not null").mapInArrow(windows, f"a bigint, b bigint, id {kind}, start int")
     earliest = window.groupBy("a", "b").agg(F.min("id").alias("id"), F.min_by("start", "id").alias("start"))
-    firsts = earliest.groupBy("id").agg(F.collect_list("start").alias("__firsts")).withColumnRenamed("id", "__of")
+    firsts = materialise(earliest.groupBy("id").agg(F.collect_list("start").alias("__firsts")).withColumnRenamed("id", "__of"), "firsts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
