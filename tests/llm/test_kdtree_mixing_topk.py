@@ -71,6 +71,14 @@ def test_mixing_edges(spark):
     assert mixing.schedule(odd.limit(0)).count() == 0
 
 
+def test_many_sources_are_split_in_parts(spark, monkeypatch):
+    rows = [(i, "w " * (i % 9), "hot" if i % 3 else f"s{i % 5}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    small = sorted(mixing.schedule(df).collect())
+    monkeypatch.setattr(mixing, "_MOST_SOURCES", 1)
+    assert sorted(mixing.schedule(df).collect()) == small and len(small) >= 120
+
+
 def brute(rows, k=20):
     whole = {i: [int(np.floor(64 * float(x))) for x in v] for i, v in rows}
     out = []

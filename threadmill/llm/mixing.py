@@ -19,6 +19,8 @@ from threadmill.llm.common import checkpointed, materialise, n_words
 
 #: Points that one job tries: four bisection steps at once.
 _POINTS = 15
+#: Sources up to which their table is broadcast (rows of under 100 bytes and a name); beyond, each row's source is split in so many parts.
+_MOST_SOURCES, _PARTS = 50_000, 64
 
 
 def _h(*parts: Column) -> Column:
@@ -72,6 +74,7 @@ class Mix:
         self.rows = materialise(df.select(F.col(id_col).alias("id"), self.source.alias("source"), n_words(F.col(text_col)).alias("tokens"), self.key.alias("key")), "tokens")
         sources = weights(self.rows.groupBy("source").agg(F.sum("tokens").alias("tokens")), entropy, max_repeats)
         self.sources = checkpointed(sources.withColumn("blocks", F.ceil(F.greatest("tokens", F.lit(1)) / block_tokens)))
+        self.n_sources = self.sources.count()
         placed = self.placed(self.rows)
         sums = checkpointed(placed.groupBy("source", "block").agg(F.sum("tokens").alias("size")))
         epochs = sums.join(self.sources.select("source", "epochs", "rest"), "source").select("source", "block", "size", "rest", F.col("epochs").alias("last"), F.explode(F.sequence(F.lit(0), F.col("epochs").cast("int"))).alias("epoch"))
@@ -87,9 +90,15 @@ class Mix:
         self.schedule = checkpointed(partly.select(F.col("source").alias("s"), F.col("block").alias("b"), "epoch", "block_rank", "upto"))
 
     def placed(self, rows: DataFrame) -> DataFrame:
-        """Adds each row's block within its source."""
+        """Adds each row's block within its source. A hot source is never dealt to one task: the table of sources is broadcast where it is small, else it is repeated for parts of a source."""
         block = F.pmod(F.conv(F.substring("key", 1, 12), 16, 10).cast("long"), F.col("blocks"))
-        return rows.join(self.sources.select(F.col("source").alias("of"), "blocks"), F.col("source") == F.col("of")).withColumn("block", block).drop("of", "blocks")
+        of = self.sources.select(F.col("source").alias("of"), "blocks")
+        same = F.col("source") == F.col("of")
+        if self.n_sources <= _MOST_SOURCES:
+            return rows.join(F.broadcast(of), same).withColumn("block", block).drop("of", "blocks")
+        parts = of.withColumn("of_part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
+        split = rows.withColumn("part", F.pmod(F.crc32("key"), F.lit(_PARTS)).cast("int"))
+        return split.join(parts, same & (F.col("part") == F.col("of_part"))).withColumn("block", block).drop("of", "blocks", "part", "of_part")
 
     def drawn(self, rows: DataFrame) -> DataFrame:
         """rows: with source and key. One row for each draw."""
