@@ -130,6 +130,11 @@ def test_similarity(spark):
     assert similarity.representatives(v, "label").first().vec_id == 2
 
 
+def test_members_of_word_sets(spark):
+    d = spark.createDataFrame([(1, "a b c d"), (2, "a b c e"), (3, None), (4, "D c b A"), (5, "a b c d a"), (6, "a b c d"), (7, " ")], "seq int, text string")
+    assert sorted((r.seq, r.set_id) for r in similarity.word_set_members(d).collect()) == [(1, 1), (2, 2), (4, 1), (5, 1), (6, 1)]
+
+
 def test_consistency_and_trend(spark):
     d = spark.createDataFrame([(1, "a", 1.0), (1, "b", 0.0), (2, "a", 1.0), (3, "a", 0.5), (3, "b", 0.6)], "author_id int, platform string, score double")
     assert {r.author_id: r.consistent for r in commenters.consistency(d).collect()} == {1: False, 2: None, 3: True}

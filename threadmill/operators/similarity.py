@@ -32,6 +32,12 @@ def jaccard_pairs(df: DataFrame, threshold: float, id_col: str = "seq") -> DataF
     return found.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def word_set_members(df: DataFrame, id_col: str = "seq") -> DataFrame:
+    """Every row with words, and ``set_id``: the smallest id of those with the same word set, by which ``jaccard_pairs`` names it. Rows of one set have similarity 1."""
+    sets = df.select(id_col, F.array_sort(words(F.col("text"))).alias("w")).where(F.size("w") > 0)
+    return sets.join(sets.groupBy("w").agg(F.min(id_col).alias("set_id")), "w").select(id_col, "set_id")
+
+
 def minhash_pairs(df: DataFrame, threshold: float = 0.7, tables: int = 16, id_col: str = "seq", seed: int = 42) -> DataFrame:
     """Approximate pairs by MinHash LSH, verified by exact Jaccard similarity."""
     d = df.select(F.col(id_col).alias("id"), words(F.col("text")).alias("words")).where(F.size("words") > 0)

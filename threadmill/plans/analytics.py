@@ -137,6 +137,11 @@ def _(s, d):
     return similarity.jaccard_pairs(c, 0.7).withColumn("similarity", F.round("similarity", 6))
 
 
+@register("jaccard_members", r"SELECT seq, min(seq) OVER (PARTITION BY w) AS set_id FROM (SELECT conv_id * 1000 + turn AS seq, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS w FROM conversations) WHERE len(w) > 0")
+def _(s, d):
+    return similarity.word_set_members(a.table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "text"))
+
+
 @register("cosine_pairs", """
     WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
     SELECT p.vec_id AS a, v.vec_id AS b, round(list_cosine_similarity(p.e, v.e), 6) AS similarity FROM v p JOIN v ON p.vec_id % 20 = 0 AND p.vec_id <> v.vec_id WHERE list_cosine_similarity(p.e, v.e) >= 0.8""")
