@@ -135,6 +135,15 @@ def test_members_of_word_sets(spark):
     assert sorted((r.seq, r.set_id) for r in similarity.word_set_members(d).collect()) == [(1, 1), (2, 2), (4, 1), (5, 1), (6, 1)]
 
 
+def test_gate_measures_its_figures(spark):
+    rows = [(f"{i}", "p1", f"text number {i}", "good", "x", 1) for i in range(8)] + [(f"{i}", "p1", "the same text", "copies", "x", 1) for i in range(8)]
+    rows += [(None if i < 2 else f"{i}", "p1", f"text number {i}", "invalid", None, 1) for i in range(8)] + [("1", None, "a text", None, "x", 1)]
+    d = spark.createDataFrame(rows, "platform_id string, post_id string, text string, client string, author_username string, likes int").withColumn("published_at", F.lit(None).cast("timestamp"))
+    got = {r.client: r for r in validate.measured_gate(d, "client").collect()}
+    assert {k: r.failures for k, r in got.items()} == {"good": [], "copies": ["duplicate_rate", "score"], "invalid": ["valid_rate", "author_rate", "score"], None: ["valid_rate"]}
+    assert (got["copies"].duplicate_rate, got["invalid"].valid_rate, got[None].score) == (0.875, 0.75, 75)
+
+
 def test_consistency_and_trend(spark):
     d = spark.createDataFrame([(1, "a", 1.0), (1, "b", 0.0), (2, "a", 1.0), (3, "a", 0.5), (3, "b", 0.6)], "author_id int, platform string, score double")
     assert {r.author_id: r.consistent for r in commenters.consistency(d).collect()} == {1: False, 2: None, 3: True}

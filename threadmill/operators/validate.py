@@ -104,6 +104,16 @@ def gate(df: DataFrame) -> DataFrame:
     return df.withColumn("failures", _messages((F.col("valid_rate") < 0.95, "valid_rate"), (F.col("duplicate_rate") > 0.01, "duplicate_rate"), (F.col("author_rate") < 0.80, "author_rate"), (F.col("score") < 70, "score")))
 
 
+def measured_gate(df: DataFrame, key: str, author: str = "author_username") -> DataFrame:
+    """The gate of each value of ``key`` over figures of all its comments: valid_rate, duplicate_rate, author_rate and score. A post is what its comments name; its text is any of theirs."""
+    posts_ = df.groupBy(key, F.col("post_id").alias("platform_id")).agg(F.max("text").alias("text"))
+    issues = post_issues(posts_, key).select(F.col(key).alias("__i"), "post_count", F.size("issues").alias("post_issues"))
+    valid = comments(df).groupBy(F.col(key).alias("__v")).agg((F.count_if("is_valid") / F.count("*")).alias("valid_rate"))
+    rates = comment_rates(df, key, author=author)
+    rates = rates.join(issues, F.col(key).eqNullSafe(F.col("__i"))).join(valid, F.col(key).eqNullSafe(F.col("__v"))).drop("__i", "__v")
+    return gate(quality(rates, F.col("post_count"), F.col("post_issues")))
+
+
 def request_errors(df: DataFrame, platforms: tuple[str, ...]) -> DataFrame:
     """Errors of requests. df: name, identifier, platform, max_posts, max_comments, since, until."""
     bare = F.regexp_replace("identifier", "^@+", "")

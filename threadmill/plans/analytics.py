@@ -294,6 +294,21 @@ def _(s, d):
     return validate.gate(g.withColumns({"valid_rate": F.lit(1.0), "author_rate": F.lit(1.0), "score": F.lit(100)})).select("client", "failures")
 
 
+@register("quality_gate_measured", f"""
+    WITH h AS (SELECT client, left(coalesce(text, ''), 50) AS head, count(*) AS n, count(*) FILTER (client NOT IN ('', 'unknown')) AS authors,
+                      count(*) FILTER (platform_id IS NOT NULL AND post_id IS NOT NULL AND coalesce(likes, 0) >= 0) AS valid FROM {COMMENTS} GROUP BY ALL),
+    p AS (SELECT client, count(*) AS posts, (count(*) FILTER (coalesce(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '') = '') > count(*) * 0.5)::INT + (count(*) FILTER (post_id IS NULL) > 0)::INT AS issues
+          FROM (SELECT client, post_id, max(text) AS text FROM {COMMENTS} GROUP BY ALL) GROUP BY 1),
+    r AS (SELECT client, sum(n) AS comments, sum(valid) / sum(n) AS v, sum(n - 1) / sum(n) AS d, sum(authors) / sum(n) AS a FROM h GROUP BY 1),
+    q AS (SELECT r.*, greatest(0, 80 - 5 * issues - CASE WHEN a < 0.7 THEN 15 ELSE 0 END - CASE WHEN d > 0.1 THEN 25 ELSE 0 END - CASE WHEN comments / posts < 0.5 THEN 10 ELSE 0 END)::INT AS score FROM r JOIN p ON r.client IS NOT DISTINCT FROM p.client)
+    SELECT client, round(v, 6) AS valid_rate, round(d, 6) AS duplicate_rate, round(a, 6) AS author_rate, score,
+           list_filter([CASE WHEN v < 0.95 THEN 'valid_rate' END, CASE WHEN d > 0.01 THEN 'duplicate_rate' END, CASE WHEN a < 0.8 THEN 'author_rate' END, CASE WHEN score < 70 THEN 'score' END], lambda x: x IS NOT NULL) AS failures FROM q""")
+def _(s, d):
+    c = a.comments(s, d).withColumns({"author_username": F.col("client"), "published_at": F.lit(None).cast("timestamp")})
+    g = validate.measured_gate(c, "client")
+    return g.select("client", *[F.round(x, 6).alias(x) for x in ("valid_rate", "duplicate_rate", "author_rate")], "score", "failures")
+
+
 @register("registry_last_wins", "SELECT c_nationkey, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) = 1")
 def _(s, d):
     return store.keep_last(a.table(s, d, "customer"), ["c_nationkey"], "c_custkey").select("c_nationkey", "c_custkey")
