@@ -88,7 +88,7 @@ def silhouette(df: DataFrame, cluster: str = "cluster", noise: int = -1) -> floa
 
 
 def group_report(df: DataFrame, group: str) -> DataFrame:
-    """Per group: rows, percentage, authors and platforms."""
+    """Per group: rows, percentage and platforms."""
     per = df.groupBy(group, "platform").agg(F.count("*").alias("n"))
     total = df.count()
     platforms = per.groupBy(group).agg(F.sum("n").alias("count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("platform", "n")))).alias("platforms"))
