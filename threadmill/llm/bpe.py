@@ -9,27 +9,33 @@ beyond ``LONG`` bytes take a heap instead, as scans grow with the square.
 
 Defined cases: null text counts as empty and gives no ids; ids without a token decode to nothing;
 repeated rows, nulls in the id column and empty tables pass through; extra input columns are not read.
+Memory: texts are taken in slices of some megabytes, matrices have a bounded number of cells, and the memo of words is
+bounded in bytes, so that a worker needs no more for long batches; one very long text is a slice of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from threadmill.llm.common import byte_slices
 
 #: How the byte-level pre-tokenizer of these vocabularies splits text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words beyond so many bytes are merged with a heap.
 LONG = 192
-#: Rows of one matrix of words.
-BLOCK = 16_384
+#: Cells of one matrix of words.
+CELLS = 1 << 19
+#: Bytes that an entry of the memo takes besides its word and ids.
+_ENTRY = 160
 _NONE, _PAD = (1 << 31) - 1, (1 << 20) - 1
 
 
@@ -43,8 +49,8 @@ def _byte_symbols() -> dict[str, int]:
 class ByteBpe:
     """Encoder and decoder of one vocabulary file."""
 
-    #: Entries beyond which the memo of words shrinks to those of the text at hand; it saves time only.
-    memo = 400_000
+    #: Bytes beyond which the memo of words shrinks to those of the text at hand; it saves time only.
+    memo = 96 << 20
     #: Characters of text whose new words are merged together.
     slice = 2_000_000
 
@@ -73,6 +79,7 @@ class ByteBpe:
         self.pieces: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.held = 0
 
     def merge_all(self, words: list[bytes]) -> list[bytes]:
         """Token ids of pre-split words, each as little-endian u32."""
@@ -81,8 +88,10 @@ class ByteBpe:
         while order and len(words[order[-1]]) > LONG:
             i = order.pop()
             out[i] = np.array(self._merge_long([self.first[b] for b in words[i]]), "<u4").tobytes()
-        for at in range(0, len(order), BLOCK):
-            self._merge_block(words, order[at : at + BLOCK], out)
+        while order:
+            rows = max(1, CELLS // max(1, len(words[order[-1]])))
+            self._merge_block(words, order[-rows:], out)
+            del order[-rows:]
         return out
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -168,6 +177,7 @@ class ByteBpe:
         alone.update(zip(bare, made[len(order) :]))
         for memo, k, pieces in cut:
             memo[k] = b"".join([after[p[1:]] if p[0] == " " and len(p) > 1 else alone[p] for p in pieces])
+        self.held += _size(after, (k for memo, k, _ in cut if memo is after)) + _size(after, order) + _size(alone, bare)
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian u32.
@@ -183,10 +193,9 @@ class ByteBpe:
                 cuts.append((head, tails))
                 size, at = size + len(texts[at]), at + 1
             used = set().union(*(x for _, x in cuts))
-            if len(self.tails) > self.memo:
-                self.tails = {k: self.tails[k] for k in used if k in self.tails}
-            if len(self.pieces) > self.memo:
-                self.pieces = {}
+            if self.held > self.memo:
+                self.tails, self.pieces = {k: self.tails[k] for k in used if k in self.tails}, {}
+                self.held = _size(self.tails, self.tails)
             known = self.tails
             new = {x for x in used if x not in known}
             unsafe = {k for k in new if not k.isalpha() and (not k or k[0].isspace() or k[-1].isspace())}
@@ -208,19 +217,27 @@ class ByteBpe:
         return b"".join(map(token.__getitem__, found.tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(2)
+def _size(memo: dict[str, bytes], keys: Iterable[str]) -> int:
+    return sum(_ENTRY + len(k) + len(memo[k]) for k in keys)
+
+
+@lru_cache(1)
 def _bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+def _texts(piece: pa.RecordBatch) -> list[str]:
+    return [x or "" for x in piece.column(1).to_pylist()]
+
+
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns: the id, ``n_tokens`` and ``ids`` (binary, little-endian u32). ``path``: a vocabulary file that every executor has. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path)
-        for batch in batches:
-            ids = [*bpe.encode_all([x or "" for x in batch.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
+        for piece in (p for batch in batches for p in byte_slices(batch, 1)):
+            ids = [*bpe.encode_all(_texts(piece))]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids binary")
@@ -231,15 +248,24 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path)
-        for batch in batches:
-            texts = [bpe.decode(x or b"") for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [id_col, "n_tokens", "ids", "decoded"])
+        for piece in (p for batch in batches for p in byte_slices(batch, 2)):
+            texts = [bpe.decode(x or b"") for x in piece.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], [id_col, "n_tokens", "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, "n_tokens", "ids").mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids binary, decoded string")
 
 
-def digests(df: DataFrame, path: str) -> DataFrame:
-    """Round trip of every document: ids and decoded text as SHA-256."""
-    back = decode(encode(df, path), path)
-    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Round trip of every document: the id, ``n_tokens``, and the SHA-256 of its ids and of the text decoded from them. One worker encodes, decodes and hashes, so that neither ids nor texts go back to Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _bpe(path)
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        for piece in (p for batch in batches for p in byte_slices(batch, 1)):
+            rows = [(len(ids) // 4, sha(ids), sha(bpe.decode(ids).encode())) for ids in bpe.encode_all(_texts(piece))]
+            n, of_ids, of_text = zip(*rows)
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

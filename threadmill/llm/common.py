@@ -5,7 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +18,12 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where that is unset and all tasks run in this process. Raises on a cluster that names none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="threadmill-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
@@ -60,3 +66,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def n_words(text: Column) -> Column:
     """Words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+
+
+def byte_slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many bytes in that column and so many rows; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
+        to = min(max(to, at + 1), at + rows)
+        yield batch.slice(at, to - at)
+        at = to

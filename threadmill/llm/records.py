@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadmill.llm.bpe import ByteBpe
-from threadmill.llm.common import scratch_uri
+from threadmill.llm.common import byte_slices, scratch_uri
 
 _HEAD = "<Bq"
 #: Bytes that are read from a file at once, and checked together.
@@ -38,7 +38,7 @@ _LANE = 1024
 class LibraryBpe(ByteBpe):
     """The same memo of words, filled by the ``tokenizers`` library."""
 
-    memo, slice = 1_200_000, 4_000_000
+    memo, slice = 224 << 20, 4_000_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -162,8 +162,7 @@ def write(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", tex
         store, folder = fs.FileSystem.from_uri(path)
         out, at = None, 0
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1024):
-                piece = batch.slice(begin, 1024)
+            for piece in byte_slices(batch, 1):
                 if out is None:
                     store.create_dir(folder, recursive=True)
                     out = store.open_output_stream(f"{folder}/{name}")
