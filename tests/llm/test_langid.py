@@ -1,6 +1,9 @@
 import random
+import tracemalloc
 import zlib
 
+import numpy as np
+
 from threadmill.llm import langid
 
 LETTERS = {"en": "theandofin", "xx": "žšůýáíéqwk", "fr": "éèàleuxoir"}
@@ -45,3 +48,40 @@ def test_edges(spark):
 def test_vectors_bind_by_place():
     a, b = langid._vectors(langid._ngrams("ab")[0]), langid._vectors(langid._ngrams("ba")[0])
     assert set(abs(a).ravel()) == {1.0} and (a != b).any()
+
+
+def test_prototypes_and_cosines_match_brute_force(spark):
+    df = documents(spark, 60)
+    rows = df.collect()
+
+    def vector(text):
+        code = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        while "  " in code:
+            code = code.replace("  ", " ")
+        total = np.zeros(langid.SIZE)
+        for k in range(len(code) - 2):
+            a, b, c = (langid._letter(ord(x)).astype(int) for x in code[k : k + 3])
+            total += np.roll(a, 2) * np.roll(b, 1) * c
+        return total
+
+    vectors = {r.doc_id: vector(r.text) for r in rows}
+    prototypes = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            prototypes[r.lang] = prototypes.get(r.lang, 0) + vectors[r.doc_id]
+    cosine = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    for x in langid.held_out(df).collect():
+        want = {lang: cosine(vectors[x.doc_id], p) for lang, p in prototypes.items()}
+        best = max(sorted(want), key=want.get)
+        assert x.lang_pred == best and abs(x.score - want[best]) < 1e-9
+
+
+def test_memory_does_not_grow_with_distinct_letters():
+    r = np.random.default_rng(3)
+    text = "".join(chr(c) for c in r.integers(0x4E00, 0x5A00, 150_000))
+    tracemalloc.start()
+    found = langid._ngrams(text)
+    total = langid._bundle([found], [0], 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20 and np.abs(total).max() > 0

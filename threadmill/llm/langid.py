@@ -7,6 +7,7 @@ A language's prototype bundles the vectors of all its training texts. A document
 Texts are put in lower case, and everything between letters counts as one space. Defined cases: texts that are null or have no
 letter, and all texts where nothing could be learned, are ``und`` with score 0; ties go to the first language in alphabetical
 order; null languages teach nothing; a null id is hashed as an empty one; repeated rows are predicted and learned from each.
+Memory: documents are taken in slices of bytes, their distinct n-grams in slices of ``GRAMS``, so that no matrix grows with a text.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Components of a vector, letters of an n-gram (at most 3, of 21 bits each) and documents that share one matrix.
-SIZE, LETTERS, DOCS = 1024, 3, 256
+from threadmill.llm.common import byte_slices
+
+#: Components of a vector, letters of an n-gram (at most 3, of 21 bits each), documents and bytes that are bundled together, and n-grams whose vectors stand in memory at once.
+SIZE, LETTERS, DOCS, BYTES, GRAMS = 1024, 3, 256, 1 << 20, 4096
 UNDETERMINED = "und"
 
 
@@ -29,7 +32,7 @@ def _is_letter() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-@lru_cache(4096)
+@lru_cache(32_768)
 def _letter(code: int) -> np.ndarray:
     return (np.random.default_rng(code).integers(0, 2, SIZE, np.int8) * 2 - 1).astype(np.int8)
 
@@ -56,16 +59,25 @@ def _vectors(packed: np.ndarray) -> np.ndarray:
     for k in range(LETTERS):
         codes, at = np.unique((packed >> (21 * k)) & 0x1FFFFF, return_inverse=True)
         out *= np.array([np.roll(_letter(int(c)), k) for c in codes])[at]
-    return out.astype(np.float32)
+    return out
 
 
 def _bundle(found: list[tuple[np.ndarray, np.ndarray]], owner: list[int], rows: int) -> np.ndarray:
     """The sum of the n-gram vectors of each owner; counts and sums stay whole numbers below 2 ** 24 or go by float64."""
-    packed, at = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
-    counts = np.zeros((rows, len(packed)), np.float64)
-    np.add.at(counts, (np.repeat(owner, [len(p) for p, _ in found]), at), np.concatenate([c for _, c in found]))
-    vectors = _vectors(packed)
-    return counts @ vectors.astype(np.float64) if counts.sum(1).max() >= 1 << 24 else (counts.astype(np.float32) @ vectors).astype(np.float64)
+    packed, counts = np.concatenate([p for p, _ in found]), np.concatenate([c for _, c in found])
+    owners = np.repeat(np.array(owner, np.int64), [len(p) for p, _ in found])
+    order = np.argsort(packed, kind="stable")
+    packed, counts, owners = packed[order], counts[order], owners[order]
+    begins = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
+    kind = np.float64 if np.bincount(owners, counts).max() >= 1 << 24 else np.float32
+    total = np.zeros((rows, SIZE))
+    for at in range(0, len(begins), GRAMS):
+        some = begins[at : at + GRAMS]
+        end = begins[at + GRAMS] if at + GRAMS < len(begins) else len(packed)
+        column = np.repeat(np.arange(len(some)), np.diff([*some, end]))
+        each = np.bincount(owners[some[0] : end] * len(some) + column, counts[some[0] : end], rows * len(some))
+        total += each.reshape(rows, len(some)).astype(kind) @ _vectors(packed[some]).astype(kind)
+    return total
 
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
@@ -74,8 +86,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for begin in range(0, batch.num_rows, DOCS):
-                piece = batch.slice(begin, DOCS)
+            for piece in byte_slices(batch, 0, BYTES, DOCS):
                 got = [(lang, f) for text, lang in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()) if (f := _ngrams(text)) is not None]
                 if not got:
                     continue
@@ -100,8 +111,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, DOCS):
-                piece = batch.slice(begin, DOCS)
+            for piece in byte_slices(batch, len(keep), BYTES, DOCS):
                 found = [(i, f) for i, text in enumerate(piece.column(len(keep)).to_pylist()) if text and (f := _ngrams(text)) is not None]
                 pred, score = [UNDETERMINED] * piece.num_rows, np.zeros(piece.num_rows)
                 if found and langs:
