@@ -110,3 +110,23 @@ def test_top_k_edges(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert [(x.query_id, x.rank, x.vec_id, x.score) for x in topk.every_twentieth(df).collect()] == [(0, 1, 1, 64 * 64 + 128 * 64)]
     assert topk.every_twentieth(df.limit(0)).count() == 0
+
+
+def test_large_components_cost_their_own_rows_alone(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TILE", 512)
+    monkeypatch.setattr(topk, "GROUP", 1 << 14)
+    r = np.random.default_rng(6)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(3000)]
+    rows[40] = (40, [1e12, *rows[40][1][1:]])
+    rows[41] = (41, [-1e12, *rows[41][1][1:]])
+    rows[60] = (60, [3e38] * 8)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    clamp = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    got = defaultdict(list)
+    for x in sorted(topk.every_twentieth(df).collect(), key=lambda x: (x.query_id, x.rank)):
+        got[x.query_id].append((x.vec_id, x.score))
+    assert len(got) == 150
+    for q, found in got.items():
+        want = sorted((-clamp(sum(a * b for a, b in zip(whole[q], v))), i) for i, v in whole.items() if i != q)[:20]
+        assert found == [(i, -s) for s, i in want]

@@ -1,12 +1,13 @@
 """Exact top-k search by inner product: tiled matrix products, a partial selection per tile, and a tree of merges.
 
-Queries are written to the shared folder in files of bounded size. Every task goes through its own part of the
-candidates in tiles and multiplies each with one query file after the other, so that it holds one tile and one file at a
-time; the query set is neither broadcast nor paired with rows outside these products. Of each tile a query keeps its k
-best; these lists are merged in rounds of a fixed fan-in, by windows over (query, group of tiles).
-
-Components x become floor(scale * x) in double precision and scores are integers: products run in float64 where no partial sum can
-pass 2 ** 53, else in Python integers, clamped to the range of a long.
+Queries are written to the shared folder in files of bounded size. Every task holds ``GROUP`` bytes of candidates at a time, takes one query file after the
+other, and multiplies it with the candidates in tiles; the query set is neither broadcast nor paired with rows outside these products. Of each tile a query
+keeps its k best, of all tiles of the group one running list of k, and these lists are merged in rounds of a fixed fan-in, by windows over
+(query, group of tasks).
+
+Components x become floor(scale * x) in double precision and scores are integers. Rows whose components are so small that no
+partial sum can pass 2 ** 53 go by matrix products in float64. A row with larger ones is bounded from below and above by a product in float64 and its
+rounding error, and only candidates that may still be among the k best are summed in Python integers; such scores are clamped to the range of a long.
 Defined cases: vectors that are null, empty or hold null or non-finite components, and rows with a null id, take no
 part; a query meets only vectors of its own length, and never rows of its own id; of queries that share an id the
 smallest vector counts, of candidates that share an id each row does; ties go to the smaller id; empty tables give no rows.
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from threadmill.llm.common import materialise, scratch_uri
 
-#: Queries of a file, candidates of a tile, lists that one merge takes.
-QUERIES, TILE, FAN_IN = 2048, 8192, 64
+#: Queries of a file, candidates of a tile, bytes of candidates that a task holds, lists that one merge takes.
+QUERIES, TILE, GROUP, FAN_IN = 2048, 8192, 64 << 20, 64
 _MOST = (1 << 63) - 1
 
 
@@ -42,29 +43,83 @@ def _matrices(ids: np.ndarray, column: pa.Array, scale: float) -> Iterator[tuple
     begins = np.concatenate(([0], np.cumsum(lengths)))[:-1]
     for n in np.unique(lengths):
         rows = np.flatnonzero(lengths == n)
-        yield ids[rows], np.floor(scale * flat[begins[rows][:, None] + np.arange(n)].astype(np.float64))
+        with np.errstate(over="ignore"):
+            yield ids[rows], np.nan_to_num(np.floor(scale * flat[begins[rows][:, None] + np.arange(n)].astype(np.float64)))
+
+
+def _product(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of each query, as flat columns, by one product of small integers. Ids of candidates ascend."""
+    ranked = (q @ c.T).astype(np.int64) * len(c) + np.arange(len(c))[::-1]
+    ranked[q_ids[:, None] == c_ids] = -_MOST - 1
+    if len(c) > k:
+        keep = np.argpartition(ranked, len(c) - k, axis=1)[:, len(c) - k :]
+        ranked = np.take_along_axis(ranked, keep, 1)
+    who, at = np.nonzero(ranked != -_MOST - 1)
+    value = ranked[who, at]
+    return q_ids[who], c_ids[len(c) - 1 - value % len(c)], value // len(c)
+
+
+def _bounded(i: int, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[list[int], list[int]]:
+    """Ids and scores of the k best candidates of one query, whatever the size of the components. Ids of candidates ascend."""
+    c_ids, c = c_ids[other := c_ids != i], c[other]
+    if not len(c):
+        return [], []
+    with np.errstate(all="ignore"):
+        near, error = c @ q, (np.abs(c) @ np.abs(q)) * (len(q) + 2) * 2.0**-52 + 1
+        low, high = np.nan_to_num(near - error, nan=-np.inf), np.nan_to_num(near + error, nan=np.inf, posinf=np.inf)
+    low, high = np.clip(low, -(2.0**63), 2.0**63), np.clip(high, -(2.0**63), 2.0**63)
+    least = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
+    maybe, whole = np.flatnonzero(high >= least), [int(x) for x in q]
+    scores = []
+    for j in maybe.tolist():
+        if low[j] >= 2.0**63:
+            scores.append(_MOST)
+        elif high[j] <= -(2.0**63):
+            scores.append(-_MOST - 1)
+        else:
+            scores.append(max(-_MOST - 1, min(_MOST, sum(a * int(b) for a, b in zip(whole, c[j].tolist())))))
+    order = sorted(range(len(scores)), key=lambda at: (-scores[at], int(c_ids[maybe[at]])))[:k]
+    return [int(c_ids[maybe[at]]) for at in order], [scores[at] for at in order]
+
+
+def _first(columns: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query among flat columns of query, candidate and score."""
+    a, b, s = (np.concatenate([c[i] for c in columns]) for i in range(3))
+    order = np.lexsort((b, ~s, a))
+    a, b, s = a[order], b[order], s[order]
+    begins = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, np.int64)
+    inside = np.arange(len(a)) - np.repeat(begins, np.diff([*begins, len(a)]))
+    return a[inside < k], b[inside < k], s[inside < k]
 
 
 def _best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best candidates of each query in a tile whose ids ascend, as flat columns."""
-    exact = np.abs(q).max() * np.abs(c).max() * q.shape[1] < 2**53
-    if exact and np.abs(q).max() * np.abs(c).max() * q.shape[1] * len(c) * 2 < 2**62:
-        ranked = (q @ c.T).astype(np.int64) * len(c) + np.arange(len(c))[::-1]
-        ranked[q_ids[:, None] == c_ids] = -(1 << 63)
-        if len(c) > k:
-            keep = np.argpartition(ranked, len(c) - k, axis=1)[:, len(c) - k :]
-            ranked = np.take_along_axis(ranked, keep, 1)
-        who, at = np.nonzero(ranked != -(1 << 63))
-        value = ranked[who, at]
-        return q_ids[who], c_ids[len(c) - 1 - value % len(c)], value // len(c)
-    out: list[tuple[int, int, int]] = []
-    whole = [[int(x) for x in row] for row in c]
-    for i, row in zip(q_ids.tolist(), q):
-        row = [int(x) for x in row]
-        scores = [(max(-_MOST - 1, min(_MOST, sum(a * b for a, b in zip(row, x)))), j) for x, j in zip(whole, c_ids.tolist()) if j != i]
-        out += [(i, j, s) for s, j in sorted(scores, key=lambda x: (-x[0], x[1]))[:k]]
-    a, b, s = (np.array(x, np.int64) for x in (zip(*out) if out else ((), (), ())))
-    return a, b, s
+    most = np.sqrt(2.0**61 / (q.shape[1] * 2 * TILE))
+    small_q, small_c = np.abs(q).max(1) < most, np.abs(c).max(1) < most
+    parts = [(np.zeros(0, np.int64),) * 3]
+    if small_q.any() and small_c.any():
+        parts.append(_product(q_ids[small_q], q[small_q], c_ids[small_c], c[small_c], k))
+    for at in range(len(q)):
+        meets = ~small_c if small_q[at] else slice(None)
+        ids, scores = _bounded(int(q_ids[at]), q[at], c_ids[meets], c[meets], k) if not small_q[at] or not small_c.all() else ([], [])
+        if ids:
+            parts.append((np.full(len(ids), q_ids[at]), np.array(ids, np.int64), np.array(scores, np.int64)))
+    return _first(parts, k) if len(parts) > 2 else parts[-1]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Tiles of candidates, as many together as have at most so many bytes, or one."""
+    held, size = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, TILE):
+            tile = batch.slice(at, TILE)
+            if held and size + tile.nbytes > most:
+                yield held
+                held, size = [], 0
+            held.append(tile)
+            size += tile.nbytes
+    if held:
+        yield held
 
 
 def search(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -79,20 +134,21 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: float
         store, folder = fs.FileSystem.from_uri(path)
         files = sorted(x.path for x in store.get_file_info(fs.FileSelector(folder)) if x.path.endswith(".parquet"))
         part = TaskContext.get().partitionId()
-        for batch in batches:
-            for at in range(0, batch.num_rows, TILE):
-                tile = batch.slice(at, TILE)
-                own = [(i[order := np.argsort(i, kind="stable")], m[order]) for i, m in _matrices(tile.column(0).to_numpy(), tile.column(1), scale)]
-                for name in files:
-                    with store.open_input_file(name) as file:
-                        asks = pq.read_table(file).combine_chunks()
-                    if not asks.num_rows:
-                        continue
-                    for q_ids, q in _matrices(asks.column("id").to_numpy(), asks.column("vec").chunk(0), scale):
-                        for c_ids, c in own:
+        for group in _groups(batches, GROUP):
+            for name in files:
+                with store.open_input_file(name) as file:
+                    asks = pq.read_table(file).combine_chunks()
+                if not asks.num_rows:
+                    continue
+                for q_ids, q in _matrices(asks.column("id").to_numpy(), asks.column("vec").chunk(0), scale):
+                    found = []
+                    for tile in group:
+                        for c_ids, c in _matrices(tile.column(0).to_numpy(), tile.column(1), scale):
                             if q.shape[1] == c.shape[1]:
-                                a, b, s = _best(q_ids, q, c_ids, c, k)
-                                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s), pa.array(np.full(len(a), part))], ["query_id", "id", "score", "tile"])
+                                order = np.argsort(c_ids, kind="stable")
+                                found = [_first([*found, _best(q_ids, q, c_ids[order], c[order], k)], k)]
+                    for a, b, s in found:
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s), pa.array(np.full(len(a), part))], ["query_id", "id", "score", "tile"])
 
     lists = clean(candidates).mapInArrow(tiles, "query_id bigint, id bigint, score bigint, tile bigint")
     parts = candidates.rdd.getNumPartitions()
