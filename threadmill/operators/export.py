@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -33,6 +34,9 @@ class Options:
     sort_keys: bool = False
     delimiter: str = ","
     quote_all: bool = False
+    ensure_ascii: bool = False
+    quoting: int = 0
+    line_end: str = "\n"
 
 
 PRESETS: dict[str, Options] = {
@@ -86,19 +90,75 @@ def json_lines(df: DataFrame, o: Options, kind: str | None = None) -> DataFrame:
     return d.select(F.to_json(F.struct(*tag, *cols), {"ignoreNullFields": str(not o.keep_empty).lower()}).alias("value"))
 
 
+#: Version of the documents' layout.
+VERSION = "1.0"
+
+
 def statistics(df: DataFrame) -> DataFrame:
-    """Rows, platforms, mean likes and replies; 0 without rows."""
-    return df.agg(F.count("*").alias("total"), F.array_sort(F.collect_set("platform")).alias("platforms"), F.coalesce(F.avg("likes"), F.lit(0.0)).alias("avg_likes"))
+    """Rows, platforms, mean likes, and of replies, comments and shares the sums of those columns that there are; 0 without rows."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("replies_count", "total_replies"), ("comments_count", "total_comments"), ("shares", "total_shares")) if c in df.columns]
+    return df.agg(F.count("*").alias("total"), F.array_sort(F.collect_set("platform")).alias("platforms"), F.coalesce(F.avg("likes"), F.lit(0.0)).alias("avg_likes"), *sums)
+
+
+def ascii_only(json: Column) -> Column:
+    """JSON text with everything beyond ASCII as escapes of UTF-16 units."""
+    def unit(c: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(c)), 4, "0"))
+
+    def escaped(x: Column) -> Column:
+        code = F.conv(F.right(F.hex(F.encode(x, "UTF-32")), F.lit(8)), 16, 10).cast("long")
+        low = code - 0x10000
+        return F.when(code < 128, x).when(code < 0x10000, unit(code)).otherwise(F.concat(unit(F.shiftright(low, 10) + 0xD800), unit(low.bitwiseAND(0x3FF) + 0xDC00)))
+
+    return F.when(json.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(json, ""), escaped), "")).otherwise(json)
+
+
+def document_metadata(df: DataFrame, o: Options, client: str, exported_at: Column, key: str = "comments", fmt: str = "json") -> DataFrame:
+    """The head of a document as a struct ``metadata``: client, time, format, version, total, platforms and, where asked, statistics."""
+    s = statistics(df)
+    stats = [F.struct("avg_likes", *[c for c in s.columns if c.startswith("total_")]).alias("stats")] if o.stats else []
+    head = [F.lit(client).alias("client"), exported_at.alias("exported_at"), F.lit(fmt).alias("format"), F.lit(VERSION).alias("version"), F.col("total").alias(f"total_{key}"), F.col("platforms"), *stats]
+    if o.sort_keys:
+        names = ["client", "exported_at", "format", "version", f"total_{key}", "platforms", *(["stats"] if o.stats else [])]
+        head = [c for _, c in sorted(zip(names, head), key=lambda x: x[0])]
+    return s.select(F.struct(*head).alias("metadata"))
 
 
 def json_document(df: DataFrame, o: Options, client: str, exported_at: Column, key: str = "comments") -> DataFrame:
     """One document with metadata. For small exports alone: it is one row. Large ones write ``json_lines`` and the metadata beside them."""
     d = project(df, o)
+    d = d.select(*sorted(d.columns)) if o.sort_keys else d
     body = d.agg(F.collect_list(F.struct("*")).alias(key))
     if not o.metadata:
-        return body.select(F.to_json(key).alias("value"))
-    meta = df.agg(F.struct(F.lit(client).alias("client"), exported_at.alias("exported_at"), F.count("*").alias(f"total_{key}"), F.array_sort(F.collect_set("platform")).alias("platforms")).alias("metadata"))
-    return meta.join(body).select(F.to_json(F.struct("metadata", key), {"pretty": str(o.indent is not None).lower()}).alias("value"))
+        value = F.to_json(key, {"ignoreNullFields": "false"})
+        return body.select((ascii_only(value) if o.ensure_ascii else value).alias("value"))
+    names = sorted(["metadata", key]) if o.sort_keys else ["metadata", key]
+    value = F.to_json(F.struct(*names), {"pretty": str(o.indent is not None).lower(), "ignoreNullFields": "false"})
+    return document_metadata(df, o, client, exported_at, key).join(body).select((ascii_only(value) if o.ensure_ascii else value).alias("value"))
+
+
+def metadata_line(df: DataFrame, client: str, exported_at: Column, key: str = "comments") -> DataFrame:
+    """The first line of an export of JSON lines, as ``value``; written as a file of its own that sorts before the rows'."""
+    n = df.agg(F.count("*").alias(f"total_{key}"))
+    return n.select(F.to_json(F.struct(F.lit("metadata").alias("type"), F.lit(client).alias("client"), exported_at.alias("exported_at"), F.lit("jsonl").alias("format"), F.lit(VERSION).alias("version"), f"total_{key}")).alias("value"))
+
+
+def csv_lines(df: DataFrame, o: Options) -> DataFrame:
+    """One line per row as ``value``. quoting: 0 where a field needs it, 1 all fields, 2 all but numbers, 3 none (a field that needs it raises). Nulls are empty fields; nested ones are JSON."""
+    d = _flat(project(df, o))
+    special = "|".join([re.escape(o.delimiter), '"', "\r", "\n"])
+
+    def one(f: T.StructField) -> Column:
+        text = F.coalesce(F.col(f"`{f.name}`").cast("string"), F.lit(""))
+        quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+        needs = text.rlike(special)
+        if o.quoting == 1 or (o.quoting == 2 and not isinstance(f.dataType, T.NumericType)):
+            return quoted
+        if o.quoting == 3:
+            return F.when(needs, F.raise_error(F.lit(f"{f.name} needs quoting"))).otherwise(text)
+        return F.when(needs, quoted).otherwise(text)
+
+    return d.select(F.concat_ws(o.delimiter, *[one(f) for f in d.schema.fields]).alias("value"))
 
 
 def path_parts(client: Column, platform: Column, at: Column) -> Column:
@@ -124,13 +184,27 @@ def older_than(files: DataFrame, now: Column, days: int) -> DataFrame:
     return files.where(F.unix_timestamp("modificationTime") < F.unix_timestamp(now) - days * 86400)
 
 
-def batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
-    """Adds ``batch`` from 1: rows are counted per range of the order, so that no task sees all of them."""
-    placed = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+def _rank(df: DataFrame, name: str) -> Column:
+    """A number that never falls where the column rises."""
+    kind, c = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.NumericType):
+        return c.cast("double")
+    if isinstance(kind, (T.TimestampType, T.DateType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    return F.conv(F.rpad(F.hex(F.substring(c.cast("string").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
+def batches(df: DataFrame, order: list[str], size: int, rows_each: int = 200_000, most: int = 512) -> DataFrame:
+    """Adds ``batch`` from 1. Rows are counted in ranges of the first column of the order, cut at approximate quantiles that are fixed before the rows are read again, so that no task sees all rows; ``most`` bounds the number of ranges. The first column should spread rows out: those with one value are one range."""
+    rank = _rank(df, order[0])
+    ranges = max(1, min(most, df.count() // rows_each))
+    cuts = sorted({*(df.agg(F.percentile_approx(rank, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or [])}) if ranges > 1 else []
+    place = F.coalesce(F.array_size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < rank)) if cuts else F.lit(0), F.lit(-1))
+    placed = df.withColumn("__p", F.when(rank.isNull(), -1).otherwise(place))
     counts = placed.groupBy("__p").agg(F.count("*").alias("__n"))
     before = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     k = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return placed.withColumn("__k", k).join(before, "__p").withColumn("batch", F.ceil((F.col("__base") + F.col("__k")) / size)).drop("__p", "__k", "__base")
+    return placed.withColumn("__k", k).join(F.broadcast(before), "__p").withColumn("batch", F.ceil((F.col("__base") + F.col("__k")) / size)).drop("__p", "__k", "__base")
 
 
 def column_widths(df: DataFrame) -> DataFrame:
@@ -144,10 +218,20 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c) if c in simple else F.to_json(c).alias(c) for c in df.columns])
 
 
+def _write_csv(df: DataFrame, path: str, o: Options) -> None:
+    """Spark's writer for quoting as needed or everywhere; the other ways as lines, of which the header is the first file's."""
+    if o.quoting < 2:
+        _flat(project(df, o)).write.mode("overwrite").csv(path, header=True, sep=o.delimiter, quoteAll=o.quote_all or o.quoting == 1, nullValue="", emptyValue="", lineSep=o.line_end)
+        return
+    names = project(df, o).columns
+    head = df.sparkSession.range(1).select(F.lit(o.delimiter.join(f'"{c}"' if o.quoting == 2 else c for c in names)).alias("value"))
+    head.union(csv_lines(df, o)).write.mode("overwrite").option("lineSep", o.line_end).text(path)
+
+
 WRITERS: dict[str, Callable[[DataFrame, str, Options], None]] = {
     "jsonl": lambda df, path, o: json_lines(df, o).write.mode("overwrite").text(path),
     "json": lambda df, path, o: project(df, o).write.mode("overwrite").json(path),
-    "csv": lambda df, path, o: _flat(project(df, o)).write.mode("overwrite").csv(path, header=True, sep=o.delimiter, quoteAll=o.quote_all, nullValue="", emptyValue=""),
+    "csv": lambda df, path, o: _write_csv(df, path, o),
     "parquet": lambda df, path, o: df.write.mode("overwrite").parquet(path, compression="snappy"),
 }
 

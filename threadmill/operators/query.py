@@ -78,3 +78,68 @@ def until_failures(df: DataFrame, order: str, failed: str, most: int, *keys: str
 def best_tier(df: DataFrame, tier: str, *keys: str) -> DataFrame:
     """Rows of the lowest tier that a key has."""
     return df.withColumn("__t", F.min(tier).over(Window.partitionBy(*keys))).where(F.col(tier) == F.col("__t")).drop("__t")
+
+
+#: Labels of buttons, which are no comments.
+BUTTONS = ("like", "reply", "me gusta", "responder", "share", "compartir", "translate", "verified")
+_BUTTON_COUNT = r"(?i)^[0-9]+\s*(like|me gusta|reply|responder|share|compartir)s?$"
+_CAPTIONS = (r"^[0-9]+[hdwms]?$", r"(?i)^[0-9]+\s*(like|repl|day|hour|week|ago)", r"(?i)^View\s+(all)?", r"(?i)^Hide\s+repl")
+#: Accented letters and what they are searched as.
+_ACCENTS, _PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
+
+
+def not_button_text(text: Column) -> Column:
+    """Whether a text is more than the label of a button, a count of reactions, an age or a link to more."""
+    plain = F.trim(text)
+    label = F.lower(plain).isin(*BUTTONS) | plain.rlike(_BUTTON_COUNT)
+    for pattern in _CAPTIONS:
+        label = label | plain.rlike(pattern)
+    return F.coalesce(~label, F.lit(False))
+
+
+def same_word(a: Column, b: str) -> Column:
+    """Equality without regard to case; null never matches."""
+    return F.coalesce(F.lower(a) == b.lower(), F.lit(False))
+
+
+def with_comments(posts: DataFrame, least: int, first: int, order: str, count: str = "comments_count") -> DataFrame:
+    """Posts with so many comments at least, the first of them in their order; all where ``first`` is 0."""
+    d = posts.where(F.col(count) >= least)
+    return d.orderBy(order).limit(first) if first else d
+
+
+def search(df: DataFrame, platform: str | None = None, since: Column | None = None, until: Column | None = None, author: object = None, text: str | None = None) -> DataFrame:
+    """Comments by platform, dates, author and a part of the text in any case; each may be left out."""
+    d = select_rows(df, platform=platform, since=since, until=until)
+    if author is not None:
+        d = d.where(F.col("author_id") == author)
+    return d.where(F.contains(F.lower("text"), F.lit(text.lower()))) if text else d
+
+
+def unaccented(text: Column) -> Column:
+    return F.translate(F.lower(text), _ACCENTS, _PLAIN)
+
+
+def word_index(df: DataFrame, id_col: str = "seq") -> DataFrame:
+    """An inverted index: ``word`` (without accents and case) and the id of every row that has it, each pair once. Written partitioned or bucketed by word, it answers searches without reading texts."""
+    words = F.split(unaccented(F.col("text")), r"[^\p{L}\p{N}]+")
+    return df.select(F.col(id_col), F.explode(F.array_distinct(words)).alias("word")).where("word <> ''")
+
+
+def having_words(index: DataFrame, words: list[str], id_col: str = "seq") -> DataFrame:
+    """Ids of the rows that have all the words. Words are not stemmed."""
+    plain = index.sparkSession.range(1).select(F.explode(F.array_distinct(F.array(*[unaccented(F.lit(w)) for w in words]))).alias("word"))
+    hits = index.join(F.broadcast(plain), "word", "left_semi").groupBy(id_col).agg(F.count("*").alias("n"))
+    return hits.where(F.col("n") == len({w.lower().translate(str.maketrans(_ACCENTS, _PLAIN)) for w in words})).select(id_col)
+
+
+def until_known_batches(df: DataFrame, batch: str, known: str, share: float, stop: int, *keys: str) -> DataFrame:
+    """Rows up to the end of the ``stop``-th batch in a row of which at least this share is known."""
+    per = df.groupBy(*keys, batch).agg((F.count_if(known) >= F.count("*") * share).alias("failed"))
+    kept = until_failures(per, batch, "failed", stop, *keys).select(*keys, batch)
+    return df.join(kept, [*keys, batch], "left_semi")
+
+
+def newest_text_first(column: str) -> Column:
+    """Newest first by dates as text; missing ones are last."""
+    return F.coalesce(F.col(column), F.lit("")).desc()

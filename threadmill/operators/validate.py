@@ -128,3 +128,71 @@ def uniqueness(df: DataFrame, *keys: str) -> DataFrame:
 
 def fallback(df: DataFrame, tier: str, *keys: str) -> DataFrame:
     return df.withColumn("__t", F.min(tier).over(Window.partitionBy(*keys))).where(F.col(tier) == F.col("__t")).drop("__t")
+
+
+def results(posts_: DataFrame, comments_: DataFrame, now: Column, strict: bool = False) -> DataFrame:
+    """Each result's verdict: its post's messages, its comments' messages and comments of other posts, as ``errors``, ``warnings`` and ``is_valid``. Both have ``result_id``; comments have ``seq``, by which their messages are ordered."""
+    p = posts(posts_, now, strict).select("result_id", F.col("platform_id").alias("of"), F.col("errors").alias("own_errors"), F.col("warnings").alias("own_warnings"))
+    c = comments(comments_, now, strict).join(p.select("result_id", "of"), "result_id")
+    foreign = F.when(F.coalesce(F.col("post_id") != F.col("of"), F.lit(True)), F.concat(F.lit("Comment "), F.col("platform_id").cast("string"), F.lit(" has post_id "), F.coalesce(F.col("post_id").cast("string"), F.lit("None")), F.lit(" but belongs to post "), F.col("of").cast("string")))
+    c = c.withColumn("errors", F.concat("errors", F.array_compact(F.array(foreign)))).where((F.size("errors") > 0) | (F.size("warnings") > 0))
+    gathered = lambda column: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", column))), lambda x: x[column]))
+    per = c.groupBy("result_id").agg(gathered("errors").alias("errors"), gathered("warnings").alias("warnings"))
+    none = F.array().cast("array<string>")
+    d = p.join(per, "result_id", "left").select("result_id", F.col("of").alias("platform_id"), F.concat("own_errors", F.coalesce("errors", none)).alias("errors"), F.concat("own_warnings", F.coalesce("warnings", none)).alias("warnings"))
+    return d.withColumn("is_valid", F.size("errors") == 0)
+
+
+def valid_results(verdicts: DataFrame) -> DataFrame:
+    """The valid ones; raises with the first five messages if there are results and none is valid."""
+    if verdicts.where("is_valid").isEmpty():
+        first = [f"{r.platform_id}: {r.errors}" for r in verdicts.orderBy("result_id").limit(5).collect()]
+        if first:
+            raise ValueError(f"all results are invalid; first errors: {first}")
+    return verdicts.where("is_valid")
+
+
+def batch_report(verdicts: DataFrame, *keys: str, samples: int = 100) -> DataFrame:
+    """Results, valid and invalid ones, the share of valid ones and up to ``samples`` first messages."""
+    d = verdicts.withColumn("message", F.get("errors", F.lit(0)))
+    first = F.slice(F.array_sort(F.collect_set("message")), 1, samples)
+    return d.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if("is_valid").alias("valid"), F.count_if(~F.col("is_valid")).alias("invalid"), (F.count_if("is_valid") / F.count("*")).alias("valid_rate"), first.alias("messages"))
+
+
+def completeness(posts_: DataFrame, comments_: DataFrame, *keys: str, author: str = "author_username") -> DataFrame:
+    """Shares of posts with text and time, and of comments with author and time; passed with over 90 % of posts timed and over 80 % of comments named."""
+    share = lambda cond: F.count_if(cond) / F.count("*")
+    p = posts_.groupBy(*keys).agg(share(~_missing("text")).alias("post_text_rate"), share(F.col("published_at").isNotNull()).alias("post_timestamp_rate"))
+    c = comments_.groupBy(*keys).agg(share(~_missing(author)).alias("comment_author_rate"), share(F.col("published_at").isNotNull()).alias("comment_timestamp_rate"))
+    d = p.join(c, [*keys], "full") if keys else p.join(c)
+    d = d.select(*keys, *[F.coalesce(x, F.lit(0.0)).alias(x) for x in ("post_text_rate", "post_timestamp_rate", "comment_author_rate", "comment_timestamp_rate")])
+    return d.withColumn("passed", (F.col("post_timestamp_rate") > 0.9) & (F.col("comment_author_rate") > 0.8))
+
+
+def consistency(posts_: DataFrame, comments_: DataFrame, key: str) -> DataFrame:
+    """Orphans and issues of each ``key``: an issue is a post with under half the comments that it says, of over ten, and the orphans together. Passed without orphans and with issues for a tenth of posts at most. posts_: key, platform_id, comments_count; comments_: key, post_id."""
+    n = comments_.groupBy(F.col(key).alias("k"), "post_id").agg(F.count("*").alias("actual"))
+    both = posts_.select(key, F.col("platform_id").alias("id"), "comments_count").join(n, (F.col(key) == F.col("k")) & (F.col("id") == F.col("post_id")), "full")
+    short = F.col("id").isNotNull() & (F.coalesce("actual", F.lit(0)) < F.col("comments_count") * 0.5) & (F.col("comments_count") > 10)
+    d = both.groupBy(F.coalesce(key, "k").alias(key)).agg(F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("actual"))), F.lit(0)).alias("orphan_comments"), F.count_if(short).alias("short_posts"), F.count("id").alias("posts"))
+    d = d.withColumn("issues", F.col("short_posts") + (F.col("orphan_comments") > 0).cast("int"))
+    return d.withColumn("passed", (F.col("orphan_comments") == 0) & (F.col("issues") <= F.col("posts") * 0.1))
+
+
+def freshness(posts_: DataFrame, now: Column, *keys: str) -> DataFrame:
+    """Oldest and newest post, the age of the newest in hours, and whether it is younger than seven days."""
+    age = (F.unix_timestamp(now) - F.unix_timestamp(F.max("published_at"))) / 3600
+    return posts_.groupBy(*keys).agg(F.min("published_at").alias("oldest_post"), F.max("published_at").alias("newest_post"), age.alias("data_age_hours"), F.coalesce(age < 168, F.lit(False)).alias("passed"))
+
+
+def repeated_ids(comments_: DataFrame, *keys: str) -> DataFrame:
+    """Comments, distinct platform and id, repeats and their share, of each key."""
+    g = comments_.groupBy(*keys, "platform", "platform_id").agg(F.count("*").alias("n"))
+    return g.groupBy(*keys).agg(F.sum("n").alias("total_comments"), F.count("*").alias("unique_comments"), (F.sum("n") - F.count("*")).alias("duplicates"), ((F.sum("n") - F.count("*")) / F.sum("n")).alias("duplicate_rate"))
+
+
+def combined_score(complete: Column, author_rate: Column, consistent: Column, issues: Column, fresh: Column, duplicate_rate: Column) -> Column:
+    """25 points for each check that passed; else a share of authors, two less for each issue, none, and the share without repeats."""
+    return F.bround(
+        F.when(complete, 25.0).otherwise(author_rate * 25) + F.when(consistent, 25.0).otherwise(F.greatest(F.lit(0.0), 25.0 - issues * 2)) + F.when(fresh, 25.0).otherwise(0.0) + F.when(duplicate_rate == 0, 25.0).otherwise(25 * (1 - duplicate_rate)), 2
+    )
