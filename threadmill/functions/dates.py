@@ -13,7 +13,7 @@ def parse_iso(c: Column) -> Column:
 
 def parse_flexible(c: Column) -> Column:
     """ISO, then a few fixed formats."""
-    formats = ["yyyy-MM-dd'T'HH:mm:ssXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
+    formats = ["yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ssXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
     return F.coalesce(parse_iso(c), *[F.try_to_timestamp(c, F.lit(f)) for f in formats])
 
 

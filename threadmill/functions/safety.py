@@ -23,7 +23,11 @@ RETRYABLE = ["network", "timeout", "rate_limit", "proxy"]
 BLOCK_PHRASES = {
     "facebook": ["you're temporarily blocked", "temporarily blocked", "try again later", "slow down", "too many requests", "rate limit", "estás bloqueado temporalmente", "intenta de nuevo más tarde", "demasiadas solicitudes"],
     "instagram": ["try again later", "please wait", "action blocked", "temporarily blocked", "too many requests", "we limit how often", "suspicious activity"],
+    "twitter": ["rate limit exceeded", "try again later", "something went wrong", "over capacity", "too many requests"],
+    "linkedin": ["unusual activity", "security verification", "too many requests", "please try again", "temporarily restricted"],
 }
+#: Parts of URLs to which platforms send a client that they block.
+BLOCK_URLS = {"facebook": ["/checkpoint/", "/accounts/suspended"], "instagram": ["/challenge/", "/accounts/suspended", "/accounts/consent"], "linkedin": ["/checkpoint/", "/authwall"]}
 _SECRETS = "password|secret|token|api_key"
 
 
@@ -71,6 +75,19 @@ def sanitise_filename(c: Column) -> Column:
     return F.when(F.upper(F.substring_index(named, ".", 1)).isin(RESERVED), F.concat(F.lit("_"), named)).otherwise(named)
 
 
+def sanitise_component(c: Column) -> Column:
+    """A name as one part of a path, in lower case: separators, wildcards, quotes, spaces and double dots become _."""
+    flat = F.replace(F.regexp_replace(F.lower(F.trim(c)), r'[/\\:*?"<>| ]', "_"), F.lit(".."), F.lit("_"))
+    bare = F.btrim(flat, F.lit("_."))
+    named = F.when(F.coalesce(bare, F.lit("")) == "", F.lit("unnamed")).otherwise(bare)
+    return F.when(F.upper(F.substring_index(named, ".", 1)).isin(RESERVED), F.concat(F.lit("_"), named)).otherwise(named)
+
+
+def path_leaves(c: Column) -> Column:
+    """Whether a relative path would leave its base: an absolute one, a home, or any part that is two dots."""
+    return F.coalesce(c.rlike(r"^[/\\~]|^[a-zA-Z]:") | F.array_contains(F.split(c, r"[/\\]"), ".."), F.lit(False))
+
+
 def within(base: str, *parts: str) -> str:
     """A path below ``base``; raises ValueError for what would leave it. Used on the driver before writes."""
     for p in parts:
@@ -106,6 +123,18 @@ def block_phrase(c: Column, platform: str) -> Column:
     return F.coalesce(*[F.when(F.contains(F.lower(c), F.lit(p)), F.lit(p)) for p in BLOCK_PHRASES[platform]])
 
 
+def blocked(url: Column, text: Column, platform: str) -> Column:
+    """Whether a page's URL or text says that the platform blocks."""
+    by_url = F.coalesce(*[F.when(F.contains(url, F.lit(p)), True) for p in BLOCK_URLS.get(platform, [])], F.lit(False))
+    return by_url | (block_phrase(text, platform).isNotNull() if platform in BLOCK_PHRASES else F.lit(False))
+
+
+def error_context(message: Column, attempt: Column, **parts: Column) -> Column:
+    """An error with its category, whether another attempt may help, the wait before it, and what it was about."""
+    category = error_category(message)
+    return F.struct(message.alias("message"), category.alias("category"), retryable(category).alias("retryable"), retry_wait(category, attempt).alias("wait"), F.create_map(*[x for k, v in sorted(parts.items()) for x in (F.lit(k), v.cast("string"))]).alias("context") if parts else F.lit(None).cast("map<string,string>").alias("context"))
+
+
 def fallback_id(url: Column) -> Column:
     """A stable number below 10 ** 10 for a URL without an id."""
     return F.pmod(F.xxhash64(url), F.lit(10_000_000_000)).cast("string")

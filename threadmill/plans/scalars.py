@@ -110,3 +110,125 @@ def _(s, d):
 @register("unicode_normalised")
 def _(s, d):
     return a.table(s, d, "conversations").select("conv_id", "turn", tx.clean_nfkc(F.col("text")).alias("clean"), tx.preprocess_comment(F.col("text")).alias("plain"))
+
+
+# The column functions over whole tables: inputs are built from columns, and the SQL computes from these columns what must come out.
+
+
+def _with(s, d, name, key, text, f):
+    return a.table(s, d, name).select(*key, f(text).alias("out"))
+
+
+_LINE = ["l_orderkey", "l_linenumber", "l_suppkey"]
+
+
+@register("parse_count_rows", "SELECT l_orderkey, l_linenumber, l_suppkey, CASE l_linenumber % 4 WHEN 0 THEN l_suppkey * 1000 WHEN 1 THEN l_suppkey * 1000000 WHEN 2 THEN l_suppkey ELSE 0 END AS out FROM lineitem")
+def _(s, d):
+    n, k = F.col("l_suppkey").cast("string"), F.col("l_linenumber") % 4
+    text = F.when(k == 0, F.concat(n, F.lit("K likes"))).when(k == 1, F.concat(n, F.lit(" m followers"))).when(k == 2, F.concat(n, F.lit(" shares"))).otherwise("none")
+    return _with(s, d, "lineitem", _LINE, text, counts.parse_count_basic)
+
+
+@register("parse_count_intl_rows", "SELECT l_orderkey, l_linenumber, l_suppkey, CASE l_linenumber % 4 WHEN 0 THEN l_suppkey * 1000 WHEN 1 THEN l_suppkey * 1000000 + 500000 WHEN 2 THEN l_suppkey ELSE l_suppkey * 1000 END AS out FROM lineitem")
+def _(s, d):
+    n, k = F.col("l_suppkey").cast("string"), F.col("l_linenumber") % 4
+    text = F.when(k == 0, F.concat(n, F.lit(" mil"))).when(k == 1, F.concat(n, F.lit(",5 millones"))).when(k == 2, F.concat(n, F.lit(" me gusta"))).otherwise(F.concat(n, F.lit("k")))
+    return _with(s, d, "lineitem", _LINE, text, counts.parse_count_intl)
+
+
+@register("relative_token_rows", "SELECT l_orderkey, l_linenumber, l_suppkey, CASE l_linenumber % 3 WHEN 0 THEN l_suppkey || 'h' WHEN 1 THEN l_suppkey || 'd' END AS out FROM lineitem")
+def _(s, d):
+    n, k = F.col("l_suppkey").cast("string"), F.col("l_linenumber") % 3
+    return _with(s, d, "lineitem", _LINE, F.when(k == 0, F.concat(n, F.lit("h ago"))).when(k == 1, F.concat(F.lit(" "), n, F.lit(" d"))).otherwise("soon"), dates.relative_token)
+
+
+@register("relative_comment_rows", f"SELECT l_orderkey, l_linenumber, l_suppkey, TIMESTAMP '{NOW}' - CASE l_linenumber % 4 WHEN 0 THEN l_suppkey * 60 WHEN 1 THEN l_suppkey * 3600 WHEN 2 THEN l_suppkey * 604800 ELSE 86400 END * INTERVAL 1 SECOND AS out FROM lineitem")
+def _(s, d):
+    n, k = F.col("l_suppkey").cast("string"), F.col("l_linenumber") % 4
+    text = F.when(k == 0, F.concat(n, F.lit(" minutes"))).when(k == 1, F.concat(n, F.lit("h"))).when(k == 2, F.concat(n, F.lit(" semanas"))).otherwise("ayer")
+    return _with(s, d, "lineitem", _LINE, text, lambda c: dates.relative_comment(c, F.lit(NOW).cast("timestamp")))
+
+
+@register("relative_review_rows", f"SELECT l_orderkey, l_linenumber, l_suppkey, TIMESTAMP '{NOW}' - CASE l_linenumber % 3 WHEN 0 THEN l_suppkey * 604800 WHEN 1 THEN 2592000 ELSE 0 END * INTERVAL 1 SECOND AS out FROM lineitem")
+def _(s, d):
+    k = F.col("l_linenumber") % 3
+    text = F.when(k == 0, F.concat(F.col("l_suppkey").cast("string"), F.lit(" weeks ago"))).when(k == 1, "a month ago")
+    return _with(s, d, "lineitem", _LINE, text, lambda c: dates.relative_review(c, F.lit(NOW).cast("timestamp")))
+
+
+@register("duration_rows", "SELECT o_orderkey, CASE WHEN x < 60 THEN x || 's' WHEN x < 3600 THEN x // 60 || 'm ' || x % 60 || 's' ELSE x // 3600 || 'h ' || x % 3600 // 60 || 'm' END AS out FROM (SELECT o_orderkey, o_custkey * 7 AS x FROM orders)")
+def _(s, d):
+    return _with(s, d, "orders", ["o_orderkey"], F.col("o_custkey") * 7, lambda c: dates.format_duration(c.cast("double")))
+
+
+@register("mask_email_rows", "SELECT c_custkey, left(c_mktsegment, 3) || '***@mai***.' || CASE WHEN c_custkey % 2 = 0 THEN 'com' ELSE 'org' END AS out FROM customer")
+def _(s, d):
+    text = F.concat("c_mktsegment", F.lit("."), F.col("c_custkey").cast("string"), F.lit("@mailhost."), F.when(F.col("c_custkey") % 2 == 0, "com").otherwise("org"))
+    return _with(s, d, "customer", ["c_custkey"], text, safety.mask_email)
+
+
+@register("mask_url_rows", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'http://***@host/' || page_id ELSE url END AS out FROM pages WHERE NOT contains(url, '@')")
+def _(s, d):
+    text = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("http://user:pw@host/"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
+    return a.table(s, d, "pages").where(~F.contains("url", F.lit("@"))).select("page_id", safety.mask_url(text).alias("out"))
+
+
+@register("name_error_rows", "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'invalid characters' WHEN 1 THEN 'empty' WHEN 2 THEN 'reserved' WHEN 3 THEN 'dangerous pattern' END AS out FROM customer")
+def _(s, d):
+    k = F.col("c_custkey") % 5
+    text = F.when(k == 0, F.concat("c_name", F.lit("#"))).when(k == 1, "").when(k == 2, "aux.txt").when(k == 3, F.concat(F.lit("a.."), "c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    return _with(s, d, "customer", ["c_custkey"], text, safety.name_error)
+
+
+@register("sanitised_name_rows", "SELECT p_partkey, p_partkey || '_' || regexp_replace(p_brand, '[<>:\"/|?*]', '_', 'g') || '_x' AS out FROM part")
+def _(s, d):
+    return _with(s, d, "part", ["p_partkey"], F.concat(F.lit(" "), F.col("p_partkey").cast("string"), F.lit(":"), "p_brand", F.lit("/x.")), safety.sanitise_filename)
+
+
+@register("sanitised_component_rows", "SELECT p_partkey, p_partkey || '_' || lower(p_brand) AS out FROM part")
+def _(s, d):
+    return _with(s, d, "part", ["p_partkey"], F.concat(F.col("p_partkey").cast("string"), F.lit(" "), "p_brand", F.lit("/")), safety.sanitise_component)
+
+
+@register("path_leaves_rows", "SELECT p_partkey, p_partkey % 4 <> 3 AS out FROM part")
+def _(s, d):
+    k = F.col("p_partkey") % 4
+    text = F.when(k == 0, F.concat(F.lit("a/../"), "p_brand")).when(k == 1, F.concat(F.lit("/"), "p_brand")).when(k == 2, F.concat(F.lit("~"), "p_brand")).otherwise(F.concat(F.lit("a/..b/"), "p_brand"))
+    return _with(s, d, "part", ["p_partkey"], text, safety.path_leaves)
+
+
+@register("error_contexts", """
+    SELECT event_id, CASE event_type WHEN 'error' THEN 'timeout' WHEN 'click' THEN 'rate_limit' WHEN 'view' THEN 'network' ELSE 'unknown' END AS category, event_type IN ('error', 'click', 'view') AS retryable,
+           CASE event_type WHEN 'error' THEN least(60, 10 * (event_id % 4 + 1)) WHEN 'click' THEN least(300, 60 * (event_id % 4 + 1)) WHEN 'view' THEN least(60, 5 * 2 ** (event_id % 4)) END::DOUBLE AS wait, user_id::VARCHAR AS account FROM events""")
+def _(s, d):
+    t = F.col("event_type")
+    message = F.when(t == "error", "Timeout after 30 s").when(t == "click", "HTTP 429").when(t == "view", "DNS failure").otherwise("odd")
+    e = a.table(s, d, "events").select("event_id", safety.error_context(message, F.col("event_id") % 4, account=F.col("user_id")).alias("x"))
+    return e.select("event_id", "x.category", "x.retryable", "x.wait", F.col("x.context")["account"].alias("account"))
+
+
+@register("blocked_pages", "SELECT page_id, page_id % 3 = 0 OR page_id % 5 = 0 AS out FROM pages")
+def _(s, d):
+    url = F.when(F.col("page_id") % 3 == 0, "https://x/checkpoint/1").otherwise("https://x/p")
+    text = F.when(F.col("page_id") % 5 == 0, "Please try again later").otherwise("hello")
+    return a.table(s, d, "pages").select("page_id", safety.blocked(url, text, "linkedin").alias("out"))
+
+
+@register("post_id_rows", "SELECT o_orderkey, o_orderkey::VARCHAR AS facebook, 'c' || o_orderkey AS instagram, o_orderkey::VARCHAR AS twitter, o_orderkey::VARCHAR AS linkedin, 'g' || o_orderkey AS google FROM orders")
+def _(s, d):
+    n = F.col("o_orderkey").cast("string")
+    urls = {"facebook": F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("https://f/u/posts/"), n)).otherwise(F.concat(F.lit("https://f/?story_fbid="), n)), "instagram": F.concat(F.lit("https://i/p/c"), n, F.lit("/x")), "twitter": F.concat(F.lit("https://t/u/status/"), n, F.lit("?s=1")), "linkedin": F.concat(F.lit("https://l/urn:li:activity:"), n), "google": F.concat(F.lit("https://g/?q=place_id:g"), n, F.lit("&x"))}
+    return a.table(s, d, "orders").select("o_orderkey", *[safety.url_post_id(u, p).alias(p) for p, u in urls.items()])
+
+
+@register("valid_count_text_rows", "SELECT c_custkey, c_custkey % 60 <= 20 OR c_custkey % 60 < 4 AS out FROM customer WHERE c_custkey % 60 <= 50 UNION ALL SELECT c_custkey, false FROM customer WHERE c_custkey % 60 > 50")
+def _(s, d):
+    return _with(s, d, "customer", ["c_custkey"], F.repeat(F.lit("a1"), (F.col("c_custkey") % 60).cast("int")), counts.valid_count_text)
+
+
+@register("parse_flexible_rows", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 4 THEN date_trunc('day', o_orderdate) WHEN 5 THEN NULL WHEN 0 THEN o_orderdate ELSE date_trunc('second', o_orderdate) END AS out FROM orders")
+def _(s, d):
+    c, k = F.col("o_orderdate"), F.col("o_orderkey") % 6
+    at = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.when(k == 0, F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))).when(k == 1, F.concat(at, F.lit("Z"))).when(k == 2, F.concat(at, F.lit("+0000"))).when(k == 3, F.date_format(c, "yyyy-MM-dd HH:mm:ss")).when(k == 4, F.date_format(c, "yyyy-MM-dd")).otherwise("someday")
+    return _with(s, d, "orders", ["o_orderkey"], text, dates.parse_flexible)
