@@ -18,8 +18,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -177,7 +178,7 @@ class ByteBpe:
         alone.update(zip(bare, made[len(order) :]))
         for memo, k, pieces in cut:
             memo[k] = b"".join([after[p[1:]] if p[0] == " " and len(p) > 1 else alone[p] for p in pieces])
-        self.held += _size(after, (k for memo, k, _ in cut if memo is after)) + _size(after, order) + _size(alone, bare)
+        self.held += _ENTRY * (len(made) + len(cut)) + sum(map(len, order)) + sum(map(len, bare)) + sum(map(len, made)) + sum(len(k) + len(memo[k]) for memo, k, _ in cut if memo is after)
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian u32.
@@ -195,16 +196,17 @@ class ByteBpe:
             used = set().union(*(x for _, x in cuts))
             if self.held > self.memo:
                 self.tails, self.pieces = {k: self.tails[k] for k in used if k in self.tails}, {}
-                self.held = _size(self.tails, self.tails)
+                self.held = _ENTRY * len(self.tails) + sum(map(len, self.tails)) + sum(map(len, self.tails.values()))
             known = self.tails
-            new = {x for x in used if x not in known}
+            new = used.difference(known)
             unsafe = {k for k in new if not k.isalpha() and (not k or k[0].isspace() or k[-1].isspace())}
             for i, (head, tails) in enumerate(cuts):
                 if tails and (not head or head[-1].isspace() or (unsafe and not unsafe.isdisjoint(tails))):
                     cuts[i] = (" ".join([head, *tails]), [])
             self._learn({x for x, _ in cuts}, new - unsafe)
+            known = self.tails
             for head, tails in cuts:
-                yield b"".join([self.heads[head], *map(self.tails.__getitem__, tails)])
+                yield b"".join((self.heads[head], *itemgetter(*tails)(known))) if len(tails) > 1 else b"".join([self.heads[head], *(known[x] for x in tails)])
             self.heads.clear()
 
     def encode(self, text: str) -> bytes:
@@ -217,10 +219,6 @@ class ByteBpe:
         return b"".join(map(token.__getitem__, found.tolist())).decode("utf-8", "replace")
 
 
-def _size(memo: dict[str, bytes], keys: Iterable[str]) -> int:
-    return sum(_ENTRY + len(k) + len(memo[k]) for k in keys)
-
-
 @lru_cache(1)
 def _bpe(path: str) -> ByteBpe:
     return ByteBpe(path)

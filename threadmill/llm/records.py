@@ -38,13 +38,14 @@ _LANE = 1024
 class LibraryBpe(ByteBpe):
     """The same memo of words, filled by the ``tokenizers`` library."""
 
-    memo, slice = 224 << 20, 4_000_000
+    memo, slice = 144 << 20, 4_000_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__(path)
+        del self.rank, self.merged, self.pair, self.pair_rank, self.first_array, self.merged_array
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
