@@ -88,3 +88,15 @@ def test_csv_files(spark, tmp_path, quoting):
     path = export.write(df, "csv", str(tmp_path), f"q{quoting}", options=export.Options(quoting=quoting, line_end="\r\n"))
     got = spark.read.csv(path, header=quoting < 2, lineSep="\r\n")
     assert sorted(tuple(r) for r in got.collect() if r[0] != "n") == [("1", "a b"), ("2", "c")]
+
+
+def test_minhash_finds_what_exact_jaccard_finds(spark):
+    from threadmill.operators import similarity
+
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("seq"), "text")
+    exact = {(r.a, r.b) for r in similarity.jaccard_pairs(df, 0.7).collect()}
+    got = {(r.a, r.b): r.similarity for r in similarity.minhash_pairs(df, 0.7).collect()}
+    assert len(exact) > 0 and len(exact & got.keys()) >= 0.9 * len(exact)
+    member = {r.seq: r.set_id for r in similarity.word_set_members(df).collect()}
+    assert all((k in exact) or member[k[0]] == member[k[1]] for k in got)
+    assert sum(v == 1.0 for v in got.values()) >= sum(k != v for k, v in member.items())

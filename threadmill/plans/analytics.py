@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from threadmill.functions import text as tx
 from threadmill.operators import commenters, export, ingest, metrics, similarity, store, validate
-from threadmill.plans.core import ACTIVITY, COMMENTS, register
+from threadmill.plans.core import ACTIVITY, COMMENTS, FOLD, register
 from threadmill.sources import adapters as a
 from threadmill.sources import files
 
@@ -156,7 +156,10 @@ def _(s, d):
     return c.select("label", F.posexplode("centroid").alias("i", "m")).withColumn("m", F.round("m", 6))
 
 
-@register("cluster_representatives")
+@register("cluster_representatives", """
+    WITH c AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL),
+    v AS (SELECT label, list(m ORDER BY i) AS centroid FROM c GROUP BY 1)
+    SELECT label, vec_id FROM (SELECT label, vec_id, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), centroid) AS s FROM embeddings JOIN v USING (label)) QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(s, 9) DESC, vec_id) = 1""")
 def _(s, d):
     return similarity.representatives(a.table(s, d, "embeddings"), "label")
 
@@ -166,6 +169,11 @@ def _(s, d):
     return similarity.condense(a.table(s, d, "embeddings"), 0.8, "label")
 
 
+@register("minhash_documents")
+def _(s, d):
+    return similarity.minhash_pairs(a.table(s, d, "documents").select(F.col("doc_id").alias("seq"), "text"))
+
+
 @register("minhash_pairs")
 def _(s, d):
     return similarity.minhash_pairs(a.table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "text"))
@@ -223,7 +231,7 @@ def _(s, d):
     return metrics.counters(e, "platform").withColumn("total", F.round("total", 4))
 
 
-@register("adaptive_delay")
+@register("adaptive_delay", f"WITH RECURSIVE {FOLD} SELECT key AS author_id, d AS delay_ms, e AS consecutive_errors, e < 3 AS may_continue FROM last")
 def _(s, d):
     e = a.activity(s, d).withColumn("outcome", F.when(F.col("platform") == "error", "rate_limit").when(F.col("platform") == "click", "error").otherwise("success"))
     return metrics.adaptive_delay(e, "author_id", "seq", "outcome")

@@ -20,6 +20,18 @@ ACTIVITY = "(SELECT event_id AS seq, user_id AS author_id, event_type AS platfor
 THREADS = "(SELECT conv_id AS post_id, turn AS idx, role, text, role <> 'user' AS is_reply FROM conversations)"
 
 
+#: The adaptive delay of each author after its events in order, step by step.
+FOLD = """
+    o AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE event_type WHEN 'error' THEN 'rate_limit' WHEN 'click' THEN 'error' ELSE 'success' END AS o FROM events),
+    f(key, k, d, s, e) AS (
+        SELECT DISTINCT user_id, 0::BIGINT, 2000::BIGINT, 0, 0 FROM events
+        UNION ALL
+        SELECT f.key, o.k, CASE o WHEN 'success' THEN CASE WHEN s + 1 >= 10 AND greatest(floor(d * 0.9::DOUBLE), 500) < d THEN greatest(floor(d * 0.9::DOUBLE), 500) ELSE d END WHEN 'rate_limit' THEN least(floor(d * 1.5::DOUBLE), 30000) ELSE CASE WHEN e >= 1 THEN least(floor(d * 1.2::DOUBLE), 30000) ELSE d END END::BIGINT,
+               CASE WHEN o = 'success' AND NOT (s + 1 >= 10 AND greatest(floor(d * 0.9::DOUBLE), 500) < d) THEN s + 1 ELSE 0 END, CASE WHEN o = 'success' THEN 0 ELSE e + 1 END
+        FROM f JOIN o ON o.key = f.key AND o.k = f.k + 1),
+    last AS (SELECT key, arg_max(d, k) AS d, arg_max(e, k) AS e FROM f GROUP BY 1)"""
+
+
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f

@@ -5,18 +5,32 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from threadmill.plans.core import register
+from threadmill.plans.core import FOLD, register
+from threadmill.session import exists, shared_path
 from threadmill.sources.adapters import table
 from threadmill.streaming import events
 
 
-def _drained(frame, mode):
-    """What a stream gives over all its input."""
-    name = f"drained_{uuid.uuid4().hex}"
-    q = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return frame.sparkSession.table(name)
+def _drained(frame, mode, *keys):
+    """What a stream gives over all its input. Every micro-batch writes a folder of its own, again if it is repeated; of a complete output the last one counts, of updates each key's last row."""
+    spark = frame.sparkSession
+    at = shared_path(spark, f"stream-{uuid.uuid4().hex}")
+
+    def write(batch, number):
+        batch.withColumn("__n", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{at}/out/b{number}")
+
+    frame.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*frame.schema.fields, T.StructField("__n", T.LongType())])
+    done = spark.read.schema(schema).option("recursiveFileLookup", True).option("ignoreMissingFiles", True).parquet(f"{at}/out") if exists(spark, f"{at}/out") else spark.createDataFrame([], schema)
+    if mode == "complete":
+        last = done.agg(F.max("__n")).first()[0]
+        done = done.where(F.col("__n") == last) if last is not None else done
+    elif mode == "update":
+        rest = [c for c in frame.columns if c not in keys]
+        done = done.groupBy(*keys).agg(*[F.max_by(c, "__n").alias(c) for c in rest])
+    return done.select(*frame.columns)
 
 
 def _stream(s, d):
@@ -38,7 +52,7 @@ def _(s, d):
     return _drained(events.progress(_stream(s, d), 1000, "user_id"), "complete")
 
 
-@register("stream_limiter")
+@register("stream_limiter", f"WITH RECURSIVE {FOLD} SELECT key AS user_id, d::BIGINT AS delay_ms, e::BIGINT AS consecutive_errors FROM last")
 def _(s, d):
     outcome = F.when(F.col("event_type") == "error", "rate_limit").when(F.col("event_type") == "click", "error").otherwise("success")
-    return _drained(events.limiter(_stream(s, d).select("user_id", outcome.alias("outcome"), "event_id"), "user_id", "outcome"), "update")
+    return _drained(events.limiter(_stream(s, d).select("user_id", outcome.alias("outcome"), "event_id"), "user_id", "outcome"), "update", "user_id")

@@ -1,5 +1,7 @@
 """Session with the settings that the operators assume."""
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +18,19 @@ def session(name: str = "threadmill", **conf: object) -> SparkSession:
     for k, v in (fixed | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path below the folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where all tasks run in this process. Raises on a cluster that names none."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at is None:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="threadmill-")
+    return f"{at.rstrip('/')}/threadmill/{spark.sparkContext.applicationId}/{name}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

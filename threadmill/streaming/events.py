@@ -60,22 +60,22 @@ def to_parquet(events: DataFrame, path: str, checkpoint: str, mode: str = "appen
 
 
 def limiter(events: DataFrame, key: str, outcome: str, base: int = 2000, least: int = 500, most: int = 30000, successes: int = 10) -> DataFrame:
-    """The adaptive delay as a stream: the state of each key is its delay, successes and errors in a row."""
+    """The adaptive delay as a stream: the state of each key is its delay, successes and errors in a row. A key's rows of one micro-batch are put in the order of the last column; ``read``'s max_files bounds them."""
 
     def step(k: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         delay, good, bad = state.get if state.exists else (base, 0, 0)
-        for pdf in rows:
-            for o in pdf.sort_values(pdf.columns[-1])[outcome]:
-                if o == "success":
-                    good, bad = good + 1, 0
-                    if good >= successes and (shrunk := max(int(delay * 0.9), least)) < delay:
-                        delay, good = shrunk, 0
-                elif o == "rate_limit":
-                    delay, good, bad = min(int(delay * 1.5), most), 0, bad + 1
-                else:
-                    bad, good = bad + 1, 0
-                    if bad > 1:
-                        delay = min(int(delay * 1.2), most)
+        pdf = pd.concat([*rows])
+        for o in pdf.sort_values(pdf.columns[-1])[outcome]:
+            if o == "success":
+                good, bad = good + 1, 0
+                if good >= successes and (shrunk := max(int(delay * 0.9), least)) < delay:
+                    delay, good = shrunk, 0
+            elif o == "rate_limit":
+                delay, good, bad = min(int(delay * 1.5), most), 0, bad + 1
+            else:
+                bad, good = bad + 1, 0
+                if bad > 1:
+                    delay = min(int(delay * 1.2), most)
         state.update((delay, good, bad))
         yield pd.DataFrame({key: [k[0]], "delay_ms": [delay], "consecutive_errors": [bad]})
 
