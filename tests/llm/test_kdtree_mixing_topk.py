@@ -130,3 +130,62 @@ def test_large_components_cost_their_own_rows_alone(spark, monkeypatch):
     for q, found in got.items():
         want = sorted((-clamp(sum(a * b for a, b in zip(whole[q], v))), i) for i, v in whole.items() if i != q)[:20]
         assert found == [(i, -s) for s, i in want]
+
+
+def plain_tree(rows, dims, node, leaves, out, used):
+    """Shards of rows (id, size, keys) by a k-d tree in memory."""
+    if leaves == 1 or not rows:
+        out.update({i: node for i, _, _ in rows})
+        return
+    places = [[keys[d] >> 28 for _, _, keys in rows] for d in range(dims)]
+    dim = max(range(dims), key=lambda d: (max(places[d]) - min(places[d]), -d))
+    used.add(dim)
+    want, seen, cut = sum(s for _, s, _ in rows) * (leaves // 2) / leaves, 0, None
+    by_key = defaultdict(int)
+    for _, s, keys in rows:
+        by_key[keys[dim]] += s
+    for k in sorted(by_key):
+        if seen + by_key[k] >= want:
+            cut = k - 1 if 2 * (want - seen) < by_key[k] else k
+            break
+        seen += by_key[k]
+    plain_tree([x for x in rows if x[2][dim] <= cut], dims, node, leaves // 2, out, used)
+    plain_tree([x for x in rows if x[2][dim] > cut], dims, node + leaves // 2, leaves - leaves // 2, out, used)
+
+
+def test_tree_matches_a_plain_one(spark):
+    r = random.Random(4)
+    rows = [(i, "w" * r.randint(0, 60), r.choice(["en", "fr", None]), f"s{min(r.randint(0, 30), 9)}", r.choice([None, r.randint(1, 10), r.randint(1, 100_000)])) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    total = sum(len(x[1]) + 1 for x in rows)
+    got = kdtree.placed(df, ("lang", "source", "n_chars"), target_bytes=-(-total // 37)).collect()
+    want, used = {}, set()
+    plain_tree([(x.id, x.size, (x.key0, x.key1, x.key2)) for x in got], 3, 0, 37, want, used)
+    assert {x.id: x.node for x in got} == want and used == {0, 1, 2}
+    assert all(0 <= k < 1 << 52 for x in got for k in (x.key0, x.key1, x.key2))
+    at = defaultdict(int)
+    for x in got:
+        at[x.node] += x.size
+    assert len(at) == 37 and max(at.values()) <= 2.5 * total / 37
+
+
+def test_shards_of_several_types(spark):
+    rows = [(i, "t", float("nan") if i % 5 == 0 else i / 7, i % 3 == 0) for i in range(64)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, weight double, flag boolean")
+    got = kdtree.shards(df, n_shards=4, dims=("weight", "flag")).collect()
+    assert Counter(x.shard for x in got) == {k: 16 for k in range(4)}
+
+
+def test_draws_lie_in_the_order_of_the_mixture(spark):
+    df = documents(spark)
+    mix = mixing.Mix(df, block_tokens=256)
+    place = defaultdict(list)
+    for x in mix.drawn(mix.rows).collect():
+        place[x.id].append(x.position)
+    got = [x.doc_id for x in mixing.mixed(df, block_tokens=256).toLocalIterator()]
+    assert Counter(got) == {i: len(p) for i, p in place.items()}
+    left, last = {i: sorted(p) for i, p in place.items()}, -1.0
+    for i in got:
+        assert left[i][0] >= last
+        last = left[i].pop(0)
+    assert any(max(p) - min(p) > 0.1 for p in place.values() if len(p) > 1)

@@ -30,9 +30,39 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/threadmill/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/threadmill/{name}-{uuid.uuid4().hex}"
+    """A new path below the application's part of the shared folder."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that operators have left in the shared folder for this application; to be called when their results are written, as results that are still to be read come from there."""
+    _delete(spark, _folder(spark))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df.scratch_path)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, as like the given ones as can be."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def scratch_uri(spark: SparkSession, name: str) -> str:
@@ -54,7 +84,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch_path = path
+    return written
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

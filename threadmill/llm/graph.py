@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import materialise
+from threadmill.llm.common import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     now = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = None
     for _ in range(rounds):
-        now = materialise(_small_star(_large_star(now)), "links")
+        before, now = now, materialise(_small_star(_large_star(now)), "links")
+        discard(before)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20)")).alias("h")).first()
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadmill.llm.common import materialise
+from threadmill.llm.common import discard, materialise
 
 _PLACE, _TIE, _DIGIT = 24, 28, 13
 #: Rows that share a number within a shard before slots are counted up.
@@ -59,9 +59,9 @@ def _cuts(rows: DataFrame, dims: int) -> DataFrame:
         digit = F.shiftright(_key(F.col("dim"), dims), low)
         sums = rows.join(nodes, "node").where(F.shiftright(digit, _DIGIT) == F.col("prefix")).groupBy("node", "dim", "want", digit.alias("digit")).agg(F.sum("size").alias("size"))
         order = Window.partitionBy("node").orderBy("digit")
-        before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-        found = sums.withColumn("before", before).where("before < want and before + size >= want")
-        nodes = materialise(found.select("node", "dim", (F.col("want") - F.col("before")).alias("want"), F.col("digit").alias("prefix"), F.col("size").alias("band")), "nodes")
+        found = sums.withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).where("before < want and before + size >= want")
+        before, nodes = nodes, materialise(found.select("node", "dim", (F.col("want") - F.col("before")).alias("want"), F.col("digit").alias("prefix"), F.col("size").alias("band")), "nodes")
+        discard(before)
     return nodes.select("node", "dim", (F.col("prefix") - F.when(2 * F.col("want") < F.col("band"), 1).otherwise(0)).alias("cut"))
 
 
@@ -80,13 +80,15 @@ def placed(df: DataFrame, dims: tuple[str, ...], n_shards: int | None = None, ta
         place = F.floor((F.col(f"raw{i}") - low) / (extent or 1.0) * ((1 << _PLACE) - 2)) + 1
         keys.append((F.shiftleft(F.coalesce(place, F.lit(0)), _TIE) + tie).alias(f"key{i}"))
     rows = materialise(metadata.select("id", "size", "text_crc32", *keys, F.lit(0).alias("node"), F.lit(n_shards).alias("leaves")), "tree")
+    discard(metadata)
     for _ in range((n_shards - 1).bit_length()):
         cuts = _cuts(rows, len(dims)).withColumnRenamed("node", "of")
         lower = F.expr("leaves div 2")
         right, split = _key(F.col("dim"), len(dims)) > F.col("cut"), F.col("of").isNotNull()
         node = F.when(split & right, F.col("node") + lower).otherwise(F.col("node"))
         leaves = F.when(~split, F.col("leaves")).when(right, F.col("leaves") - lower).otherwise(lower)
-        rows = materialise(rows.join(cuts, F.col("node") == F.col("of"), "left").select("id", "size", "text_crc32", *[f"key{i}" for i in range(len(dims))], node.cast("int").alias("node"), leaves.cast("int").alias("leaves")), "tree")
+        before, rows = rows, materialise(rows.join(cuts, F.col("node") == F.col("of"), "left").select("id", "size", "text_crc32", *[f"key{i}" for i in range(len(dims))], node.cast("int").alias("node"), leaves.cast("int").alias("leaves")), "tree")
+        discard(before)
     return rows.select("id", "size", "text_crc32", *[f"key{i}" for i in range(len(dims))], "node")
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import materialise
+from threadmill.llm.common import free_names, materialise
 from threadmill.llm.graph import components
 
 BITS = 64
@@ -259,9 +259,10 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, radius: int = 2) -> DataFrame:
     """All columns of the one document of each group that has the smallest id; of repeated rows with that id one stays. Rows with a null id have no place in a group and stay."""
-    found = groups(df.where(F.col(id_col).isNotNull()), id_col, text_col, words_each, radius)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    kept = df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+    found = materialise(groups(df.where(F.col(id_col).isNotNull()), id_col, text_col, words_each, radius), "groups")
+    (name,) = free_names(df, "gone")
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    kept = df.join(gone, F.col(id_col) == F.col(name), "left_anti")
     if found.groupBy(id_col).count().where("count > 1").isEmpty():
         return kept
     return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
