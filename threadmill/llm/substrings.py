@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from threadmill.llm.common import WORD_PATTERN, materialise
+from threadmill.llm.common import WORD_PATTERN, byte_slices, discard, free_names, materialise
 
 #: Words of an anchor. Shorter ones are fewer, but in a large corpus more of them recur by chance alone.
 SEED = 8
@@ -110,43 +110,43 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray | None]:
 def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, finish: Callable, schema: T.StructType) -> DataFrame:
     """Rows of ``schema``: columns of docs, and what finish(document, mask of its removed words) returns by name. The ids of docs are not null."""
     kind = docs.schema[id_col].dataType.simpleString()
+    seeds_id, seeds_at, firsts_id, firsts_at = free_names(docs, "seeds_id", "seeds_at", "firsts_id", "firsts_at")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in byte_slices(batch, 1):
                 found = [(d.grams[p].view(np.int64), p) if len(p := (d := _Doc(x, length)).anchors()) else (np.zeros(0, np.int64), p) for x in part.column(1).to_pylist()]
                 owner = np.repeat(np.arange(part.num_rows), [len(p) for _, p in found])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in found])), part.column(0).take(pa.array(owner)), pa.array(np.concatenate([p for _, p in found]).astype(np.int32))], ["anchor", "id", "at"])
 
     seen = docs.select(id_col, text_col).mapInArrow(anchors, f"anchor bigint, id {kind}, at int")
     again = materialise(seen.groupBy("anchor").count().where("count > 1").select("anchor"), "again")
-    seeds = materialise(seen.join(again, "anchor").groupBy("id").agg(F.collect_list("at").alias("seeds")), "seeds")
+    seeds = materialise(seen.join(again, "anchor").groupBy(F.col("id").alias(seeds_id)).agg(F.collect_list("at").alias(seeds_at)), "seeds")
+    discard(again)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                found = [_Doc(x, length).windows(s) for x, s in zip(part.column(text_col).to_pylist(), _lists(part.column("__seeds")))]
+            for part in byte_slices(batch, batch.schema.get_field_index(text_col)):
+                found = [_Doc(x, length).windows(s) for x, s in zip(part.column(text_col).to_pylist(), _lists(part.column(seeds_at)))]
                 owner = np.repeat(np.arange(part.num_rows), [len(s) for _, _, s in found])
                 a, b, s = (np.concatenate([f[k] for f in found]) for k in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), part.column("__id").take(pa.array(owner)), pa.array(s.astype(np.int32))], ["a", "b", "id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), part.column(seeds_id).take(pa.array(owner)), pa.array(s.astype(np.int32))], ["a", "b", "id", "start"])
 
-    hinted = docs.join(seeds.withColumnsRenamed({"id": "__id", "seeds": "__seeds"}), docs[id_col] == F.col("__id"), "left")
-    window = hinted.where("__seeds is not null").mapInArrow(windows, f"a bigint, b bigint, id {kind}, start int")
+    hinted = docs.join(seeds, F.col(id_col) == F.col(seeds_id), "left")
+    window = hinted.where(F.col(seeds_at).isNotNull()).mapInArrow(windows, f"a bigint, b bigint, id {kind}, start int")
     earliest = window.groupBy("a", "b").agg(F.min("id").alias("id"), F.min_by("start", "id").alias("start"))
-    firsts = materialise(earliest.groupBy("id").agg(F.collect_list("start").alias("__firsts")).withColumnRenamed("id", "__of"), "firsts")
+    firsts = materialise(earliest.groupBy(F.col("id").alias(firsts_id)).agg(F.collect_list("start").alias(firsts_at)), "firsts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, whole.schema.get_field_index(text_col))):
             done = []
-            for x, s, f in zip(batch.column(text_col).to_pylist(), _lists(batch.column("__seeds")), _lists(batch.column("__firsts"))):
+            for x, s, f in zip(batch.column(text_col).to_pylist(), _lists(batch.column(seeds_at)), _lists(batch.column(firsts_at))):
                 d = _Doc(x, length, hashed=s is not None)
                 done.append(finish(d, d.covered(s, f)))
             made = done[0].keys() if done else ()
             yield pa.RecordBatch.from_arrays([pa.array([x[f.name] for x in done], to_arrow_type(f.dataType)) if f.name in made else batch.column(f.name) for f in schema.fields], schema.names)
 
-    return hinted.join(firsts, F.col("__id") == F.col("__of"), "left").mapInArrow(cut, schema)
+    return hinted.join(firsts, F.col(seeds_id) == F.col(firsts_id), "left").mapInArrow(cut, schema)
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20) -> DataFrame:
