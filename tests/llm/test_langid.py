@@ -85,3 +85,19 @@ def test_memory_does_not_grow_with_distinct_letters():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 150 << 20 and np.abs(total).max() > 0
+
+
+def test_stage_rejects_what_no_language_knows(spark):
+    df = documents(spark)
+    r = random.Random(8)
+    odd = [(900 + i, " ".join("".join(r.choice("ღამეთშვილ") for _ in range(4)) for _ in range(40)), "en", "s") for i in range(3)] + [(950, "12 %", "en", "s"), (951, None, None, None)]
+    got = {x.doc_id for x in langid.accept(df.unionByName(spark.createDataFrame(odd, df.schema))).collect()}
+    assert len(got & {*range(240)}) >= 239 and not got & {900, 901, 902, 950, 951}
+    nothing = df.selectExpr("doc_id", "text", "cast(null as string) as lang", "score").unionByName(spark.createDataFrame(odd, df.schema).selectExpr("doc_id", "text", "cast(null as string) as lang", "score"))
+    assert langid.accept(nothing).count() == 243
+
+
+def test_columns_may_clash(spark):
+    df = documents(spark, 40).withColumnsRenamed({"score": "row"}).selectExpr("*", "1 as size", "'x' as lang_pred", "0.5 as score")
+    kept = langid.accept(df)
+    assert kept.columns == df.columns and kept.count() >= 39

@@ -36,3 +36,18 @@ def test_pipeline_keeps_clean_documents_and_drops_the_rest(spark, tmp_path):
 def test_registered():
     names = [*__spark_entry__.queries()]
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+
+
+def test_stages_keep_extra_columns_and_clean_up(spark, tmp_path):
+    from threadmill.llm import common
+
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("theandofinrs") for _ in range(r.randint(2, 7)))
+    rows = [(i, " ".join(word() for _ in range(60)), "en", f"s{i % 3}", 1, i, "g", [1], 2.0, "k", 3) for i in range(20)] + [(99, "word " * 40_000, "en", "s0", 1, 1, "g", [1], 2.0, "k", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, gone long, seeds_id string, firsts_at array<int>, position double, key string, block int")
+    docs = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == df.columns, name
+    assert {x.doc_id for x in docs.collect()} == {*range(20), 99}
+    common.clean(spark)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import byte_slices
+from threadmill.llm.common import byte_slices, checkpointed, materialise
 
 #: Components of a vector, letters of an n-gram (at most 3, of 21 bits each), documents and bytes that are bundled together, and n-grams whose vectors stand in memory at once.
 SIZE, LETTERS, DOCS, BYTES, GRAMS = 1024, 3, 256, 1 << 20, 4096
@@ -137,10 +137,27 @@ def held_out(df: DataFrame) -> DataFrame:
     return done.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def accept(df: DataFrame, min_score: float = 0.0, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """All columns of the rows whose language is known: not ``und``, and a score of at least ``min_score``. Learns from all rows that have a language."""
+def _length_class(text: Column) -> Column:
+    """Texts of 2 ** k characters or more and below 2 ** (k + 1) are of class k; scores of short texts are lower and spread wider."""
+    return F.floor(F.log2(F.length(text) + 1)).cast("int")
+
+
+def bounds(predicted: DataFrame, spread: float = 8.0, least: float = 0.02) -> DataFrame:
+    """``of``, ``size`` and ``low``: for each language and class of lengths the median score less ``spread`` times the lower quartile's distance from it, or ``least``. predicted: lang_pred, size, score."""
+    q = predicted.where(F.col("lang_pred") != UNDETERMINED).groupBy(F.col("lang_pred").alias("of"), F.col("size").alias("of_size")).agg(F.percentile_approx("score", [0.25, 0.5], 10_000).alias("q"))
+    return q.select("of", "of_size", F.expr(f"q[1] - {spread} * greatest(q[1] - q[0], {least}D)").alias("low"))
+
+
+def accept(df: DataFrame, min_score: float | None = None, text_col: str = "text", lang_col: str = "lang", spread: float = 8.0) -> DataFrame:
+    """All columns of the rows whose language is known: not ``und``, and a score of at least ``min_score`` or, without one, of the bound of its language and length (see ``bounds``). Learns from all rows that have a language; where none has, rows with a letter are kept."""
     prototypes = fit(df, text_col, lang_col)
-    names = df.columns
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).alias("text"))
-    done = predict(rows, prototypes, "text", ("row",))
-    return done.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("row.*")
+    if not prototypes:
+        return df.where(F.col(text_col).rlike(r"\p{L}"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), _length_class(F.col(text_col)).alias("size"), F.col(text_col).alias("text"))
+    done = predict(rows, prototypes, "text", ("row", "size"))
+    if min_score is not None:
+        return done.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("row.*")
+    done = materialise(done, "languages")
+    low = checkpointed(bounds(done, spread))
+    judged = done.join(F.broadcast(low), (F.col("lang_pred") == F.col("of")) & (F.col("size") == F.col("of_size")))
+    return judged.where(F.col("score") >= F.col("low")).select("row.*")

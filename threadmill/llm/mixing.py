@@ -77,7 +77,8 @@ class Mix:
         self.n_sources = self.sources.count()
         placed = self.placed(self.rows)
         sums = checkpointed(placed.groupBy("source", "block").agg(F.sum("tokens").alias("size")))
-        epochs = sums.join(self.sources.select("source", "epochs", "rest"), "source").select("source", "block", "size", "rest", F.col("epochs").alias("last"), F.explode(F.sequence(F.lit(0), F.col("epochs").cast("int"))).alias("epoch"))
+        spent = F.greatest("budget", F.lit(1))
+        epochs = sums.join(self.sources.select("source", "epochs", "rest", F.col("tokens").alias("all"), spent.alias("spent")), "source").select("source", "block", "size", "rest", "all", "spent", F.col("epochs").alias("last"), F.explode(F.sequence(F.lit(0), F.col("epochs").cast("int"))).alias("epoch"))
         order = Window.partitionBy("source", "epoch").orderBy("order", "block")
         ranked = epochs.withColumn("order", _h(F.lit(seed), F.col("source"), F.col("epoch"), F.col("block")))
         ranked = ranked.select("*", F.row_number().over(order).alias("block_rank"), (F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("before"))
@@ -87,7 +88,8 @@ class Mix:
         filled = placed.join(edge, same).withColumn("sum", F.sum("tokens").over(Window.partitionBy("s", "b").orderBy("key"))).where("sum <= room")
         upto = edge.select("s", "b").join(filled.groupBy("s", "b").agg(F.max("key").alias("upto")), ["s", "b"], "left").select("s", "b", F.coalesce("upto", F.lit("")).alias("upto"))
         partly = ranked.join(upto, same & (F.col("epoch") == F.col("last")), "left")
-        self.schedule = checkpointed(partly.select(F.col("source").alias("s"), F.col("block").alias("b"), "epoch", "block_rank", "upto"))
+        position = (F.col("epoch") * F.col("all") + F.col("before")) / F.col("spent")
+        self.schedule = checkpointed(partly.select(F.col("source").alias("s"), F.col("block").alias("b"), "epoch", "block_rank", "upto", position.alias("position")))
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """Adds each row's block within its source. A hot source is never dealt to one task: the table of sources is broadcast where it is small, else it is repeated for parts of a source."""
@@ -107,12 +109,16 @@ class Mix:
 
 
 def schedule(df: DataFrame) -> DataFrame:
-    """Every draw of every document: doc_id, source, ``tokens``, ``epoch``, ``block`` and ``block_rank``, the block's place in its source's epoch."""
+    """Every draw of every document: doc_id, source, ``tokens``, ``epoch``, ``block`` and ``block_rank``, the block's place in its source's epoch. ``Mix.drawn`` gives ``position`` too."""
     mix = Mix(df)
     return mix.drawn(mix.rows).select(F.col("id").alias("doc_id"), "source", "tokens", "epoch", "block", "block_rank")
 
 
-def mixed(df: DataFrame, **settings: object) -> DataFrame:
-    """All columns of the rows, each row as often as it is drawn."""
+def mixed(df: DataFrame, order: bool = True, **settings: object) -> DataFrame:
+    """All columns of the rows, each row as often as it is drawn. Rows lie in the order of the draws: by ``position`` - the share of its source's budget that is spent before a block - then by source, epoch and key, in
+    ascending ranges over the partitions. So any stretch of what is written holds the sources in the proportions of their budgets, blocks in the order of their permutations, and draws of one row apart. Without ``order`` rows lie anywhere."""
     mix = Mix(df, **settings)
-    return mix.drawn(df.select(F.struct("*").alias("row"), mix.source.alias("source"), mix.key.alias("key"))).select("row.*")
+    drawn = mix.drawn(df.select(F.struct("*").alias("row"), mix.source.alias("source"), mix.key.alias("key")))
+    if order:
+        drawn = drawn.repartitionByRange("position", "source", "epoch", "key").sortWithinPartitions("position", "source", "epoch", "key")
+    return drawn.select("row.*")
