@@ -1,4 +1,4 @@
-"""Command line over stored tables: ``python -m threadmill stats|duplicates|export|list-formats|list-presets|list-platforms``."""
+"""Command line over stored tables: ``python -m threadmill stats|duplicates|export|export-posts|batch|list-formats|list-presets|list-platforms``."""
 
 from __future__ import annotations
 
@@ -14,12 +14,12 @@ from threadmill.session import session
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="threadmill")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name in ("stats", "duplicates", "export"):
+    for name in ("stats", "duplicates", "export", "export-posts", "batch"):
         p = sub.add_parser(name)
         p.add_argument("table", help="Parquet folder of comments or posts")
         p.add_argument("--client")
         p.add_argument("--platform", choices=schema.PLATFORMS)
-        if name == "export":
+        if name in ("export", "export-posts", "batch"):
             p.add_argument("--format", default="jsonl", choices=sorted(export.WRITERS))
             p.add_argument("--preset", choices=sorted(export.PRESETS))
             p.add_argument("--since")
@@ -40,6 +40,12 @@ def main(argv: list[str] | None = None) -> None:
         query.counts(rows, "client", "platform").orderBy("client", "platform").show(1000, truncate=False)
     elif args.command == "duplicates":
         query.duplicate_groups(rows, "client").orderBy(F.desc("n"), "text").show(50)
+    elif args.command == "batch":
+        # one folder for each client and platform that has rows
+        pairs = rows.select("client", "platform").distinct().orderBy("client", "platform").toLocalIterator()
+        for client, platform in [(r.client, r.platform) for r in pairs]:
+            own = rows.where(F.col("client").eqNullSafe(client) & F.col("platform").eqNullSafe(platform))
+            print(export.write(own, args.format, args.to, str(client), str(platform), options=export.preset(args.preset) if args.preset else None))
     else:
         print(export.write(rows, args.format, args.to, options=export.preset(args.preset) if args.preset else None))
 

@@ -66,6 +66,15 @@ def round_half_up(c: Column) -> Column:
     return F.floor(c + 0.5)
 
 
+def hover_count(c: Column) -> Column:
+    """A count as a page's script reads it: as ``parse_count_basic``, but a number with a unit is rounded half up instead of cut."""
+    low = F.lower(c)
+    number = F.regexp_replace(F.regexp_extract(low, r"([0-9,.]+)\s*([kmb])?", 1), ",", "").try_cast("double")
+    unit = F.regexp_extract(low, r"([0-9,.]+)\s*([kmb])?", 2)
+    factor = F.coalesce(*[F.when(unit == u, F.lit(x)) for u, x in _SCALE.items()], F.lit(1.0))
+    return F.coalesce(round_half_up(number * factor).cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def valid_count_text(c: Column) -> Column:
     """Whether text can be a count: at most 100 characters, and not digits and letters in many turns."""
     digits, letters = F.length(F.regexp_replace(c, "[^0-9]", "")), F.length(F.regexp_replace(c, r"[^\p{L}]", ""))

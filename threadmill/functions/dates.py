@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zoneinfo
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,8 +69,12 @@ def relative_post(c: Column, now: Column) -> Column:
 
 
 def formatted(c: Column, style: str, pattern: str | None = None, zone: str | None = None) -> Column:
-    """``iso``, ``iso_date``, ``timestamp`` (epoch seconds as text), ``human`` or ``custom`` with a pattern, in UTC or a zone."""
-    at = F.from_utc_timestamp(c, zone) if zone else c
+    """``iso``, ``iso_date``, ``timestamp`` (epoch seconds as text), ``human`` or ``custom`` with a pattern, in UTC or a zone; a zone that nobody knows is ignored."""
+    try:
+        known_zone = bool(zone) and zoneinfo.ZoneInfo(zone) is not None
+    except (zoneinfo.ZoneInfoNotFoundError, ValueError):
+        known_zone = False
+    at = F.from_utc_timestamp(c, zone) if known_zone else c
     if style == "timestamp":
         return F.unix_timestamp(c).cast("string")
     known = {"iso": "yyyy-MM-dd'T'HH:mm:ss", "iso_date": "yyyy-MM-dd", "human": "MMM dd, yyyy hh:mm a"}

@@ -96,6 +96,46 @@ def heatmap(df: DataFrame) -> DataFrame:
     return df.select(F.dayofweek("published_at").alias("weekday"), F.hour("published_at").alias("hour")).groupBy("weekday").pivot("hour", [*range(24)]).count()
 
 
+def reply_ratio(df: DataFrame) -> DataFrame:
+    """Per author the share of its comments that are replies. df: author_id, is_reply."""
+    return df.groupBy("author_id").agg((F.count_if("is_reply") / F.count("*")).alias("reply_ratio"))
+
+
+def verified_count(df: DataFrame) -> DataFrame:
+    """Authors, and those that are verified in any of their comments. df: author_id, verified."""
+    return df.groupBy("author_id").agg(F.max("verified").alias("v")).agg(F.count("*").alias("commenters"), F.count_if("v").alias("verified"))
+
+
+def peaks(df: DataFrame, *keys: str) -> DataFrame:
+    """The hour and the weekday with most comments; of equal ones the one that is seen first. df: published_at, seq."""
+    def peak(part: Column, name: str) -> DataFrame:
+        g = df.groupBy(*keys, part.alias(name)).agg(F.count("*").alias("n"), F.min(F.struct("published_at", "seq")).alias("first"))
+        order = Window.partitionBy(*keys).orderBy(F.desc("n"), "first")
+        return g.withColumn("k", F.row_number().over(order)).where("k = 1").select(*keys, name, F.col("n").alias(f"{name}_count"))
+
+    hours, days = peak(F.hour("published_at"), "peak_hour"), peak(F.date_format("published_at", "EEEE"), "peak_weekday")
+    return hours.join(days, [*keys]) if keys else hours.join(days)
+
+
+def sentiment(df: DataFrame, *keys: str) -> DataFrame:
+    """Positive, negative and neutral rows of each key, such as a platform or a day. df: label (positive, negative, or anything else)."""
+    return df.groupBy(*keys).agg(F.count_if(F.col("label") == "positive").alias("positive"), F.count_if(F.col("label") == "negative").alias("negative"), F.count_if(~F.coalesce(F.col("label").isin("positive", "negative"), F.lit(False))).alias("neutral"))
+
+
+def contact_sentiment(df: DataFrame) -> DataFrame:
+    """Per author the score of its first and last comment and its distinct topics. df: author_id, published_at, seq, score, topics."""
+    at = F.struct("published_at", "seq")
+    ends = df.groupBy("author_id").agg(F.min_by("score", at).alias("first_score"), F.max_by("score", at).alias("last_score"))
+    topics = df.select("author_id", F.explode("topics").alias("topic")).groupBy("author_id").agg(F.array_sort(F.collect_set("topic")).alias("topics"))
+    return ends.join(topics, "author_id", "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
+
+
+def progression(df: DataFrame) -> DataFrame:
+    """The positive scores of each author in order, as rows with their ``place``: the list that a journey shows, without an array that grows with an author. df: author_id, published_at, seq, score."""
+    place = F.row_number().over(Window.partitionBy("author_id").orderBy("published_at", "seq"))
+    return df.where("score > 0").select("author_id", place.alias("place"), "published_at", "score")
+
+
 def journey(df: DataFrame) -> DataFrame:
     """Per author: first and last contact, and the trend between the halves of the positive scores, with 3 of these at least. df: author_id, published_at, seq, score. An author's comments are one array."""
     g = df.groupBy("author_id").agg(F.array_sort(F.collect_list(F.struct("published_at", "seq", "score"))).alias("a"))

@@ -6,7 +6,8 @@ from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, StopWordsRemover
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadmill.functions.text import cosine, jaccard, words
@@ -101,6 +102,31 @@ def group_report(df: DataFrame, group: str) -> DataFrame:
     return platforms.withColumn("percentage", F.bround(100.0 * F.col("count") / F.lit(max(total, 1)), 2))
 
 
+def group_details(df: DataFrame, group: str, top: int = 5, author: str = "author_id") -> DataFrame:
+    """Per group: distinct authors, first and last time, and the ``top`` most frequent words of three letters or more, ties in alphabetical order. df: text, published_at and the author."""
+    base = df.groupBy(group, author).agg(F.min("published_at").alias("a"), F.max("published_at").alias("b"))
+    base = base.groupBy(group).agg(F.count(author).alias("unique_authors"), F.min("a").alias("first_date"), F.max("b").alias("last_date"))
+    counted = df.select(group, F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("word")).where(F.length("word") >= 3).groupBy(group, "word").agg(F.count("*").alias("n"))
+    k = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "word"))
+    words_ = counted.withColumn("k", k).where(F.col("k") <= top).groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x.word).alias("keywords"))
+    return base.join(words_, group, "left")
+
+
+def group_samples(df: DataFrame, group: str, order: str, first: int = 3) -> DataFrame:
+    """The first rows of each group. Spark drops all others within each partition before it shuffles."""
+    k = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    return df.withColumn("k", k).where(F.col("k") <= first)
+
+
+def cluster_terms(clustered: DataFrame, cluster: str = "cluster", top: int = 10) -> DataFrame:
+    """The ``top`` terms of each cluster by mean weight: ``rank`` and ``term`` (the index in the vocabulary). clustered: with the ``features`` that ``kmeans`` keeps."""
+    values = clustered.select(cluster, F.posexplode(vector_to_array("features")).alias("term", "weight")).where("weight > 0")
+    n = clustered.groupBy(cluster).agg(F.count("*").alias("rows"))
+    mean = values.groupBy(cluster, "term").agg(F.sum("weight").alias("w")).join(F.broadcast(n), cluster).select(cluster, "term", (F.col("w") / F.col("rows")).alias("weight"))
+    rank = F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("weight"), "term"))
+    return mean.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
 def condense(df: DataFrame, threshold: float, partition: str, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Greedy groups in id order within each partition value: a vector joins the first group whose leader is similar enough. Sequential by definition, so partitions must be of bounded size."""
     import numpy as np

@@ -51,6 +51,30 @@ def merge_comments(old: DataFrame, new: DataFrame, key: str = "platform_id") ->
     return old.unionByName(new.join(old.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
+def merge_extractions(old_posts: DataFrame, new_posts: DataFrame, old_comments: DataFrame, new_comments: DataFrame, key: str = "platform_id") -> DataFrame:
+    """Both halves of a merge, post by post: the new post replaces the old one but keeps its created_at, its comments are the old ones and the new ones whose id the old have not; ``change`` is new, updated or kept. Posts: key, created_at; comments: post_id, platform_id."""
+    was = old_posts.select(F.col(key).alias("__k"), F.col("created_at").alias("__created"))
+    fresh = new_posts.join(was, F.col(key) == F.col("__k"), "left").withColumn("change", F.when(F.col("__k").isNull(), "new").otherwise("updated")).withColumn("created_at", F.coalesce("__created", "created_at")).drop("__k", "__created")
+    posts = fresh.unionByName(old_posts.join(new_posts.select(key).distinct(), key, "left_anti").withColumn("change", F.lit("kept")), allowMissingColumns=True)
+    pair = ["post_id", "platform_id"]
+    added = new_comments.join(old_comments.select(*pair).distinct(), pair, "left_anti")
+    n = old_comments.unionByName(added, allowMissingColumns=True).groupBy(F.col("post_id").alias("__p")).agg(F.count("*").alias("n_comments"))
+    return posts.join(n, F.col(key) == F.col("__p"), "left").drop("__p").withColumn("n_comments", F.coalesce("n_comments", F.lit(0)))
+
+
+def merge_totals(merged: DataFrame) -> DataFrame:
+    """Posts, comments, platforms, and new and updated posts of a merge."""
+    return merged.agg(F.count("*").alias("total_posts"), F.coalesce(F.sum("n_comments"), F.lit(0)).alias("total_comments"), F.array_sort(F.collect_set("platform")).alias("platforms"), F.count_if(F.col("change") == "new").alias("new_posts"), F.count_if(F.col("change") == "updated").alias("updated_posts"))
+
+
+def existing_ids(df: DataFrame, client: str, platform: str, posts: DataFrame | None = None, key: str = "platform_id") -> DataFrame:
+    """Distinct ids of a client's comments on a platform, of the given posts alone where there are any. posts: post_id."""
+    own = df.where((F.col("client") == client) & (F.col("platform") == platform))
+    if posts is not None:
+        own = own.join(posts.select("post_id").distinct(), "post_id", "left_semi")
+    return own.select(key).distinct()
+
+
 def exists_batch(df: DataFrame, ids: DataFrame, key: str = "platform_id") -> DataFrame:
     """Each distinct asked id, and whether it is there."""
     have = df.select(key).distinct().withColumn("found", F.lit(True))

@@ -33,6 +33,17 @@ def by_flag(df: DataFrame, compat: bool = False) -> DataFrame:
     return d
 
 
+def by_depth(df: DataFrame) -> DataFrame:
+    """Replies are marked, or lie in a nested list, or begin with @; a reply's depth is that of its list where this is over 2, else 2. df: is_reply, list_depth."""
+    reply = F.col("is_reply") | (F.col("list_depth") > 1) | F.coalesce(F.startswith("text", F.lit("@")), F.lit(False))
+    return parents(df, reply).withColumn("depth", F.when(F.col("is_reply"), F.greatest(F.lit(2), F.coalesce("list_depth", F.lit(0)))).otherwise(1))
+
+
+def distinct_then_parents(df: DataFrame) -> DataFrame:
+    """The first comment of each text stays, and replies belong to the last one kept before them that is none."""
+    return parents(first_of(df, F.col("text")), F.col("is_reply"))
+
+
 def first_of(df: DataFrame, key: Column, order: str = "idx") -> DataFrame:
     """The first comment of each key within a post."""
     k = F.row_number().over(Window.partitionBy("post_id", key).orderBy(order))

@@ -94,6 +94,13 @@ def post_issues(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(n.alias("post_count"), F.array_compact(F.array(F.when(n == 0, "No posts extracted"), F.when(no_text > n * 0.5, "Missing text"), F.when(no_id > 0, "Missing ids"))).alias("issues"))
 
 
+def post_set_issues(df: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """``post_issues`` of every expected key, also of those without posts."""
+    found = post_issues(df, key)
+    none = F.array(F.lit("No posts extracted"))
+    return expected.select(key).distinct().join(found, key, "left").select(key, F.coalesce("post_count", F.lit(0)).alias("post_count"), F.coalesce("issues", none).alias("issues"))
+
+
 def health(df: DataFrame) -> DataFrame:
     """Alerts for posts. df: containers, comments, text_rate, author_rate."""
     return df.withColumn("alerts", _messages(((F.col("containers") > 5) & (F.col("comments") == 0), "no comments"), ((F.col("containers") > 10) & (F.col("comments") < F.col("containers") * 0.1), "few comments"), (F.col("text_rate") < 0.5, "few texts"), (F.col("author_rate") < 0.3, "few authors")))

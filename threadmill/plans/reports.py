@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadmill.functions import counts
 from threadmill.functions import text as tx
-from threadmill.operators import export, query, results, runs, similarity, validate
-from threadmill.plans.core import ACTIVITY, COMMENTS, register
+from threadmill.operators import commenters, export, query, results, runs, similarity, store, threads, validate
+from threadmill.plans.core import ACTIVITY, COMMENTS, THREADS, register
 from threadmill.sources import adapters as a
 
 NOW = "2024-02-01 12:00:00"
@@ -375,3 +376,166 @@ def _(s, d):
 def _(s, d):
     e = a.table(s, d, "embeddings")
     return similarity.similar_to(e, e.where("vec_id % 20 = 0"), 0.3)
+
+
+@register("reply_ratios", f"SELECT post_id AS author_id, round(count(*) FILTER (is_reply) / count(*), 6) AS reply_ratio FROM {THREADS} GROUP BY 1")
+def _(s, d):
+    return commenters.reply_ratio(a.threaded(s, d).withColumn("author_id", F.col("post_id"))).withColumn("reply_ratio", F.round("reply_ratio", 6))
+
+
+@register("influence_measured", f"""
+    WITH p AS (SELECT author_id, avg(likes) AS avg_likes, count(*) AS n, count(*) FILTER (platform = 'click') / count(*) AS ratio, max(published_at) AS last_seen, max((platform = 'purchase')::INT) AS verified FROM {ACTIVITY} GROUP BY 1)
+    SELECT author_id, round(round_even(20 * verified + least(avg_likes / 10 * 30, 30) + least(n / 20 * 20, 20) + least(ratio * 15, 15) + CASE WHEN date_diff('day', last_seen, TIMESTAMP '{NOW}') <= 30 THEN 15 WHEN date_diff('day', last_seen, TIMESTAMP '{NOW}') <= 90 THEN 7.5 ELSE 0 END, 2), 1) AS score FROM p""")
+def _(s, d):
+    e = a.activity(s, d).withColumn("is_reply", F.col("platform") == "click")
+    verified = e.groupBy("author_id").agg(F.max(F.col("platform") == "purchase").alias("verified"))
+    p = commenters.profiles(e).join(commenters.reply_ratio(e), "author_id").join(verified, "author_id")
+    return p.select("author_id", F.round(commenters.influence(F.col("verified"), F.col("avg_likes"), F.col("total_comments"), F.col("reply_ratio"), F.datediff(F.to_date(_now()), F.col("last_seen"))), 1).alias("score"))
+
+
+@register("verified_commenters", f"SELECT count(*) AS commenters, count(*) FILTER (v) AS verified FROM (SELECT author_id, bool_or(platform = 'purchase' AND likes > 50) AS v FROM {ACTIVITY} GROUP BY 1)")
+def _(s, d):
+    return commenters.verified_count(a.activity(s, d).withColumn("verified", (F.col("platform") == "purchase") & (F.col("likes") > 50)))
+
+
+@register("activity_peaks", f"""
+    WITH h AS (SELECT platform, hour(published_at) AS peak_hour, count(*) AS n, min((published_at, seq)) AS f FROM {ACTIVITY} GROUP BY ALL), w AS (SELECT platform, dayname(published_at) AS peak_weekday, count(*) AS n, min((published_at, seq)) AS f FROM {ACTIVITY} GROUP BY ALL),
+    hh AS (SELECT platform, peak_hour, n AS peak_hour_count FROM h QUALIFY row_number() OVER (PARTITION BY platform ORDER BY n DESC, f) = 1), ww AS (SELECT platform, peak_weekday, n AS peak_weekday_count FROM w QUALIFY row_number() OVER (PARTITION BY platform ORDER BY n DESC, f) = 1)
+    SELECT * FROM hh JOIN ww USING (platform)""")
+def _(s, d):
+    return commenters.peaks(a.activity(s, d), "platform")
+
+
+@register("sentiment_by_day", f"SELECT platform, published_at::DATE::VARCHAR AS day, count(*) FILTER (likes > 60) AS positive, count(*) FILTER (likes < 20) AS negative, count(*) FILTER (likes BETWEEN 20 AND 60) AS neutral FROM {ACTIVITY} GROUP BY ALL")
+def _(s, d):
+    label = F.when(F.col("likes") > 60, "positive").when(F.col("likes") < 20, "negative").otherwise("neutral")
+    return commenters.sentiment(a.activity(s, d).select("platform", F.date_format("published_at", "yyyy-MM-dd").alias("day"), label.alias("label")), "platform", "day")
+
+
+@register("contact_sentiment", f"SELECT author_id, arg_min(likes, (published_at, seq)) AS first_score, arg_max(likes, (published_at, seq)) AS last_score, list_sort(list(DISTINCT platform)) AS topics FROM {ACTIVITY} GROUP BY 1")
+def _(s, d):
+    return commenters.contact_sentiment(a.activity(s, d).withColumn("score", F.col("likes")).withColumn("topics", F.array("platform")))
+
+
+@register("journey_progression", f"SELECT author_id, row_number() OVER (PARTITION BY author_id ORDER BY published_at, seq) AS place, published_at, likes AS score FROM {ACTIVITY} WHERE likes > 0")
+def _(s, d):
+    return commenters.progression(a.activity(s, d).withColumn("score", F.col("likes")))
+
+
+@register("group_details", rf"""
+    WITH w AS (SELECT client, word, count(*) AS n FROM (SELECT client, unnest(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+')) AS word FROM {COMMENTS}) WHERE length(word) >= 3 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY client ORDER BY n DESC, word) <= 5)
+    SELECT c.client, unique_authors, keywords FROM (SELECT client, count(DISTINCT platform) AS unique_authors FROM {COMMENTS} GROUP BY 1) c JOIN (SELECT client, list(word ORDER BY n DESC, word) AS keywords FROM w GROUP BY 1) k ON c.client = k.client""")
+def _(s, d):
+    c = a.comments(s, d).withColumn("published_at", F.lit(None).cast("timestamp"))
+    return similarity.group_details(c, "client", author="platform").select("client", "unique_authors", "keywords")
+
+
+@register("group_dates", f"SELECT platform, count(DISTINCT author_id) AS unique_authors, min(published_at) AS first_date, max(published_at) AS last_date FROM {ACTIVITY} GROUP BY 1")
+def _(s, d):
+    return similarity.group_details(a.activity(s, d).withColumn("text", F.col("platform")), "platform").drop("keywords")
+
+
+@register("group_samples", f"SELECT client, seq FROM {COMMENTS} QUALIFY row_number() OVER (PARTITION BY client ORDER BY seq) <= 3")
+def _(s, d):
+    return similarity.group_samples(a.comments(s, d), "client", "seq").select("client", "seq")
+
+
+@register("cluster_terms")
+def _(s, d):
+    return similarity.cluster_terms(similarity.kmeans(a.comments(s, d), 4)).select("cluster", "rank", "term")
+
+
+@register("thread_depths", f"SELECT post_id || '_c' || idx AS comment_id, CASE WHEN is_reply OR idx % 5 > 1 OR starts_with(text, '@') THEN greatest(2, idx % 5) ELSE 1 END AS depth FROM {THREADS}")
+def _(s, d):
+    return threads.by_depth(a.threaded(s, d).withColumn("list_depth", F.col("idx") % 5)).select("comment_id", "depth")
+
+
+@register("thread_distinct_parents", f"""
+    WITH k AS (SELECT * FROM {THREADS} QUALIFY row_number() OVER (PARTITION BY post_id, text ORDER BY idx) = 1)
+    SELECT post_id || '_c' || idx AS comment_id, CASE WHEN is_reply THEN last_value(CASE WHEN NOT is_reply THEN post_id || '_c' || idx END IGNORE NULLS) OVER (PARTITION BY post_id ORDER BY idx ROWS UNBOUNDED PRECEDING) END AS parent_id FROM k""")
+def _(s, d):
+    return threads.distinct_then_parents(a.threaded(s, d)).select("comment_id", "parent_id")
+
+
+MERGED = """(
+    WITH op AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0), np AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0),
+    oc AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber % 2 = 0), nc AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber % 3 <> 0),
+    c AS (SELECT l_orderkey, count(*) AS n FROM (SELECT * FROM oc UNION ALL SELECT * FROM nc n WHERE NOT EXISTS (SELECT 1 FROM oc WHERE oc.l_orderkey = n.l_orderkey AND oc.l_linenumber = n.l_linenumber)) GROUP BY 1),
+    p AS (SELECT np.o_orderkey, np.o_orderstatus, CASE WHEN op.o_orderkey IS NULL THEN 'new' ELSE 'updated' END AS change, CASE WHEN op.o_orderkey IS NULL THEN 'second' ELSE 'first' END AS created_at FROM np LEFT JOIN op USING (o_orderkey)
+          UNION ALL SELECT o_orderkey, o_orderstatus, 'kept', 'first' FROM op WHERE o_orderkey NOT IN (SELECT o_orderkey FROM np))
+    SELECT o_orderkey AS platform_id, o_orderstatus AS platform, change, created_at, coalesce(n, 0) AS n_comments FROM p LEFT JOIN c ON l_orderkey = o_orderkey)"""
+
+
+def _merged(s, d):
+    p = a.posts(s, d).select("platform_id", "platform")
+    c = a.post_comments(s, d).select("post_id", F.col("idx").alias("platform_id"))
+    old = p.where("platform_id % 3 <> 0").withColumn("created_at", F.lit("first"))
+    new = p.where("platform_id % 2 = 0 or platform_id % 3 = 0").withColumn("created_at", F.lit("second"))
+    return store.merge_extractions(old, new, c.where("platform_id % 2 = 0"), c.where("platform_id % 3 <> 0"))
+
+
+@register("merge_extractions", f"SELECT platform_id, platform, change, created_at, n_comments FROM {MERGED}")
+def _(s, d):
+    return _merged(s, d).select("platform_id", "platform", "change", "created_at", "n_comments")
+
+
+@register("merge_totals", f"SELECT count(*) AS total_posts, sum(n_comments)::BIGINT AS total_comments, list_sort(list(DISTINCT platform)) AS platforms, count(*) FILTER (change = 'new') AS new_posts, count(*) FILTER (change = 'updated') AS updated_posts FROM {MERGED}")
+def _(s, d):
+    return store.merge_totals(_merged(s, d))
+
+
+@register("existing_ids_of_posts", f"SELECT DISTINCT platform_id FROM {COMMENTS} WHERE client = 'src1' AND platform = 'en' AND post_id IN (SELECT 'p' || n_nationkey FROM nation)")
+def _(s, d):
+    posts = a.table(s, d, "nation").select(F.concat(F.lit("p"), "n_nationkey").alias("post_id"))
+    return store.existing_ids(a.comments(s, d), "src1", "en", posts)
+
+
+@register("post_set_issues", """
+    SELECT c_custkey AS account_id, count(o_orderkey) AS post_count, CASE WHEN count(o_orderkey) = 0 THEN ['No posts extracted'] ELSE list_filter([CASE WHEN count(*) FILTER (o_orderkey % 2 = 0) > count(*) * 0.5 THEN 'Missing text' END, CASE WHEN count(*) FILTER (o_orderkey % 9 = 0) > 0 THEN 'Missing ids' END], lambda x: x IS NOT NULL) END AS issues
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+def _(s, d):
+    p = a.posts(s, d).select("account_id", F.when(F.col("platform_id") % 2 != 0, "t").alias("text"), F.when(F.col("platform_id") % 9 != 0, F.col("platform_id")).alias("platform_id"))
+    return validate.post_set_issues(p, a.table(s, d, "customer").select(F.col("c_custkey").alias("account_id")), "account_id")
+
+
+@register("request_errors", "SELECT c_custkey, list_filter([CASE WHEN c_custkey % 4 = 0 THEN 'platform' END, CASE WHEN c_custkey % 5 = 0 THEN 'identifier' END, CASE WHEN c_custkey % 6 = 0 THEN 'name' END, CASE WHEN c_custkey NOT BETWEEN 1 AND 1000 THEN 'max_posts' END], lambda x: x IS NOT NULL) AS errors FROM customer")
+def _(s, d):
+    k = F.col("c_custkey")
+    r = a.table(s, d, "customer").select(
+        "c_custkey", F.when(k % 4 == 0, "myspace").otherwise("facebook").alias("platform"), F.when(k % 5 == 0, "@@a b").otherwise("@name.1").alias("identifier"), F.when(k % 6 == 0, "x").otherwise(F.col("c_name")).alias("name"),
+        k.alias("max_posts"), F.lit(10).alias("max_comments"), F.lit("2024-01-01").cast("timestamp").alias("since"), F.lit("2024-02-01").cast("timestamp").alias("until"),
+    )
+    return validate.request_errors(r, ("facebook", "instagram", "twitter", "linkedin", "google")).select("c_custkey", "errors")
+
+
+@register("validate_comment_authors", "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN l_suppkey % 7 = 0 THEN ['missing author'] ELSE [] END AS errors, CASE WHEN l_suppkey % 7 <> 0 AND l_suppkey % 3 = 0 THEN ['anonymous author'] ELSE [] END AS warnings FROM lineitem")
+def _(s, d):
+    k, none = F.col("l_suppkey"), F.lit(None).cast("string")
+    name = F.when(k % 3 != 0, "n")
+    c = a.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.lit("c").alias("platform_id"), F.lit("p").alias("post_id"), F.lit("t").alias("text"), F.lit(1).alias("likes"), F.when(k % 7 != 0, F.struct(name.alias("username"), none.alias("display_name"))).alias("author"))
+    return validate.comments(c).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "errors", "warnings")
+
+
+@register("posts_filtered", "SELECT o_orderkey AS platform_id FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate <= TIMESTAMP '1997-01-01'")
+def _(s, d):
+    ts = lambda x: F.lit(x).cast("timestamp")
+    return query.select_rows(a.posts(s, d), platform="F", since=ts("1995-01-01"), until=ts("1997-01-01")).select("platform_id")
+
+
+@register("export_post_projection", "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderstatus AS platform FROM orders")
+def _(s, d):
+    p = a.posts(s, d).withColumnRenamed("platform_id", "id")
+    return export.project(p, export.Options(include=("id", "published_at", "platform"), date_style="iso_date", rename={"published_at": "day"}))
+
+
+@register("hover_counts", "SELECT l_orderkey, l_linenumber, l_suppkey, CASE l_linenumber % 2 WHEN 0 THEN l_suppkey * 1000 + 500 ELSE l_suppkey + 1 END AS out FROM lineitem")
+def _(s, d):
+    n = F.col("l_suppkey").cast("string")
+    text = F.when(F.col("l_linenumber") % 2 == 0, F.concat(n, F.lit(".5K"))).otherwise(F.concat(n, F.lit(".5 likes")))
+    return a.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", counts.hover_count(text).alias("out"))
+
+
+@register("drop_empty_fields", "SELECT '{\"platform\":\"' || platform || '\"' || CASE WHEN seq % 2 = 0 THEN ',\"client\":\"' || client || '\"' ELSE '' END || '}' AS value FROM " + COMMENTS)
+def _(s, d):
+    c = a.comments(s, d).select("platform", F.when(F.col("seq") % 2 == 0, F.col("client")).when(F.col("seq") % 3 == 0, "").alias("client"))
+    return export.json_lines(c, export.Options(keep_empty=False))

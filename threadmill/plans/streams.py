@@ -56,3 +56,9 @@ def _(s, d):
 def _(s, d):
     outcome = F.when(F.col("event_type") == "error", "rate_limit").when(F.col("event_type") == "click", "error").otherwise("success")
     return _drained(events.limiter(_stream(s, d).select("user_id", outcome.alias("outcome"), "event_id"), "user_id", "outcome"), "update", "user_id")
+
+
+@register("stream_outcomes", "SELECT user_id, count(*) AS n, CASE WHEN bool_or(event_type = 'error' AND value > 70) THEN 'failed' WHEN bool_or(event_type = 'purchase' AND value > 50) OR count(*) >= 1000 THEN 'completed' ELSE 'running' END AS state, CASE WHEN NOT bool_or(event_type = 'error' AND value > 70) AND (bool_or(event_type = 'purchase' AND value > 50) OR count(*) >= 1000) THEN 100.0 ELSE round_even(100.0 * count(*) / 1000, 1) END::DOUBLE AS percent FROM events GROUP BY 1")
+def _(s, d):
+    done, failed = (F.col("event_type") == "purchase") & (F.col("value") > 50), (F.col("event_type") == "error") & (F.col("value") > 70)
+    return _drained(events.outcome(_stream(s, d), 1000, done, failed, "user_id"), "complete")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,16 @@ def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "modificationTime", "length")
 
 
+def exports(spark: SparkSession, base: str, client: str | None = None, platform: str | None = None, fmt: str | None = None) -> DataFrame:
+    """Files below base/client/platform in any month, by client, platform and format where given, in the order of their paths."""
+    files = listing(spark, base)
+    parts = F.split(F.regexp_replace("path", rf"^.*?{re.escape(base.rstrip('/').removeprefix('file://'))}/", ""), "/")
+    for at, wanted in ((0, client), (1, platform)):
+        if wanted is not None:
+            files = files.where(F.get(parts, at) == wanted.lower())
+    return (files.where(F.endswith(F.lower("path"), F.lit(f".{fmt.lower()}"))) if fmt else files).orderBy("path")
+
+
 def latest(files: DataFrame, by: str = "modificationTime", *keys: str) -> DataFrame:
     """The newest file of each key, by time or by name."""
     return files.groupBy(*keys).agg(F.max_by("path", by).alias("path") if by != "path" else F.max("path").alias("path"))
