@@ -32,6 +32,8 @@ from threadmill.llm.common import WORD_PATTERN, byte_slices, discard, free_names
 
 #: Words of an anchor. Shorter ones are fewer, but in a large corpus more of them recur by chance alone.
 SEED = 8
+#: Anchors that have a thousandth of all repeated occurrences, of which there are a thousand at most, are dealt to so many tasks each.
+HOT, SALTS = 1000, 64
 _draw = np.random.default_rng(20)
 _COEFFICIENTS = _draw.integers(0, 1 << 63, (3, 4096), np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = re.compile(WORD_PATTERN.encode())
@@ -120,8 +122,13 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, finish: C
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in found])), part.column(0).take(pa.array(owner)), pa.array(np.concatenate([p for _, p in found]).astype(np.int32))], ["anchor", "id", "at"])
 
     seen = docs.select(id_col, text_col).mapInArrow(anchors, f"anchor bigint, id {kind}, at int")
-    again = materialise(seen.groupBy("anchor").count().where("count > 1").select("anchor"), "again")
-    seeds = materialise(seen.join(again, "anchor").groupBy(F.col("id").alias(seeds_id)).agg(F.collect_list("at").alias(seeds_at)), "seeds")
+    again = materialise(seen.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    total = again.agg(F.sum("n").alias("n")).first().n or 0
+    hot = again.where(F.col("n") * HOT >= total).select("anchor", F.lit(True).alias("hot"))
+    salt = F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int")
+    salted = seen.join(F.broadcast(hot), "anchor", "left").select("anchor", "id", "at", F.when(F.col("hot"), salt).otherwise(0).alias("salt"))
+    every = F.when(F.col("n") * HOT >= total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    seeds = materialise(salted.join(again.select("anchor", F.explode(every).alias("salt")), ["anchor", "salt"]).groupBy(F.col("id").alias(seeds_id)).agg(F.collect_list("at").alias(seeds_at)), "seeds")
     discard(again)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
