@@ -30,6 +30,8 @@ from threadmill.llm.common import free_names, materialise
 from threadmill.llm.graph import components
 
 BITS = 64
+#: Fingerprints of a thousandth of all rows, of which there are a thousand at most, meet their component by a broadcast, so that their rows stay where they are.
+HOT = 1000
 #: Bits of the runs whose histograms estimate candidates: 2 to this power counters each, whatever the data.
 RUN = 11
 
@@ -249,12 +251,16 @@ def links(fps: DataFrame, radius: int = 2, dense: float = 256.0) -> DataFrame:
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, radius: int = 2) -> DataFrame:
     """The id, ``fp`` (long) and ``component_id``: the smallest id of all documents that are reachable by links of at most ``radius`` differing bits."""
     fps = materialise(fingerprints(df, id_col, text_col, words_each), "fingerprints")
-    first = materialise(fps.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
+    first = materialise(fps.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n")), "distinct")
     tree = components(links(first, radius))
-    rooted = first.join(tree, first.fp == tree.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = first.join(tree, first.fp == tree.node, "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialise(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return fps.join(named, "fp").select(id_col, "fp", "component_id")
+    named = materialise(rooted.join(least, "root").select("fp", "component_id", "n"), "components")
+    total = named.agg(F.sum("n").alias("n")).first().n or 0
+    frequent = F.broadcast(named.where(F.col("n") * HOT >= total).select(F.col("fp").alias("of"), F.col("component_id").alias("known")))
+    tagged = fps.join(frequent, F.col("fp") == F.col("of"), "left")
+    rare = tagged.where("of is null").join(named, "fp").select(id_col, "fp", "component_id")
+    return tagged.where("of is not null").select(id_col, "fp", F.col("known").alias("component_id")).unionByName(rare)
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, radius: int = 2) -> DataFrame:
