@@ -142,13 +142,13 @@ def _length_class(text: Column) -> Column:
     return F.floor(F.log2(F.length(text) + 1)).cast("int")
 
 
-def bounds(predicted: DataFrame, spread: float = 8.0, least: float = 0.02) -> DataFrame:
+def bounds(predicted: DataFrame, spread: float = 12.0, least: float = 0.02) -> DataFrame:
     """``of``, ``size`` and ``low``: for each language and class of lengths the median score less ``spread`` times the lower quartile's distance from it, or ``least``. predicted: lang_pred, size, score."""
     q = predicted.where(F.col("lang_pred") != UNDETERMINED).groupBy(F.col("lang_pred").alias("of"), F.col("size").alias("of_size")).agg(F.percentile_approx("score", [0.25, 0.5], 10_000).alias("q"))
     return q.select("of", "of_size", F.expr(f"q[1] - {spread} * greatest(q[1] - q[0], {least}D)").alias("low"))
 
 
-def accept(df: DataFrame, min_score: float | None = None, text_col: str = "text", lang_col: str = "lang", spread: float = 8.0) -> DataFrame:
+def accept(df: DataFrame, min_score: float | None = None, text_col: str = "text", lang_col: str = "lang", spread: float = 12.0) -> DataFrame:
     """All columns of the rows whose language is known: not ``und``, and a score of at least ``min_score`` or, without one, of the bound of its language and length (see ``bounds``). Learns from all rows that have a language; where none has, rows with a letter are kept."""
     prototypes = fit(df, text_col, lang_col)
     if not prototypes:
