@@ -17,13 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import materialise
+from threadmill.llm.common import discard, materialise, settings
 
 #: What a unit is, and the marks of the parts.
 UNIT = "[A-Za-z]+|[^A-Za-z]"
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Units of a text may be joined, summed and windowed where they are: a partitioning by key serves a join by key and ordinal.
 _PART_OF_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+#: Bytes of text whose units one task sorts, and tasks at most; with more text, sorts spill.
+TEXT_BYTES, MOST_TASKS = 4 << 20, 100_000
 
 
 def _draw(k: int) -> Column:
@@ -31,25 +33,30 @@ def _draw(k: int) -> Column:
     return F.conv(F.substring("digest", 8 * k - 7, 8), 16, 10).cast("long")
 
 
-def _requests(df: DataFrame, id_col: str, text_col: str, plain_percent: int, spm_percent: int) -> DataFrame:
-    """id, text (not null), the key ``k1``, ``k2``, ``n``, ``form``, and the units before the two cuts."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("id"), text.alias("text"), F.sha2(F.concat(F.lit("1:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256).alias("digest"))
-    rows = rows.select("id", "text", "digest", F.xxhash64(F.col("id").cast("string")).alias("k1"), F.xxhash64("text").alias("k2"), F.regexp_count("text", F.lit(UNIT)).cast("long").alias("n"))
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text (not null) and the key ``k1``, ``k2``."""
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.select("id", "text", F.xxhash64(F.col("id").cast("string")).alias("k1"), F.xxhash64("text").alias("k2"))
+
+
+def requests(rows: DataFrame, plain_percent: int, spm_percent: int) -> DataFrame:
+    """Of every key ``n``, ``form``, and the units before the two cuts, ``first`` and ``second``."""
+    rows = rows.withColumn("digest", F.sha2(F.concat(F.lit("1:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256))
+    rows = rows.withColumn("n", F.length(F.regexp_replace("text", "[A-Za-z]+", "a")).cast("long"))
     marked = F.contains("text", F.lit(PREFIX)) | F.contains("text", F.lit(SUFFIX)) | F.contains("text", F.lit(MIDDLE))
     plain = (F.col("n") == 0) | marked | (_draw(3) % 100 >= plain_percent)
     a, b = _draw(1) % (F.col("n") + 1), _draw(2) % (F.col("n") + 1)
-    return rows.select("id", "text", "k1", "k2", "n", F.when(plain, "plain").when(_draw(4) % 100 < spm_percent, "spm").otherwise("psm").alias("form"), F.least(a, b).alias("first"), F.greatest(a, b).alias("second"))
+    return rows.select("k1", "k2", "n", F.when(plain, "plain").when(_draw(4) % 100 < spm_percent, "spm").otherwise("psm").alias("form"), F.least(a, b).alias("first"), F.greatest(a, b).alias("second")).distinct()
 
 
-def offsets(rows: DataFrame) -> DataFrame:
-    """From rows of ``_requests`` the code points before either cut, ``first_at`` and ``second_at``, of every key that is cut."""
-    texts = rows.where("form <> 'plain'").select("k1", "k2", "text", "first", "second").dropDuplicates(["k1", "k2"])
-    units = texts.select("k1", "k2", F.posexplode(F.regexp_extract_all("text", F.lit(UNIT), F.lit(0))).alias("at", "unit"))
-    ends = units.selectExpr("k1", "k2", "at + 1L as ordinal", "sum(length(unit)) over (partition by k1, k2 order by at rows unbounded preceding) as end")
-    asked = texts.selectExpr("k1 as j1", "k2 as j2", "explode(array(struct(1 as which, first as after), struct(2 as which, second as after))) as cut").where("cut.after > 0")
-    met = ends.join(asked, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")) & (F.col("ordinal") == F.col("cut.after")))
-    return met.groupBy("k1", "k2").agg(F.max(F.when(F.col("cut.which") == 1, F.col("end"))).alias("first_at"), F.max(F.when(F.col("cut.which") == 2, F.col("end"))).alias("second_at"))
+def offsets(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The code points before either cut, ``first_at`` and ``second_at``, of every key with a cut behind its first unit."""
+    texts = rows.select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
+    units = texts.select("k1", "k2", F.posexplode(F.regexp_extract_all("text", F.lit(UNIT), F.lit(0))).alias("at", "unit")).selectExpr("k1", "k2", "at", "length(unit) as size")
+    ends = units.selectExpr("k1", "k2", "at", "sum(size) over (partition by k1, k2 order by at rows unbounded preceding) as end")
+    cuts = asked.where("form <> 'plain'").selectExpr("k1 as j1", "k2 as j2", "explode(array(struct(1 as which, first as after), struct(2 as which, second as after))) as cut").where("cut.after > 0").selectExpr("j1", "j2", "cast(cut.after - 1 as int) as last", "cut.which as which")
+    met = ends.join(cuts, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")) & (F.col("at") == F.col("last")))
+    return met.groupBy("k1", "k2").agg(F.max(F.when(F.col("which") == 1, F.col("end"))).alias("first_at"), F.max(F.when(F.col("which") == 2, F.col("end"))).alias("second_at"))
 
 
 def restored(output: Column, form: Column) -> Column:
@@ -66,15 +73,15 @@ def restored(output: Column, form: Column) -> Column:
 
 def transform(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", plain_percent: int = 90, spm_percent: int = 20) -> DataFrame:
     """id, ``n`` (units), ``form``, ``prefix_chars``, ``middle_chars`` (null if plain) and ``output``."""
-    spark = df.sparkSession
-    rows = _requests(df, id_col, text_col, plain_percent, spm_percent)
-    before = spark.conf.get(_PART_OF_KEYS)
-    spark.conf.set(_PART_OF_KEYS, "false")
-    try:
-        at = materialise(offsets(rows), "offsets")
-    finally:
-        spark.conf.set(_PART_OF_KEYS, before)
-    cut = rows.join(at, ["k1", "k2"], "left").withColumn("p", F.coalesce("first_at", F.lit(0)).cast("int")).withColumn("q", F.coalesce("second_at", F.lit(0)).cast("int"))
+    spark, rows = df.sparkSession, _rows(df, id_col, text_col)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // TEXT_BYTES + 1, MOST_TASKS))
+    asked = materialise(requests(rows, plain_percent, spm_percent), "requests")
+    with settings(spark, {_PART_OF_KEYS: "false", "spark.sql.shuffle.partitions": tasks, "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        at = materialise(offsets(rows, asked), "offsets")
+    found = materialise(asked.join(at, ["k1", "k2"], "left").selectExpr("k1", "k2", "n", "form", "cast(coalesce(first_at, 0) as int) as p", "cast(coalesce(second_at, 0) as int) as q"), "cuts")
+    discard(asked, at)
+    cut = rows.join(found, ["k1", "k2"])
     prefix, middle, suffix = F.expr("substring(text, 1, p)"), F.expr("substring(text, p + 1, q - p)"), F.expr("substring(text, q + 1)")
     psm = F.concat(F.lit(PREFIX), prefix, F.lit(SUFFIX), suffix, F.lit(MIDDLE), middle)
     spm = F.concat(F.lit(SUFFIX), suffix, F.lit(PREFIX), prefix, F.lit(MIDDLE), middle)
