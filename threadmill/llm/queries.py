@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threadmill.llm import bpe, cotrain, fim, kdtree, langid, mixing, perplexity, records, simhash, substrings, topk
+from threadmill.llm import bpe, cotrain, divergence, fim, kdtree, langid, mixing, perplexity, ppm, records, simhash, substrings, topk
 
 #: The vocabulary that the queries use; operators take any path.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +57,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op12_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.tenth_held_out(documents(spark, sf_dir))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(documents(spark, sf_dir))
 
@@ -72,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixture": op8_mixture,
     "op9_top_k": op9_top_k,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_ppm_scores": op12_ppm_scores,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -138,6 +148,31 @@ SQL: dict[str, str] = {
         )
         SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
         FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op11_source_divergence": r"""
+        WITH d AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS t FROM documents
+        ), g AS (
+            SELECT DISTINCT lang, source FROM d
+        ), k AS (
+            SELECT lang, term FROM (SELECT lang, unnest(list_distinct(t)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 30
+        ), c AS (
+            SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(t) AS term FROM d) SEMI JOIN k USING (lang, term) GROUP BY ALL
+        ), v AS (
+            SELECT lang, count(*) AS v FROM k GROUP BY 1
+        ), l AS (
+            SELECT lang, term, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total FROM c GROUP BY 1, 2
+        ), p AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (coalesce(t.total, 0) + 5 * v) AS p, 1 + 1000000000::HUGEINT * (l.n + 5) // (l.total + 5 * v) AS q
+            FROM g JOIN k ON g.lang = k.lang JOIN v ON g.lang = v.lang JOIN l ON k.lang = l.lang AND k.term = l.term
+            LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term
+            LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY 1, 2) t ON g.lang = t.lang AND g.source = t.source
+        ), x AS (
+            SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM (SELECT g.lang, g.source, o.source AS item FROM g JOIN g o ON g.lang = o.lang AND g.source <> o.source)
+            LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) USING (lang, source, item)
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q
+        )
+        SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM x QUALIFY part = 'pair' OR rank <= 50""",
     "op13_fill_in_middle": r"""
         WITH t AS (
             SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
