@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadmill.functions.text import cosine, jaccard, words
+from threadmill.operators import vectors
 
 
 def exact(df: DataFrame, id_col: str = "seq") -> DataFrame:
@@ -55,10 +56,8 @@ def minhash_pairs(df: DataFrame, threshold: float = 0.7, bands: int = 16, rows:
 
 
 def similar_to(df: DataFrame, probes: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Vectors whose cosine with a probe is at least the threshold. probes: a stated set, whose size the caller bounds."""
-    p = probes.select(F.col(id_col).alias("a"), F.col(vec_col).alias("va"))
-    d = df.select(F.col(id_col).alias("b"), F.col(vec_col).alias("vb"))
-    return d.join(p, cosine(F.col("va"), F.col("vb")) >= threshold).where("a <> b").select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
+    """Vectors whose cosine with a probe is at least the threshold, by blocked products. probes: a stated set, as the result may hold every row for each."""
+    return vectors.similar(df, probes, threshold, id_col, vec_col).withColumn("similarity", F.round("similarity", 6))
 
 
 def centroid(rows: Column) -> Column:
@@ -127,52 +126,5 @@ def cluster_terms(clustered: DataFrame, cluster: str = "cluster", top: int = 10)
     return mean.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
-def condense(df: DataFrame, threshold: float, partition: str, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Greedy groups in id order within each partition value: a vector joins the first group whose leader is similar enough. Sequential by definition, so partitions must be of bounded size."""
-    import numpy as np
-    import pandas as pd
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col)
-        leaders: list[np.ndarray] = []
-        ids, out = [], []
-        for i, v in zip(pdf[id_col], pdf[vec_col]):
-            v = np.asarray(v, float)
-            v = v / max(np.linalg.norm(v), 1e-12)
-            hit = np.flatnonzero(np.array(leaders) @ v >= threshold) if leaders else []
-            if len(hit):
-                out.append(ids[hit[0]])
-            else:
-                leaders.append(v)
-                ids.append(i)
-                out.append(i)
-        return pd.DataFrame({partition: pdf[partition], id_col: pdf[id_col], "leader": out})
-
-    kinds = dict(df.dtypes)
-    return df.select(partition, id_col, vec_col).groupBy(partition).applyInPandas(greedy, f"{partition} {kinds[partition]}, {id_col} {kinds[id_col]}, leader {kinds[id_col]}")
-
-
-def dbscan(df: DataFrame, eps: float, min_samples: int, partition: str, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Density clusters by cosine distance within each partition value; -1 is noise. A cluster is named by its smallest core id. Partitions must be of bounded size, as each is one matrix."""
-    import numpy as np
-    import pandas as pd
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col)
-        m = np.array(pdf[vec_col].tolist(), float)
-        m /= np.maximum(np.linalg.norm(m, axis=1), 1e-12)[:, None]
-        near = m @ m.T >= 1 - eps
-        core = near.sum(1) >= min_samples
-        label = np.full(len(m), -1)
-        for i in np.flatnonzero(core):
-            if label[i] < 0:
-                reached, front = np.zeros(len(m), bool), np.zeros(len(m), bool)
-                front[i] = True
-                while front.any():
-                    reached |= front
-                    front = near[front & core].any(0) & ~reached if (front & core).any() else np.zeros(len(m), bool)
-                label[reached & (label < 0)] = pdf[id_col].iloc[i]
-        return pd.DataFrame({partition: pdf[partition], id_col: pdf[id_col], "cluster": label})
-
-    kinds = dict(df.dtypes)
-    return df.select(partition, id_col, vec_col).groupBy(partition).applyInPandas(cluster, f"{partition} {kinds[partition]}, {id_col} {kinds[id_col]}, cluster long")
+condense = vectors.condense
+dbscan = vectors.dbscan

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadmill.functions import text as tx
-from threadmill.operators import commenters, export, ingest, metrics, similarity, store, validate
+from threadmill.operators import commenters, export, ingest, metrics, similarity, store, validate, vectors
 from threadmill.plans.core import ACTIVITY, COMMENTS, FOLD, register
 from threadmill.sources import adapters as a
 from threadmill.sources import files
@@ -164,7 +164,68 @@ def _(s, d):
     return similarity.representatives(a.table(s, d, "embeddings"), "label")
 
 
-@register("cosine_condense")
+def _greedy(threshold, within=False):
+    """The sequential rule, one row after the other."""
+    return f"""WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings
+        ), near AS (
+            SELECT p.k, list(q.k ORDER BY q.k) AS before FROM v p JOIN v q ON q.k < p.k {'AND p.label = q.label' if within else ''} AND list_cosine_similarity(p.e, q.e) >= {threshold} GROUP BY 1
+        ), g(k, leaders) AS (
+            SELECT 0::BIGINT, []::BIGINT[]
+            UNION ALL
+            SELECT g.k + 1, CASE WHEN list_has_any(coalesce(before, []), leaders) THEN leaders ELSE list_append(leaders, g.k + 1) END FROM g LEFT JOIN near ON near.k = g.k + 1 WHERE g.k < (SELECT count(*) FROM v)
+        ), led AS (
+            SELECT v.vec_id, v.label, list_min(list_append(list_intersect(coalesce(before, []), leaders), CASE WHEN list_contains(leaders, v.k) THEN v.k END)) AS k FROM v LEFT JOIN near ON near.k = v.k, (SELECT leaders FROM g ORDER BY k DESC LIMIT 1)
+        ), condensed AS (
+            SELECT led.vec_id, led.label, v.vec_id AS leader FROM led JOIN v USING (k)
+        ) """
+
+
+def _density(eps, least, within=False):
+    """Every core floods what it reaches; the smallest flood names the cluster."""
+    return f"""WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+        ), near AS (
+            SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON {'p.label = q.label AND ' if within else ''}list_cosine_similarity(p.e, q.e) >= 1 - {eps}
+        ), core AS (
+            SELECT a FROM near GROUP BY 1 HAVING count(*) >= {least}
+        ), links AS (
+            SELECT a, b FROM near SEMI JOIN core ON near.a = core.a SEMI JOIN core c ON near.b = c.a WHERE near.a <> near.b
+        ), reached(id, root) AS (
+            SELECT a, a FROM core UNION SELECT b, root FROM reached JOIN links ON a = id WHERE b > root
+        ), roots AS (
+            SELECT id, min(root) AS root FROM reached GROUP BY 1
+        ), edge AS (
+            SELECT a, min(root) AS root FROM near JOIN roots ON b = id ANTI JOIN core ON near.a = core.a GROUP BY 1
+        ) SELECT vec_id, {'label, ' if within else ''}coalesce(r.root, e.root, -1)::BIGINT AS cluster FROM embeddings LEFT JOIN roots r ON vec_id = r.id LEFT JOIN edge e ON vec_id = e.a"""
+
+
+@register("condense_all", _greedy(0.35) + "SELECT vec_id, leader FROM condensed")
+def _(s, d):
+    return similarity.condense(a.table(s, d, "embeddings"), 0.35)
+
+
+@register("condense_report", _greedy(0.35) + "SELECT leader, count(*) AS count, count(DISTINCT label) AS authors FROM condensed GROUP BY 1")
+def _(s, d):
+    e = a.table(s, d, "embeddings")
+    return vectors.condensed(e, similarity.condense(e, 0.35), "label")
+
+
+@register("density_all", _density(0.65, 3))
+def _(s, d):
+    return similarity.dbscan(a.table(s, d, "embeddings"), 0.65, 3)
+
+
+@register("density_representatives", f"""SELECT cluster, vec_id FROM (
+        SELECT cluster, vec_id, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), m) AS s FROM ({_density(0.65, 3)}) JOIN embeddings USING (vec_id) JOIN (
+            SELECT cluster, list(m ORDER BY i) AS m FROM (SELECT cluster, i, avg(x) AS m FROM (SELECT cluster, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM ({_density(0.65, 3)}) JOIN embeddings USING (vec_id)) GROUP BY ALL) GROUP BY 1) USING (cluster) WHERE cluster >= 0)
+    QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(s, 9) DESC, vec_id) = 1""")
+def _(s, d):
+    e = a.table(s, d, "embeddings")
+    return similarity.representatives(e.join(similarity.dbscan(e, 0.65, 3).where("cluster >= 0"), "vec_id"), "cluster")
+
+
+@register("cosine_condense", _greedy(0.8, within=True) + "SELECT vec_id, label, leader FROM condensed")
 def _(s, d):
     return similarity.condense(a.table(s, d, "embeddings"), 0.8, "label")
 
@@ -322,7 +383,7 @@ def _(s, d):
     return store.keep_last(a.table(s, d, "customer"), ["c_nationkey"], "c_custkey").select("c_nationkey", "c_custkey")
 
 
-@register("density_clusters")
+@register("density_clusters", _density(0.5, 3, within=True))
 def _(s, d):
     return similarity.dbscan(a.table(s, d, "embeddings"), 0.5, 3, "label")
 

@@ -1,8 +1,9 @@
 """Session with the settings that the operators assume."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "threadmill", **conf: object) -> SparkSession:
@@ -25,7 +26,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+        if not held.isDefined() and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="threadmill-")
     return f"{at.rstrip('/')}/threadmill/{spark.sparkContext.applicationId}/{name}"
@@ -34,3 +35,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read back: later uses neither compute it again nor need the executors that made it."""
+    spark = df.sparkSession
+    path = shared_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote, when nothing reads it any more."""
+    for df in tables:
+        spark = df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
