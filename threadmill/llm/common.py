@@ -45,6 +45,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def holds(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete all that operators have left in the shared folder for this application; to be called when their results are written, as results that are still to be read come from there."""
     _delete(spark, _folder(spark))

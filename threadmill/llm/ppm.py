@@ -30,12 +30,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadmill.llm.common import byte_slices, discard, materialise
+from threadmill.llm.common import byte_slices, discard, holds, materialise, scratch, settings
 
 ORDER, END = 5, b"\xff"
 #: A block ends at so many bytes of text, distinct runs or distinct words.
 BLOCK_BYTES, BLOCK_RUNS, BLOCK_WORDS = 32 << 20, 3 << 20, 1 << 19
 _PIECE = 4 << 20
+#: Dictionary entries that a task packs at once.
+_PACK = 1 << 20
 _SPACES = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 _GRAM, _WORD, _TEXT = 0, 1, 2
 
@@ -58,19 +60,53 @@ def segments(text: str | None, piece: int = _PIECE) -> Iterator[tuple[bytes, byt
 
 def runs(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Of (context, bytes): the packed run of ORDER + 1 bytes that ends at each byte, and the number of its part."""
-    blob = np.frombuffer(b"".join(c + b for c, b in parts), np.uint8)
+    blob = np.frombuffer(b"".join(c + b for c, b in parts), np.uint8).astype(np.int64)
     sizes = np.array([len(b) for _, b in parts], np.int64)
-    owner = np.repeat(np.arange(len(parts)), sizes)
-    last = np.arange(len(owner)) + (owner + 1) * ORDER
-    packed = np.zeros(len(last), np.int64)
-    for k in range(ORDER, -1, -1):
-        packed = packed << 8 | blob[last - k]
-    return packed, owner
-
-
-def _added(held: tuple[np.ndarray, np.ndarray], keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both, at = np.unique(np.concatenate((held[0], keys)), return_inverse=True)
-    return both, np.bincount(at, np.concatenate((held[1], counts)), minlength=len(both)).astype(np.int64)
+    owner = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
+    packed = blob[: len(blob) - ORDER].copy()
+    for k in range(1, ORDER + 1):
+        packed <<= 8
+        packed |= blob[k : k + len(packed)]
+    kept = np.ones(len(packed), bool)
+    for at in (np.cumsum(sizes + ORDER)[:-1] - ORDER).tolist():
+        kept[at : at + ORDER] = False
+    return packed[kept], owner
+
+
+def _sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.int64)
+
+
+class _Lookup:
+    """Values of 64-bit keys in tables of one slot a hash; keys that lose their slot go to the next, smaller table."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.levels = []
+        while len(keys):
+            shift, factor = np.uint64(64 - (2 * len(keys)).bit_length()), np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.levels))
+            slot = (keys.view(np.uint64) * factor >> shift).astype(np.int64)
+            held, of = np.full(1 << 64 - int(shift), -1), np.zeros(1 << 64 - int(shift))
+            held[slot] = keys
+            won = held[slot] == keys
+            of[slot[won]] = values[won]
+            self.levels.append((factor, shift, held, of))
+            keys, values = keys[~won], values[~won]
+
+    def get(self, wanted: np.ndarray) -> np.ndarray:
+        out, rest = np.zeros(len(wanted)), None
+        for factor, shift, held, of in self.levels:
+            slot = (wanted.view(np.uint64) * factor >> shift).astype(np.int64)
+            hit = held[slot] == wanted
+            if rest is None:
+                out, rest = of[slot], np.flatnonzero(~hit)
+            else:
+                out[rest[hit]] = of[slot[hit]]
+                rest = rest[~hit]
+            wanted = wanted[~hit]
+            if not len(rest):
+                return out
+        raise RuntimeError("a block lacks runs of its texts")
 
 
 def blocks(df: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
@@ -80,17 +116,18 @@ def blocks(df: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataF
     types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), None, pa.string(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        block, size, grams, words, id_type = TaskContext.get().partitionId() << 32, 0, none, Counter(), None
+        block, size, grams, words, id_type = TaskContext.get().partitionId() << 32, 0, [], Counter(), None
 
         def rows(n: int, what: int, /, **columns: pa.Array) -> pa.RecordBatch:
             fixed = {"block": pa.array(np.full(n, block)), "kind": pa.array(np.full(n, what, np.int32))}
             return pa.RecordBatch.from_arrays([(fixed | columns).get(name) if name in fixed or name in columns else pa.nulls(n, t or id_type) for name, t in zip(names, types)], names)
 
         def finished() -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(grams[0]), 1 << 17):
-                keys = grams[0][at : at + (1 << 17)]
-                yield rows(len(keys), _GRAM, gram=pa.array(keys), n=pa.array(grams[1][at : at + (1 << 17)]))
+            if grams:
+                keys, counts = _sums(grams)
+                for at in range(0, len(keys), 1 << 17):
+                    part = keys[at : at + (1 << 17)]
+                    yield rows(len(part), _GRAM, gram=pa.array(part), n=pa.array(counts[at : at + (1 << 17)]))
             found = [*words]
             for at in range(0, len(found), 1 << 16):
                 part = found[at : at + (1 << 16)]
@@ -102,12 +139,13 @@ def blocks(df: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataF
             waiting: dict[bool, list[tuple[bytes, bytes]]] = {True: [], False: []}
 
             def learn() -> None:
-                nonlocal grams
                 for out, parts in waiting.items():
                     if parts:
                         keys, counts = np.unique(runs(parts)[0], return_counts=True)
-                        grams = _added(grams, keys, counts * (not out))
+                        grams.append((keys, counts * (not out)))
                         parts.clear()
+                if sum(len(k) for k, _ in grams) > BLOCK_RUNS:
+                    grams[:] = [_sums(grams)]
 
             for text, out in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 for context, body, found in segments(text):
@@ -122,9 +160,9 @@ def blocks(df: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataF
                     if len(body) >= _PIECE:
                         learn()
             learn()
-            if size >= BLOCK_BYTES or len(grams[0]) >= BLOCK_RUNS or len(words) >= BLOCK_WORDS:
+            if size >= BLOCK_BYTES or sum(len(k) for k, _ in grams) >= BLOCK_RUNS or len(words) >= BLOCK_WORDS:
                 yield from finished()
-                block, size, grams, words = block + 1, 0, none, Counter()
+                block, size, grams, words = block + 1, 0, [], Counter()
         yield from finished()
 
     schema = T.StructType([T.StructField(name, t) for name, t in zip(names, [T.LongType(), T.IntegerType(), T.LongType(), T.BinaryType(), T.LongType(), kind, T.StringType(), T.BooleanType()])])
@@ -157,27 +195,64 @@ def trie(counted: DataFrame) -> DataFrame:
     return now.select("gram", F.col("s").alias("log_p"))
 
 
+def _packed(entries: DataFrame, key: str, value: str, kind: int) -> DataFrame:
+    """``block``, ``kind``, ``keys`` and ``numbers``: entries of a block side by side in binary columns, some ``_PACK`` entries of a task at a time. Words are joined by spaces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).sort_by("block").combine_chunks()
+            of, numbers = table.column("block").to_numpy(), table.column(value).to_numpy()
+            starts = np.flatnonzero(np.diff(of, prepend=of[0] - 1))
+            ends = [*starts[1:].tolist(), len(of)]
+            keys = table.column(key).to_pylist() if kind == _WORD else table.column(key).to_numpy()
+            join = b" ".join if kind == _WORD else np.ndarray.tobytes
+            at = [*zip(starts.tolist(), ends)]
+            return pa.RecordBatch.from_arrays([pa.array(of[starts]), pa.array(np.full(len(starts), kind, np.int32)), pa.array([join(keys[a:b]) for a, b in at], pa.binary()), pa.array([numbers[a:b].tobytes() for a, b in at], pa.binary())], ["block", "kind", "keys", "numbers"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(x.num_rows for x in held) >= _PACK:
+                yield packed(held)
+                held.clear()
+        if held:
+            yield packed(held)
+
+    return entries.select("block", key, value).mapInArrow(run, "block bigint, kind int, keys binary, numbers binary")
+
+
 def scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (words alone) and ``score`` (the trie), both log10 probabilities."""
-    dealt = materialise(blocks(df, id_col, text_col, held_out), "blocks")
-    counted = materialise(dealt.where(F.col("kind") == _GRAM).groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    known = dealt.where(F.col("kind") == _WORD).groupBy("word").agg(F.sum("n").alias("n"))
-    known = materialise(known, "words")
+    spark, path = df.sparkSession, scratch(df.sparkSession, "blocks")
+    made = blocks(df, id_col, text_col, held_out)
+    with settings(spark, {"spark.sql.maxConcurrentOutputFileWriters": 8}):
+        made.write.partitionBy("kind").parquet(path)
+
+    def of_kind(kind: int) -> DataFrame:
+        out = spark.read.schema(made.drop("kind").schema).parquet(f"{path}/kind={kind}") if holds(spark, f"{path}/kind={kind}") else spark.createDataFrame([], made.drop("kind").schema)
+        out.scratch_path = f"{path}/kind={kind}"
+        return out
+
+    grams, words, texts = of_kind(_GRAM), of_kind(_WORD), of_kind(_TEXT)
+    counted = materialise(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    found = materialise(trie(counted), "trie")
+    runs_of = materialise(_packed(grams.select("block", "gram").join(found, "gram"), "gram", "log_p", _GRAM), "runs")
+    discard(grams, counted, found)
+    known = materialise(words.groupBy("word").agg(F.sum("n").alias("n")), "known")
     total = known.agg(F.sum("n").alias("n"), F.count(F.expr("nullif(n, 0)")).alias("v")).first()
     n, low = total.n or 0, (total.n or 0) + 0.1 * (total.v + 1)
+    words_of = materialise(_packed(words.select("block", "word").join(known, "word"), "word", "n", _WORD), "words")
+    discard(words, known)
 
-    grams = dealt.where(F.col("kind") == _GRAM).select("block", "gram").join(materialise(trie(counted), "trie"), "gram")
-    words = dealt.where(F.col("kind") == _WORD).select("block", "word").join(known, "word")
-    texts = dealt.where(F.col("kind") == _TEXT)
     empty = lambda name, t: F.lit(None).cast(t).alias(name)
     id_type = df.schema[id_col].dataType
-    rows = grams.select("block", F.lit(_GRAM).alias("kind"), "gram", "log_p", empty("word", "binary"), empty("n", "long"), empty("id", id_type), empty("text", "string"), empty("held_out", "boolean"))
-    rows = rows.unionByName(words.select("block", F.lit(_WORD).alias("kind"), empty("gram", "long"), empty("log_p", "double"), "word", "n", empty("id", id_type), empty("text", "string"), empty("held_out", "boolean")))
-    rows = rows.unionByName(texts.select("block", F.lit(_TEXT).alias("kind"), empty("gram", "long"), empty("log_p", "double"), empty("word", "binary"), empty("n", "long"), "id", "text", "held_out"))
+    entry = lambda x: x.select("block", "kind", "keys", "numbers", empty("id", id_type), empty("text", "string"), empty("held_out", "boolean"))
+    rows = entry(runs_of).unionByName(entry(words_of)).unionByName(texts.select("block", F.lit(_TEXT).alias("kind"), empty("keys", "binary"), empty("numbers", "binary"), "id", "text", "held_out"))
     out = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, keys, logs, found, ready = None, [], [], {}, None
+        block, keys, logs, known_words, ready = None, [], [], {}, None
 
         def scored(part: pa.RecordBatch) -> pa.RecordBatch:
             tokens, hits = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
@@ -186,10 +261,7 @@ def scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: st
 
             def add() -> None:
                 packed, owner = runs(waiting)
-                at = np.minimum(np.searchsorted(ready[0], packed), len(ready[0]) - 1)
-                if (ready[0][at] != packed).any():
-                    raise RuntimeError("a block lacks runs of its texts")
-                np.add.at(score, of, np.bincount(owner, ready[1][at], minlength=len(waiting)))
+                np.add.at(score, of, np.bincount(owner, ready.get(packed), minlength=len(waiting)))
                 waiting.clear()
                 of.clear()
 
@@ -197,7 +269,7 @@ def scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: st
                 for context, body, words in segments(text):
                     if body.endswith(END):
                         words.append(b"")
-                    c = np.array([found[w] for w in words], np.int64)
+                    c = np.array([known_words[w] for w in words], np.int64)
                     tokens[i] += len(c)
                     hits[i] += np.count_nonzero(c)
                     base[i] += np.log10((c + 0.1) / low).sum()
@@ -210,29 +282,28 @@ def scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: st
             return pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(tokens), pa.array(hits), pa.array(np.full(part.num_rows, n)), pa.array(base), pa.array(score)], out)
 
         for batch in batches:
-            of_block, of_kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
-            edges = np.flatnonzero((np.diff(of_block) != 0) | (np.diff(of_kind) != 0)) + 1
+            blocks_, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            edges = np.flatnonzero((np.diff(blocks_) != 0) | (np.diff(kinds) != 0)) + 1
             for at, to in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
                 part = batch.slice(at, to - at)
                 if to == at:
                     continue
-                if of_block[at] != block:
-                    block, keys, logs, found, ready = of_block[at], [], [], {}, None
-                if of_kind[at] == _GRAM:
-                    keys.append(part.column("gram").to_numpy())
-                    logs.append(part.column("log_p").to_numpy())
-                elif of_kind[at] == _WORD:
-                    found.update(zip(part.column("word").to_pylist(), part.column("n").to_pylist()))
+                if blocks_[at] != block:
+                    block, keys, logs, known_words, ready = blocks_[at], [], [], {}, None
+                if kinds[at] == _GRAM:
+                    keys += [np.frombuffer(x, np.int64) for x in part.column("keys").to_pylist()]
+                    logs += [np.frombuffer(x, np.float64) for x in part.column("numbers").to_pylist()]
+                elif kinds[at] == _WORD:
+                    for x, c in zip(part.column("keys").to_pylist(), part.column("numbers").to_pylist()):
+                        known_words.update(zip(x.split(b" "), np.frombuffer(c, np.int64).tolist()))
                 else:
                     if ready is None:
-                        ready, keys, logs = (np.concatenate(keys), np.concatenate(logs)), [], []
+                        ready, keys, logs = _Lookup(np.concatenate(keys), np.concatenate(logs)), [], []
                     for piece in byte_slices(part, part.schema.get_field_index("text"), _PIECE):
                         yield scored(piece)
 
     schema = T.StructType([T.StructField("id", id_type), T.StructField("held_out", T.BooleanType()), *[T.StructField(x, T.LongType()) for x in out[2:5]], *[T.StructField(x, T.DoubleType()) for x in out[5:]]])
-    done = rows.repartition("block").sortWithinPartitions("block", "kind", "gram").mapInArrow(run, schema)
-    discard(counted)
-    return done.withColumnRenamed("id", id_col)
+    return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 class Trie:
