@@ -29,6 +29,9 @@ BLOCK_PHRASES = {
 #: Parts of URLs to which platforms send a client that they block.
 BLOCK_URLS = {"facebook": ["/checkpoint/", "/accounts/suspended"], "instagram": ["/challenge/", "/accounts/suspended", "/accounts/consent"], "linkedin": ["/checkpoint/", "/authwall"]}
 _SECRETS = "password|secret|token|api_key"
+#: What a key that names a secret holds.
+SECRET_KEYS = ["password", "secret", "token", "api_key", "apikey", "auth", "credential", "private"]
+_SECRET_KEY = f"(?i)({'|'.join(SECRET_KEYS)})"
 
 
 def mask_credential(c: Column, visible: int = 3) -> Column:
@@ -54,8 +57,31 @@ def mask_log(c: Column) -> Column:
 
 
 def mask_map(c: Column) -> Column:
-    """Values of keys that name a secret."""
-    return F.transform_values(c, lambda k, v: F.when(k.rlike(rf"(?i)({_SECRETS}|credential|auth)"), mask_credential(v)).otherwise(v))
+    """Values of keys that name a secret, in a map of strings; ``mask_json`` reaches into what is nested."""
+    return F.transform_values(c, lambda k, v: F.when(k.rlike(_SECRET_KEY), mask_credential(v)).otherwise(v))
+
+
+def _masked(v: Column, levels: int) -> Column:
+    """A variant, whose objects are walked down so many levels."""
+    if levels == 0:
+        return v
+    is_a = lambda x, kind: F.startswith(F.schema_of_variant(x), F.lit(kind))
+
+    def item(x: Column) -> Column:
+        return F.when(is_a(x, "OBJECT"), _masked(x, levels - 1)).otherwise(x)
+
+    def value(k: Column, x: Column) -> Column:
+        secret = k.rlike(_SECRET_KEY) & (F.schema_of_variant(x) == "STRING")
+        listed = F.to_variant_object(F.transform(x.cast("array<variant>"), item))
+        return F.when(secret, mask_credential(F.try_variant_get(x, "$", "string")).cast("variant")).when(is_a(x, "ARRAY"), listed).otherwise(item(x))
+
+    return F.to_variant_object(F.transform_values(v.cast("map<string,variant>"), value))
+
+
+def mask_json(c: Column, levels: int = 5) -> Column:
+    """A JSON object as text in which strings under keys that name a secret are masked, in objects within objects and lists down to ``levels`` of objects; what lies below, and lists within lists, stays. Keys come out in alphabetical order; text that is no JSON object gives null, as nothing can be said of it."""
+    v = F.try_parse_json(c)
+    return F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.to_json(_masked(v, levels)))
 
 
 def name_error(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadmill.functions.numbers import rounded
+
 #: Words that name an issue.
 ISSUES = {
     "coverage": ["cobertura", "señal", "signal", "red", "network"],
@@ -29,13 +31,13 @@ def classify(n: Column, positive: Column, negative: Column) -> Column:
 def class_shares(df: DataFrame, column: str) -> DataFrame:
     """Count and percentage of each class; the classes are few."""
     g = df.groupBy(column).agg(F.count("*").alias("n"))
-    return g.withColumn("percent", F.bround(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))
+    return g.withColumn("percent", rounded(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))
 
 
 def influence(verified: Column, avg_likes: Column, n: Column, reply_ratio: Column, days_since: Column) -> Column:
     """0 to 100: verified 20, likes up to 30, comments up to 20, replies up to 15, recency 15 or 7.5."""
     days = F.coalesce(days_since, F.lit(365))
-    return F.bround(
+    return rounded(
         F.when(F.coalesce(verified, F.lit(False)), 20.0).otherwise(0.0) + F.least(avg_likes / 10 * 30, F.lit(30.0)) + F.least(n / 20 * 20, F.lit(20.0)) + F.least(reply_ratio * 15, F.lit(15.0)) + F.when(days <= 30, 15.0).when(days <= 90, 7.5).otherwise(0.0), 2
     )
 

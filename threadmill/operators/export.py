@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +17,7 @@ from pyspark.sql import types as T
 from threadmill.functions.dates import formatted
 from threadmill.functions.safety import within
 from threadmill.functions.text import truncate
+from threadmill.operators import documents
 
 
 @dataclass(frozen=True)
@@ -29,6 +34,9 @@ class Options:
     keep_empty: bool = True
     max_text: int | None = None
     metadata: bool = True
+    #: Of JSON lines: a first line of metadata, and the kind of record in each line.
+    metadata_line: bool = True
+    type_field: bool = True
     stats: bool = False
     indent: int | None = 2
     sort_keys: bool = False
@@ -36,14 +44,20 @@ class Options:
     quote_all: bool = False
     ensure_ascii: bool = False
     quoting: int = 0
+    header: bool = True
     line_end: str = "\n"
+    #: What the metadata name, and whether the rows are comments or posts.
+    client: str = ""
+    exported_at: str = ""
+    key: str = "comments"
 
 
+#: The presets' settings.
 PRESETS: dict[str, Options] = {
     "minimal": Options(include=("id", "platform", "text", "author_username", "published_at", "likes"), flatten_author=True, metadata=False, indent=None),
     "analytics": Options(date_style="timestamp", flatten_author=True, stats=True, sort_keys=True),
     "readable": Options(date_style="human", indent=4, stats=True),
-    "streaming": Options(indent=None, metadata=False, keep_empty=False),
+    "streaming": Options(indent=None, metadata_line=False, keep_empty=False),
     "excel_friendly": Options(quote_all=True, date_style="iso_date", flatten_author=True),
 }
 
@@ -219,20 +233,46 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def _write_csv(df: DataFrame, path: str, o: Options) -> None:
-    """Spark's writer for quoting as needed or everywhere; the other ways as lines, of which the header is the first file's."""
-    if o.quoting < 2:
-        _flat(project(df, o)).write.mode("overwrite").csv(path, header=True, sep=o.delimiter, quoteAll=o.quote_all or o.quoting == 1, nullValue="", emptyValue="", lineSep=o.line_end)
-        return
-    names = project(df, o).columns
-    head = df.sparkSession.range(1).select(F.lit(o.delimiter.join(f'"{c}"' if o.quoting == 2 else c for c in names)).alias("value"))
-    head.union(csv_lines(df, o)).write.mode("overwrite").option("lineSep", o.line_end).text(path)
+    """Lines, and before those of each file the header."""
+    o = replace(o, quoting=1) if o.quote_all else o
+    made = io.StringIO()
+    csv.writer(made, delimiter=o.delimiter, quoting=o.quoting, lineterminator="").writerow(project(df, o).columns)
+    head = made.getvalue()
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = [head]
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(first + batch.column(0).to_pylist(), pa.string())], ["value"])
+                first = []
+
+    lines = csv_lines(df, o)
+    (lines.mapInArrow(headed, "value string") if o.header else lines).write.mode("overwrite").option("lineSep", o.line_end).text(path)
+
+
+def _write_lines(df: DataFrame, path: str, o: Options) -> None:
+    """JSON lines; the metadata are the first line of the first file. Keys keep their order, whatever the options say."""
+    lines = json_lines(df, replace(o, sort_keys=False), o.key.removesuffix("s") if o.type_field else None)
+    lines = documents.dumped(lines, ensure_ascii=True) if o.ensure_ascii else lines
+    if o.metadata_line:
+        lines = metadata_line(df, o.client, F.lit(o.exported_at), o.key).coalesce(1).unionByName(lines)
+    lines.write.mode("overwrite").text(path)
+
+
+def _write_json(df: DataFrame, path: str, o: Options) -> None:
+    """One file, whatever its size, with metadata and statistics where asked."""
+    head = None
+    if o.metadata:
+        head = json.loads(document_metadata(df, replace(o, sort_keys=False), o.client, F.lit(o.exported_at), o.key).select(F.to_json("metadata").alias("value")).first().value)
+        head = {"metadata": head}
+    documents.write_document(json_lines(df, o), path, head, o.key, o.indent, o.sort_keys, o.ensure_ascii)
 
 
 WRITERS: dict[str, Callable[[DataFrame, str, Options], None]] = {
-    "jsonl": lambda df, path, o: json_lines(df, o).write.mode("overwrite").text(path),
-    "json": lambda df, path, o: project(df, o).write.mode("overwrite").json(path),
-    "csv": lambda df, path, o: _write_csv(df, path, o),
-    "parquet": lambda df, path, o: df.write.mode("overwrite").parquet(path, compression="snappy"),
+    "jsonl": _write_lines,
+    "json": _write_json,
+    "csv": _write_csv,
+    "parquet": lambda df, path, o: project(df, o).write.mode("overwrite").parquet(path, compression="snappy"),
 }
 
 

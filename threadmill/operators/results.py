@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadmill.functions.numbers import rounded
+from threadmill.operators import tables
+
 #: The columns of a page of comments and of posts.
 API_COMMENT = ("platform_id", "post_id", "platform", "author_username", "author_display_name", "text", "likes", "published_at", "parent_id")
 API_POST = ("platform_id", "platform", "account_id", "url", "text", "likes", "comments_count", "shares", "published_at", "media_type")
@@ -45,7 +50,7 @@ def account_document(posts: DataFrame, comments: DataFrame, key: str) -> DataFra
     of_posts = posts.groupBy(key).agg(F.count("*").alias("posts_processed"), F.sum("comments_count").alias("expected_comments"))
     of_comments = comments.groupBy(key).agg(F.count("*").alias("total_comments"), F.count("parent_id").alias("replies"))
     d = of_posts.join(of_comments, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total_comments", "replies", "expected_comments")})
-    ratio = F.when(F.col("expected_comments") > 0, F.bround(F.col("total_comments") / F.col("expected_comments"), 2)).otherwise(0.0)
+    ratio = F.when(F.col("expected_comments") > 0, rounded(F.col("total_comments") / F.col("expected_comments"), 2)).otherwise(0.0)
     return d.select(key, F.lit("2.0").alias("version"), "posts_processed", "total_comments", (F.col("total_comments") - F.col("replies")).alias("top_level_comments"), "replies", "expected_comments", ratio.alias("extraction_ratio"))
 
 
@@ -85,17 +90,26 @@ def content_digest(df: DataFrame) -> DataFrame:
 
 
 def save_verified(df: DataFrame, path: str) -> None:
-    """Write beside ``path``, move there in one step and read back: raises if the digest has changed. What was there before stays until the new table is complete."""
-    spark, fresh = df.sparkSession, f"{path.rstrip('/')}.new"
-    want = content_digest(df).first()
-    df.write.mode("overwrite").parquet(fresh)
-    jvm = spark.sparkContext._jvm
-    files = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(jvm.org.apache.hadoop.fs.Path(path)):
-        files.delete(jvm.org.apache.hadoop.fs.Path(path), True)
-    files.rename(jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(path))
-    if content_digest(spark.read.schema(df.schema).parquet(path)).first() != want:
-        raise OSError(f"{path} does not hold what was written")
+    """Write beside ``path``, read that back, and only then put it in the place of what was there, which stays if anything fails. Between the two renames there is nothing under ``path``; ``tables.VersionedTable`` switches in one step."""
+    spark, name = df.sparkSession, path.rstrip("/")
+    fresh, old = f"{name}.new-{uuid.uuid4().hex}", f"{name}.old-{uuid.uuid4().hex}"
+    want = df.agg(*tables.digest(df)).first()
+    df.write.parquet(fresh)
+    back = spark.read.schema(df.schema).parquet(fresh)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = at(name).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if back.agg(*tables.digest(back)).first() != want:
+        store.delete(at(fresh), True)
+        raise OSError(f"{fresh} does not hold what was written")
+    was = store.exists(at(name))
+    if was and not store.rename(at(name), at(old)):
+        raise OSError(f"{name} could not be moved away")
+    if not store.rename(at(fresh), at(name)):
+        if was:
+            store.rename(at(old), at(name))
+        raise OSError(f"{fresh} could not be moved to {name}")
+    if was:
+        store.delete(at(old), True)
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:

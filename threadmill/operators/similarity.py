@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadmill.functions.numbers import rounded
 from threadmill.functions.text import cosine, jaccard, words
 from threadmill.operators import vectors
 
@@ -98,7 +99,7 @@ def group_report(df: DataFrame, group: str) -> DataFrame:
     per = df.groupBy(group, "platform").agg(F.count("*").alias("n"))
     total = df.count()
     platforms = per.groupBy(group).agg(F.sum("n").alias("count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("platform", "n")))).alias("platforms"))
-    return platforms.withColumn("percentage", F.bround(100.0 * F.col("count") / F.lit(max(total, 1)), 2))
+    return platforms.withColumn("percentage", rounded(100.0 * F.col("count") / F.lit(max(total, 1)), 2))
 
 
 def group_details(df: DataFrame, group: str, top: int = 5, author: str = "author_id") -> DataFrame:

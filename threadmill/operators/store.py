@@ -37,8 +37,8 @@ def delete_duplicates(df: DataFrame, client: str, platform: str | None = None) -
     own = F.col("client") == client
     if platform is not None:
         own = own & (F.col("platform") == platform)
-    k = F.row_number().over(Window.partitionBy(F.coalesce(own, F.lit(False)), "text").orderBy("seq"))
-    return df.withColumn("__k", k).where((F.col("__k") == 1) | ~F.coalesce(own, F.lit(False))).drop("__k")
+    own = F.coalesce(own, F.lit(False))
+    return df.where(~own).unionByName(keep_first(df.where(own), ["text"], ["seq"]))
 
 
 def merge_posts(old: DataFrame, new: DataFrame, key: str = "platform_id") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadmill.functions.numbers import rounded
 from threadmill.functions.text import blank_to_null, strip
 
 
@@ -200,6 +201,6 @@ def repeated_ids(comments_: DataFrame, *keys: str) -> DataFrame:
 
 def combined_score(complete: Column, author_rate: Column, consistent: Column, issues: Column, fresh: Column, duplicate_rate: Column) -> Column:
     """25 points for each check that passed; else a share of authors, two less for each issue, none, and the share without repeats."""
-    return F.bround(
+    return rounded(
         F.when(complete, 25.0).otherwise(author_rate * 25) + F.when(consistent, 25.0).otherwise(F.greatest(F.lit(0.0), 25.0 - issues * 2)) + F.when(fresh, 25.0).otherwise(0.0) + F.when(duplicate_rate == 0, 25.0).otherwise(25 * (1 - duplicate_rate)), 2
     )

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from threadmill.functions.numbers import rounded
+
 #: How events are announced.
 ROUTES = [
     ("purchase", "success", "Purchase completed"),
@@ -87,10 +89,10 @@ def outcome(events: DataFrame, total: int, done: Column, failed: Column, *keys:
     """Progress of each source with its state: failed once a failure is seen, completed at its total or once an end is seen, else running; a completed one has 100 percent."""
     g = events.groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.coalesce(done, F.lit(False))).alias("ended"), F.max(F.coalesce(failed, F.lit(False))).alias("broken"))
     state = F.when(F.col("broken"), "failed").when(F.col("ended") | (F.col("n") >= total), "completed").otherwise("running")
-    percent = F.when(state == "completed", 100.0).otherwise(F.bround(100.0 * F.col("n") / F.lit(max(total, 1)), 1))
+    percent = F.when(state == "completed", 100.0).otherwise(rounded(100.0 * F.col("n") / F.lit(max(total, 1)), 1))
     return g.select(*keys, "n", state.alias("state"), percent.alias("percent"))
 
 
 def progress(events: DataFrame, total: int, *keys: str) -> DataFrame:
     """Percent done of each source, one decimal."""
-    return events.groupBy(*keys).agg(F.count("*").alias("done")).withColumn("percent", F.bround(100.0 * F.col("done") / F.lit(max(total, 1)), 1))
+    return events.groupBy(*keys).agg(F.count("*").alias("done")).withColumn("percent", rounded(100.0 * F.col("done") / F.lit(max(total, 1)), 1))
