@@ -174,7 +174,7 @@ def _log(x: str) -> Column:
 
 
 def trie(counted: DataFrame) -> DataFrame:
-    """From ``gram`` (ORDER + 1 packed bytes) and its count ``n``: ``gram`` and ``log_p``, the log10 probability of its last byte after the others."""
+    """From ``gram`` (ORDER + 1 packed bytes) and its count ``n``, written: ``gram`` and ``log_p``, the log10 probability of its last byte after the others."""
     levels = {ORDER: counted}
     for k in range(ORDER - 1, -1, -1):
         levels[k] = materialise(levels[k + 1].groupBy(F.expr(f"gram & {(1 << 8 * (k + 1)) - 1}L").alias("gram")).agg(F.sum("n").alias("n")), f"order{k}")
@@ -192,7 +192,9 @@ def trie(counted: DataFrame) -> DataFrame:
         now = now.withColumn("u", F.expr("case when t = 0 or n > 0 then null when n1 > 0 then log10(n1) - log10(b) when a > 0 then log10(a) - log10(b) + u1 else u1 end"))
         now = now.withColumn("s", F.expr("case when t = 0 then s1 when n > 0 then log10(n) - log10(t + d) else log10(d) - log10(t + d) + u end"))
         now = now.select("gram", "n", "t", "d", "u", "s")
-    return now.select("gram", F.col("s").alias("log_p"))
+    found = materialise(now.select("gram", F.col("s").alias("log_p")), "trie")
+    discard(*[levels[k] for k in range(ORDER)])
+    return found
 
 
 def _packed(entries: DataFrame, key: str, value: str, kind: int) -> DataFrame:
@@ -227,7 +229,7 @@ def scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: st
     spark, path = df.sparkSession, scratch(df.sparkSession, "blocks")
     made = blocks(df, id_col, text_col, held_out)
     with settings(spark, {"spark.sql.maxConcurrentOutputFileWriters": 8}):
-        made.write.partitionBy("kind").parquet(path)
+        made.write.partitionBy("kind").parquet(path, compression="zstd")
 
     def of_kind(kind: int) -> DataFrame:
         out = spark.read.schema(made.drop("kind").schema).parquet(f"{path}/kind={kind}") if holds(spark, f"{path}/kind={kind}") else spark.createDataFrame([], made.drop("kind").schema)
@@ -236,7 +238,7 @@ def scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: st
 
     grams, words, texts = of_kind(_GRAM), of_kind(_WORD), of_kind(_TEXT)
     counted = materialise(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    found = materialise(trie(counted), "trie")
+    found = trie(counted)
     runs_of = materialise(_packed(grams.select("block", "gram").join(found, "gram"), "gram", "log_p", _GRAM), "runs")
     discard(grams, counted, found)
     known = materialise(words.groupBy("word").agg(F.sum("n").alias("n")), "known")
