@@ -56,3 +56,38 @@ def test_edges(spark):
     assert got == [(0, 40, 0), (1, 40, 0), (1, 40, 0), (2, 0, 0), (3, 41, 40)]
     assert substrings.digests(df.limit(0)).count() == 0
     assert substrings.dedup(df).count() == 5
+
+
+def brute_rows(rows, length=20):
+    """A window is kept where no occurrence has a smaller id, or the same id and a smaller start."""
+    first = {}
+    for i, text in rows:
+        w = text.split()
+        for s in range(len(w) - length + 1):
+            key = tuple(w[s : s + length])
+            first[key] = min(first.get(key, (i, s)), (i, s))
+    out = []
+    for i, text in rows:
+        w = text.split()
+        gone = {s + k for s in range(len(w) - length + 1) if first[tuple(w[s : s + length])] != (i, s) for k in range(length)}
+        out.append((i, len(w), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(out)
+
+
+def test_rows_that_share_an_id(spark):
+    """The result follows from the rows, not from how they are dealt."""
+    p, q = (" ".join(f"{c}{k}" for k in range(20)) for c in "pq")
+    r = random.Random(8)
+    mixed = [(r.choice([3, 4, -5]), " ".join(r.choice([p, q, "x y", "z"]) for _ in range(r.randint(1, 4)))) for _ in range(25)]
+    for rows in ([(1, p), (7, p), (7, q), (8, "a b c " + q)], [(7, "a b c d e " + p), (7, "z " + p), (8, p)], mixed):
+        for parts in (1, 2, 3):
+            for kind in ("long", "string"):
+                df = spark.createDataFrame([(str(50 + i) if kind == "string" else i, t) for i, t in rows], f"doc_id {kind}, text string").repartition(parts)
+                got = sorted((int(x.doc_id) - 50 if kind == "string" else x.doc_id, x.n_words, x.kept) for x in substrings.repeats(df).collect())
+                assert got == brute_rows(rows)
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(str(k) for k in range(300_000))
+    got = {x.doc_id: (x.n_words, x.n_removed) for x in substrings.repeats(spark.createDataFrame([(1, "own words " + long), (2, long + " more")], "doc_id long, text string")).collect()}
+    assert got == {1: (300_002, 0), 2: (300_001, 300_000)}

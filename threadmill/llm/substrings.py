@@ -11,8 +11,8 @@ same window, found by an aggregate that combines before it shuffles. So a passag
 no more than others of that size, and no occurrence is left out.
 
 Order: the smaller id first, then the smaller start. Defined cases: null text has no words; rows with a null
-id are returned unchanged and repeat nothing; rows that share an id count as one document, so
-that neither repeats the other's start; texts of fewer than ``length`` words stay whole; empty tables stay empty.
+id are returned unchanged and repeat nothing; rows that share an id count as one document: of a
+window that several of them have, those with the smallest start keep it, all of them if they have one start; texts of fewer than ``length`` words stay whole; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -91,12 +91,13 @@ class _Doc:
         first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         return a[first], b[first], start[first]
 
-    def covered(self, seeds: np.ndarray | None, firsts: np.ndarray | None) -> np.ndarray:
-        """Of each word, whether it is removed."""
+    def covered(self, seeds: np.ndarray | None, firsts: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+        """Of each word, whether it is removed. firsts: starts of windows that occur nowhere earlier, and their hashes, by which a row knows its own from those of other rows with its id."""
         starts = self.candidates(seeds)
         if firsts is not None and len(starts):
+            at, known = firsts[0][inside := firsts[0] < len(self.at)], firsts[1][inside]
             earliest = np.zeros(len(self.at), bool)
-            earliest[firsts[firsts < len(earliest)]] = True
+            earliest[at[_runs(self.h, self.length, 1)[at] == known.view(np.uint64)]] = True
             starts = starts[~earliest[starts]]
         edge = np.zeros(len(self.words) + 1, np.int64)
         np.add.at(edge, starts, 1)
@@ -109,6 +110,11 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray | None]:
         yield None if not x.is_valid else x.values.to_numpy()
 
 
+def _pairs(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    for x in column:
+        yield None if not x.is_valid else tuple(x.values.field(k).to_numpy() for k in range(2))
+
+
 def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, finish: Callable, schema: T.StructType) -> DataFrame:
     """Rows of ``schema``: columns of docs, and what finish(document, mask of its removed words) returns by name. The ids of docs are not null."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -141,13 +147,18 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, finish: C
 
     hinted = docs.join(seeds, F.col(id_col) == F.col(seeds_id), "left")
     window = hinted.where(F.col(seeds_at).isNotNull()).mapInArrow(windows, f"a bigint, b bigint, id {kind}, start int")
-    earliest = window.groupBy("a", "b").agg(F.min("id").alias("id"), F.min_by("start", "id").alias("start"))
-    firsts = materialise(earliest.groupBy(F.col("id").alias(firsts_id)).agg(F.collect_list("start").alias(firsts_at)), "firsts")
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):  # id and start in one number, whose least an aggregate can keep in place
+        place = F.col("id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("start")
+        least = window.groupBy("a", "b").agg(F.min(place.cast("decimal(32,0)")).alias("least"))
+        earliest = least.withColumn("id", F.floor(F.col("least") / F.lit(1 << 31).cast("decimal(11,0)")).cast(kind)).withColumn("start", F.pmod("least", F.lit(1 << 31).cast("decimal(11,0)")).cast("int"))
+    else:
+        earliest = window.groupBy("a", "b").agg(F.min(F.struct("id", "start")).alias("least")).select("a", "least.id", "least.start")
+    firsts = materialise(earliest.groupBy(F.col("id").alias(firsts_id)).agg(F.collect_list(F.struct("start", "a")).alias(firsts_at)), "firsts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in byte_slices(whole, whole.schema.get_field_index(text_col))):
             done = []
-            for x, s, f in zip(batch.column(text_col).to_pylist(), _lists(batch.column(seeds_at)), _lists(batch.column(firsts_at))):
+            for x, s, f in zip(batch.column(text_col).to_pylist(), _lists(batch.column(seeds_at)), _pairs(batch.column(firsts_at))):
                 d = _Doc(x, length, hashed=s is not None)
                 done.append(finish(d, d.covered(s, f)))
             made = done[0].keys() if done else ()
