@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from threadmill.llm import perplexity as px
 
@@ -33,14 +34,12 @@ def plain_model(sequences):
     return p
 
 
-def test_model_matches_the_textbook(spark):
+def test_model_matches_the_textbook(spark, tmp_path):
     r = random.Random(1)
     texts = [" ".join("".join(r.choice("abcé1.") for _ in range(r.randint(1, 6))) for _ in range(12)) for _ in range(40)]
     df = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(3)
-    counts = {}
-    for row in px.count(df).collect():
-        counts.setdefault(row.n, []).append((row.gram, row["count"]))
-    model = px.Model({n: tuple(np.array(x, np.int64) for x in zip(*v)) for n, v in counts.items()})
+    path = f"file://{tmp_path}/model"
+    model = px.Model(path, *px.store_model(px.count(df), path).first())
     seq = [[32, 32, *px.symbols(t.encode().split()).tolist()] for t in texts]
     p = plain_model(seq)
     for t in [*texts[:5], "zzz abc q", "éé 99"]:
@@ -153,15 +152,51 @@ def test_twenty_languages_beyond_what_a_worker_holds(spark, tmp_path, monkeypatc
     rows = [(i, t, f"l/{i % 20} x") for i, t in enumerate(some(r, "theandofinrs", 60))]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     path = f"file://{tmp_path}/model"
-    px.store_model(px.count(df), path)
-    wide, one = (sorted((x.doc_id, round(x.log_perplexity, 9)) for x in px.score(df, path, hold=h).collect()) for h in (px.HOLD, 50))
+    sizes = px.store_model(px.count(df), path)
+    wide, one = (sorted((x.doc_id, round(x.log_perplexity, 9)) for x in px.score(df, path, sizes, hold=h).collect()) for h in (px.HOLD, 50))
     assert wide == one and len(one) == 60
 
 
-def test_bound_on_grams_leaves_the_rarest_out(spark):
+def test_verdicts_do_not_depend_on_files_partitions_or_copies(spark):
+    """Models in one file or many, rows dealt to one task or nine, and every row three times: the same figures."""
     r = random.Random(14)
-    df = spark.createDataFrame([(t, "en") for t in some(r, "theandofinrs", 30)], "text string, lang string")
-    whole, less = (Counter(x.n for x in px.count(df, most=m).collect()) for m in (px.MOST, 500))
-    assert whole[4] > 1000 and 0 < less[4] <= 500 and less[1] == whole[1]
-    kept = [x["count"] for x in px.count(df, most=500).collect() if x.n == 4]
-    assert min(kept) > 1
+    rows = [(i, t, "en" if i % 3 else "fr") for i, t in enumerate(some(r, "theandofinrs", 60) + some(r, "qwxzjkvyghpbm", 6) + ["the " * 60, "", "éa " * 70])] + [(99, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    figures = lambda d, **o: {(x.doc_id, x.log_perplexity, x.low, x.high, x.kept) for x in px.verdicts(d, spread=3.0, **o).collect()}
+    want = figures(df.repartition(1))
+    assert len(want) == len(rows) and any(x[4] for x in want)
+    assert figures(df.repartition(9)) == want
+    assert figures(df.repartition(2), most=1000) == want and figures(df, most=100) == want
+    assert figures(df.union(df).union(df).repartition(5)) == want
+
+
+def test_missing_files_raise(spark, tmp_path):
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(some(random.Random(15), "theand", 5))], "doc_id long, text string, lang string")
+    path = f"{tmp_path}/model"
+    sizes = px.store_model(px.count(df), f"file://{path}")
+    sizes = spark.createDataFrame(sizes.collect(), sizes.schema)
+    next((tmp_path / "model").glob("of=*/slot=*/*.parquet")).unlink()
+    px._held.clear()
+    with pytest.raises(Exception, match="entries of a model|No such file|does not exist"):
+        px.score(df, f"file://{path}", sizes).collect()
+
+
+def test_code_points_that_fold_together():
+    """Two beyond the basic plane that share one of the 2048 values are one symbol; those of the plane are not touched."""
+    a, b = chr(0x20000), chr(0x20000 + 2048)
+    assert (px.symbols([a.encode()]) == px.symbols([b.encode()])).all() and px.symbols(["é".encode()])[1] == ord("é")
+
+
+def test_a_path_without_scheme_goes_to_sparks_file_system(spark, monkeypatch):
+    from threadmill.llm import common
+
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert common.scratch_uri(spark, "x").startswith("file:///")
+    monkeypatch.setattr(common, "scratch", lambda s, name: f"/shared/{name}")
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://store/")
+    conf.set("fs.viewfs.mounttable.store.link./shared", "file:///tmp")
+    try:
+        assert common.scratch_uri(spark, "x") == "viewfs://store/shared/x"
+    finally:
+        conf.set("fs.defaultFS", before or "file:///")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -73,9 +72,12 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
 
 
 def scratch_uri(spark: SparkSession, name: str) -> str:
-    """The same as a URI, for readers and writers in tasks that take no other paths."""
-    path = scratch(spark, name)
-    return path if path.split("/")[0].endswith(":") else f"file://{os.path.abspath(path)}"
+    """The same as a URI of the file system that Spark takes for the path, for readers and writers in tasks that need the scheme. The stores of ``s3a`` are ``s3`` to them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark, name))
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    if found.startswith("file:/") and not found.startswith("file:///"):
+        found = f"file://{found.removeprefix('file:')}"
+    return f"s3://{found.partition('://')[2]}" if found.startswith(("s3a://", "s3n://")) else found
 
 
 @contextmanager

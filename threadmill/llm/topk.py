@@ -130,9 +130,13 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: float
     path = scratch_uri(spark, "queries")
     asked.repartition(max(1, -(-asked.count() // QUERIES))).write.parquet(path)
 
+    written = spark.read.parquet(path).select("_metadata.file_path").distinct().count()
+
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(path)
         files = sorted(x.path for x in store.get_file_info(fs.FileSelector(folder)) if x.path.endswith(".parquet"))
+        if len(files) != written:
+            raise OSError(f"{len(files)} of {written} files of queries were found below {path}")
         part = TaskContext.get().partitionId()
         for group in _groups(batches, GROUP):
             for name in files:
