@@ -240,6 +240,29 @@ def _(s, d):
     return similarity.minhash_pairs(a.table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "text"))
 
 
+_close = r"""WITH RECURSIVE t AS (
+        SELECT doc_id AS id, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS w FROM documents
+    ), s AS (
+        SELECT min(id) AS id, w, len(w) AS n FROM t WHERE len(w) > 0 GROUP BY w
+    ), f AS (
+        SELECT word, count(*) AS f FROM (SELECT unnest(w) AS word FROM s) GROUP BY 1
+    ), o AS (
+        SELECT id, n, word, row_number() OVER (PARTITION BY id ORDER BY f, word) AS k FROM (SELECT id, n, unnest(w) AS word FROM s) JOIN f USING (word)
+    ), p AS (
+        SELECT DISTINCT x.id AS a, y.id AS b FROM o x JOIN o y ON x.word = y.word AND x.id < y.id AND x.k <= x.n - ceil(x.n * 0.7) + 1 AND y.k <= y.n - ceil(y.n * 0.7) + 1
+    ), links AS (
+        SELECT a, b FROM p JOIN s x ON a = x.id JOIN s y ON b = y.id WHERE len(list_intersect(x.w, y.w)) >= 0.7 * len(list_distinct(list_concat(x.w, y.w)))
+    ), reached(id, root) AS (
+        SELECT id, id FROM s UNION SELECT z.other, root FROM reached JOIN (SELECT a AS one, b AS other FROM links UNION ALL SELECT b, a FROM links) z ON z.one = reached.id WHERE z.other > root
+    ), roots AS (SELECT id, min(root) AS root FROM reached GROUP BY 1)
+    """
+
+
+@register("minhash_groups", _close + 'SELECT t.id AS seq, root AS "group" FROM t JOIN s USING (w) JOIN roots ON s.id = roots.id')
+def _(s, d):
+    return similarity.minhash_groups(a.table(s, d, "documents").select(F.col("doc_id").alias("seq"), "text"))
+
+
 @register("tfidf_clusters")
 def _(s, d):
     return similarity.kmeans(a.comments(s, d), 4).select("seq", "cluster")
