@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from threadmill.llm.common import WORD_PATTERN, byte_slices, discard, free_names, materialise
+from threadmill.llm.common import WORD_PATTERN, byte_slices, discard, free_names, materialise, small
 
 #: Words of an anchor. Shorter ones are fewer, but in a large corpus more of them recur by chance alone.
 SEED = 8
 #: Anchors that have a thousandth of all repeated occurrences, of which there are a thousand at most, are dealt to so many tasks each.
 HOT, SALTS = 1000, 64
+#: Ids of several rows up to which they are broadcast.
+_MOST_SHARED = 50_000
 _draw = np.random.default_rng(20)
 _COEFFICIENTS = _draw.integers(0, 1 << 63, (3, 4096), np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = re.compile(WORD_PATTERN.encode())
@@ -92,12 +94,15 @@ class _Doc:
         return a[first], b[first], start[first]
 
     def covered(self, seeds: np.ndarray | None, firsts: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
-        """Of each word, whether it is removed. firsts: starts of windows that occur nowhere earlier, and their hashes, by which a row knows its own from those of other rows with its id."""
+        """Of each word, whether it is removed. firsts: starts of windows that occur nowhere earlier, and where several rows have this id the windows' hashes, by which a row knows its own."""
         starts = self.candidates(seeds)
         if firsts is not None and len(starts):
-            at, known = firsts[0][inside := firsts[0] < len(self.at)], firsts[1][inside]
+            at, known = firsts
+            if len(known):
+                at, known = at[inside := at < len(self.at)], known[inside]
+                at = at[_runs(self.h, self.length, 1)[at] == known.view(np.uint64)]
             earliest = np.zeros(len(self.at), bool)
-            earliest[at[_runs(self.h, self.length, 1)[at] == known.view(np.uint64)]] = True
+            earliest[at] = True
             starts = starts[~earliest[starts]]
         edge = np.zeros(len(self.words) + 1, np.int64)
         np.add.at(edge, starts, 1)
@@ -112,7 +117,7 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray | None]:
 
 def _pairs(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
     for x in column:
-        yield None if not x.is_valid else tuple(x.values.field(k).to_numpy() for k in range(2))
+        yield None if not x.is_valid else (x["start"].values.to_numpy(), x["a"].values.to_numpy())
 
 
 def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, finish: Callable, schema: T.StructType) -> DataFrame:
@@ -153,7 +158,10 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, finish: C
         earliest = least.withColumn("id", F.floor(F.col("least") / F.lit(1 << 31).cast("decimal(11,0)")).cast(kind)).withColumn("start", F.pmod("least", F.lit(1 << 31).cast("decimal(11,0)")).cast("int"))
     else:
         earliest = window.groupBy("a", "b").agg(F.min(F.struct("id", "start")).alias("least")).select("a", "least.id", "least.start")
-    firsts = materialise(earliest.groupBy(F.col("id").alias(firsts_id)).agg(F.collect_list(F.struct("start", "a")).alias(firsts_at)), "firsts")
+    shared = small(docs.groupBy(F.col(id_col).alias("shared")).agg(F.count("*").alias("n")).where("n > 1").select("shared"), _MOST_SHARED)
+    earliest = earliest.join(shared, F.col("id") == F.col("shared"), "left")
+    lists = F.struct(F.collect_list("start").alias("start"), F.collect_list(F.when(F.col("shared").isNotNull(), F.col("a"))).alias("a"))
+    firsts = materialise(earliest.groupBy(F.col("id").alias(firsts_id)).agg(lists.alias(firsts_at)), "firsts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in byte_slices(whole, whole.schema.get_field_index(text_col))):
