@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zoneinfo
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,14 +59,84 @@ def relative_review(c: Column, now: Column) -> Column:
     return out.otherwise(now)
 
 
+#: Month names, of which the first three letters are enough.
+MONTHS = {
+    "en": "january february march april may june july august september october november december".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+
+
+def _months() -> dict[str, int]:
+    """Whole and short names of both languages, with their numbers."""
+    return {name[:n]: k for names in MONTHS.values() for k, name in enumerate(names, 1) for n in (3, 4, len(name))} | {"setiembre": 9}
+
+
+def fuzzy_date(c: Column, now: Column) -> Column:
+    """A date anywhere in a text: a day and a month's name in English or Spanish in either order, numbers with the day first (or the month, where the first two can only be so read), or year, month and day; with or without a year, a time, am and pm.
+
+    Without a year it is that of ``now``, or the one before if the date would lie ahead; two digits of a year lie within fifty years of ``now``; a time alone is today's. Null where there is neither a date nor a time, or no such day.
+    """
+    return _let(F.lower(c), lambda t: _fuzzy(t, now))
+
+
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _fuzzy(t: Column, now: Column) -> Column:
+    found = lambda pattern, k: F.nullif(F.regexp_extract(t, pattern, k), F.lit(""))
+    number = lambda pattern, k: found(pattern, k).try_cast("int")
+    first = lambda *xs: F.coalesce(*xs)
+    names = _months()
+    name = rf"(?<!\p{{L}})({'|'.join(sorted(names, key=len, reverse=True))})(?!\p{{L}})"
+    day_first, month_first = rf"(?<!\d)(\d{{1,2}})(?:st|nd|rd|th)?\s+(?:de\s+|of\s+)?{name}", rf"{name}\.?\s+(\d{{1,2}})(?!\d|:)"
+    iso, numbers = r"(?<!\d)(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?!\d)", r"(?<!\d)(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?!\d)"
+    clock, hour_only = r"(?<!\d)(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(?:([ap])\.?\s?m)?", r"(?<!\d)(\d{1,2})\s*([ap])\.?\s?m(?!\p{L})"
+
+    month_number = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), found(name, 1))
+    x, y = number(numbers, 1), number(numbers, 2)
+    month_leads = (y > 12) & (x <= 12)
+    short = number(numbers, 3)
+    month = first(number(iso, 2), F.when(month_leads, x).otherwise(y), month_number)
+    day = first(number(iso, 3), F.when(month_leads, y).otherwise(x), number(day_first, 1), number(month_first, 2))
+    year = first(number(iso, 1), F.when(short >= 100, short).when(short + 2000 > F.year(now) + 50, short + 1900).otherwise(short + 2000), number(r"(?<![\d:])(\d{4})(?![\d:])", 1))
+    half = first(found(clock, 4), found(hour_only, 2))
+    hour = first(number(clock, 1), number(hour_only, 1))
+    hour = F.when(half == "p", hour % 12 + 12).when(half == "a", hour % 12).otherwise(F.coalesce(hour, F.lit(0)))
+    minute, second = F.coalesce(number(clock, 2), F.lit(0)), F.coalesce(number(clock, 3), F.lit(0))
+    time_alone = month.isNull() & day.isNull() & (found(clock, 1).isNotNull() | found(hour_only, 1).isNotNull())
+    month, day = F.when(time_alone, F.month(now)).otherwise(month), F.when(time_alone, F.dayofmonth(now)).otherwise(F.when(month.isNotNull(), F.coalesce(day, F.dayofmonth(now))))
+    at = lambda y: F.try_make_timestamp(y, month, day, hour, minute, second)
+    this_year = at(F.year(now))
+    return F.when(year.isNotNull(), at(year)).when(this_year > now, at(F.year(now) - 1)).otherwise(this_year)
+
+
 def relative_post(c: Column, now: Column) -> Column:
-    """Relative time, or one of a fixed list of absolute formats; a date without a year that would be in the future is last year's."""
-    t = F.lower(F.trim(c))
-    year = F.date_format(now, "yyyy")
-    dated = F.coalesce(*[F.try_to_timestamp(F.concat_ws(" ", F.initcap(t), year), F.lit(f"{f} yyyy")) for f in ("MMMM d", "d MMMM", "MMM d", "d MMM")])
-    past = F.when(dated > now, dated - F.expr("INTERVAL '1' YEAR")).otherwise(dated)
-    full = F.coalesce(parse_flexible(c), *[F.try_to_timestamp(F.initcap(t), F.lit(f)) for f in ("MMMM d, yyyy", "d MMMM yyyy", "MMM d, yyyy", "d MMM yyyy")])
-    return F.coalesce(full, past, relative_comment(c, now))
+    """Relative time in English or Spanish, then a date by ``fuzzy_date``, then minutes, hours or days that are named anywhere behind a number."""
+    return _let(F.lower(F.trim(c)), lambda t: _post(t, now))
+
+
+def _post(t: Column, now: Column) -> Column:
+    n = lambda pattern: F.regexp_extract(t, pattern, 1).try_cast("bigint")
+    unit = lambda pattern: F.regexp_extract(t, pattern, 2)
+    short, hace, ago = r"^([0-9]+)\s*([hmd])$", r"hace\s+([0-9]+)\s+(hora|minuto|día|min|hr|d)", r"([0-9]+)\s+(minute|hour|day|min|hr)"
+    has = lambda *xs: t.rlike("|".join(xs))
+
+    def past(pattern: str) -> Column:
+        u = unit(pattern)
+        return F.when(F.startswith(u, F.lit("m")), _ago(now, n(pattern), 60)).when(F.startswith(u, F.lit("h")), _ago(now, n(pattern), 3600)).otherwise(_ago(now, n(pattern), 86400))
+
+    return (
+        F.when(t == "", None)
+        .when(has("just now", "ahora", "hace un momento"), now)
+        .when(n(short).isNotNull(), past(short))
+        .when(n(hace).isNotNull(), past(hace))
+        .when(n(ago).isNotNull() & has("ago"), past(ago))
+        .when(has("yesterday", "ayer"), _ago(now, F.lit(1), 86400))
+        .when(has("today", "hoy"), now)
+        .otherwise(F.coalesce(_fuzzy(t, now), F.when(has("min"), _ago(now, n("([0-9]+)"), 60)).when(has("hour", "hr", "hora"), _ago(now, n("([0-9]+)"), 3600)).when(has("day", "día"), _ago(now, n("([0-9]+)"), 86400))))
+    )
 
 
 def formatted(c: Column, style: str, pattern: str | None = None, zone: str | None = None) -> Column:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from threadmill.functions import stems
+from threadmill.functions import dates, stems
 from threadmill.operators import search
 from threadmill.plans.core import register
 from threadmill.session import shared_path
@@ -71,3 +71,30 @@ def _(s, d):
 @register("stemmed_search_any", f"WITH {_WORDS} q AS (SELECT unnest({_QUERY}) AS word), x AS (SELECT word FROM v UNION SELECT word FROM q), {_sql_stems('x')} SELECT seq, count(*) AS score FROM w JOIN stemmed USING (word) WHERE stem IN (SELECT stem FROM stemmed SEMI JOIN q USING (word)) GROUP BY 1")
 def _(s, d):
     return _found(s, d, _QUERY, False)
+
+
+_ES = dates.MONTHS["es"]
+#: Twelve ways to write a date, in Spark's and DuckDB's patterns, and whether the year and the time are lost.
+_SHAPES = [
+    ("MMMM d, yyyy", "%B %-d, %Y", False), ("d MMM yyyy", "%-d %b %Y", False), ("EEEE, MMMM d, yyyy 'at' h:mm a", "%A, %B %-d, %Y at %-I:%M %p", False), ("dd/MM/yyyy", "%d/%m/%Y", False), ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", False), ("d.M.yy", "%-d.%-m.%y", False),
+    ("MMM d", "%b %-d", True), ("d MMMM", "%-d %B", True), ("MMMM d 'at' HH:mm", "%B %-d at %H:%M", True), ("'posted on' MMM d 'by someone'", "posted on %b %-d by someone", True), ("d 'de' ", "%-d de ", True), ("d 'de' ", "%-d de ", False),
+]
+
+
+@register("post_dates", """
+    WITH o AS (SELECT o_orderkey, o_orderkey % 12 AS shape, o_orderdate::TIMESTAMP + INTERVAL (o_custkey % 1440) MINUTE AS t FROM orders),
+    p AS (SELECT *, CASE WHEN shape IN (2, 4, 8) THEN t ELSE t::DATE::TIMESTAMP END AS seen, make_timestamp(2000, month(t), CASE WHEN month(t) = 2 AND day(t) = 29 THEN 28 ELSE day(t) END, 0, 0, 0.0) AS d FROM o)
+    SELECT o_orderkey, CASE WHEN shape NOT IN (6, 7, 8, 9, 10) THEN seen WHEN month(t) = 2 AND day(t) = 29 THEN NULL
+        ELSE make_timestamp(CASE WHEN make_timestamp(2023, month(t), day(t), CASE WHEN shape = 8 THEN hour(t) ELSE 0 END, CASE WHEN shape = 8 THEN minute(t) ELSE 0 END, 0.0) > TIMESTAMP '2023-06-15 12:00:00' THEN 2022 ELSE 2023 END, month(t), day(t), CASE WHEN shape = 8 THEN hour(t) ELSE 0 END, CASE WHEN shape = 8 THEN minute(t) ELSE 0 END, 0.0) END AS at
+    FROM p WHERE NOT (month(t) = 2 AND day(t) = 29)""")
+def _(s, d):
+    """Dates of orders written in twelve shapes and read back; 29 February aside, which most years lack."""
+    o = a.table(s, d, "orders").withColumn("t", F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + F.col("o_custkey") % 1440 * 60))
+    written = F
+    for k, (pattern, _, _) in enumerate(_SHAPES):
+        text = F.date_format("t", pattern)
+        if k >= 10:
+            text = F.concat(text, F.element_at(F.array(*[F.lit(x) for x in _ES]), F.month("t")), F.date_format("t", " 'de' yyyy") if k == 11 else F.lit(""))
+        written = written.when(F.col("o_orderkey") % 12 == k, text)
+    o = o.where(~((F.month("t") == 2) & (F.dayofmonth("t") == 29)))
+    return o.select("o_orderkey", dates.relative_post(written, F.lit("2023-06-15 12:00:00").cast("timestamp")).alias("at"))
