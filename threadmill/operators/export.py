@@ -18,6 +18,7 @@ from threadmill.functions.dates import formatted
 from threadmill.functions.safety import within
 from threadmill.functions.text import truncate
 from threadmill.operators import documents
+from threadmill.session import written
 
 
 @dataclass(frozen=True)
@@ -198,27 +199,16 @@ def older_than(files: DataFrame, now: Column, days: int) -> DataFrame:
     return files.where(F.unix_timestamp("modificationTime") < F.unix_timestamp(now) - days * 86400)
 
 
-def _rank(df: DataFrame, name: str) -> Column:
-    """A number that never falls where the column rises."""
-    kind, c = df.schema[name].dataType, F.col(name)
-    if isinstance(kind, T.NumericType):
-        return c.cast("double")
-    if isinstance(kind, (T.TimestampType, T.DateType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    return F.conv(F.rpad(F.hex(F.substring(c.cast("string").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-
-
-def batches(df: DataFrame, order: list[str], size: int, rows_each: int = 200_000, most: int = 512) -> DataFrame:
-    """Adds ``batch`` from 1. Rows are counted in ranges of the first column of the order, cut at approximate quantiles that are fixed before the rows are read again, so that no task sees all rows; ``most`` bounds the number of ranges. The first column should spread rows out: those with one value are one range."""
-    rank = _rank(df, order[0])
-    ranges = max(1, min(most, df.count() // rows_each))
-    cuts = sorted({*(df.agg(F.percentile_approx(rank, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or [])}) if ranges > 1 else []
-    place = F.coalesce(F.array_size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < rank)) if cuts else F.lit(0), F.lit(-1))
-    placed = df.withColumn("__p", F.when(rank.isNull(), -1).otherwise(place))
+def batches(df: DataFrame, order: list[str], size: int, rows_each: int = 200_000) -> DataFrame:
+    """Adds ``batch`` from 1, by global row numbers: rows are dealt in ranges of the whole order, and of their number in the input where that leaves ties, sorted and written with their place; the rows of the ranges before a row
+    and that place make its number. So no task sees all rows, and neither a frequent first value nor long equal beginnings of strings put rows in one range."""
+    ranges = max(1, -(-df.count() // rows_each))
+    tied = df.withColumn("__t", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(ranges, *order, "__t").sortWithinPartitions(*order, "__t").drop("__t")
+    placed = written(dealt.withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "batches")
     counts = placed.groupBy("__p").agg(F.count("*").alias("__n"))
     before = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    k = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return placed.withColumn("__k", k).join(F.broadcast(before), "__p").withColumn("batch", F.ceil((F.col("__base") + F.col("__k")) / size)).drop("__p", "__k", "__base")
+    return placed.join(F.broadcast(before), "__p").withColumn("batch", F.ceil((F.col("__base") + F.col("__k") + 1) / size)).drop("__p", "__k", "__base")
 
 
 def column_widths(df: DataFrame) -> DataFrame:

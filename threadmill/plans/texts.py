@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from threadmill.functions import dates, stems
-from threadmill.operators import search
+from threadmill.operators import markup, search
 from threadmill.plans.core import register
 from threadmill.session import shared_path
 from threadmill.sources import adapters as a
@@ -98,3 +98,24 @@ def _(s, d):
         written = written.when(F.col("o_orderkey") % 12 == k, text)
     o = o.where(~((F.month("t") == 2) & (F.dayofmonth("t") == 29)))
     return o.select("o_orderkey", dates.relative_post(written, F.lit("2023-06-15 12:00:00").cast("timestamp")).alias("at"))
+
+
+@register("page_elements", r"""
+    WITH p AS (SELECT page_id, unnest(list_zip(regexp_extract_all(html, '(?s)<(a href="[^"]*"|div class="ad")>([^<]*)</(a|div)>', 1), regexp_extract_all(html, '(?s)<(a href="[^"]*"|div class="ad")>([^<]*)</(a|div)>', 2))) AS x FROM pages)
+    SELECT page_id, CASE WHEN starts_with(x[1], 'a') THEN 'link' ELSE 'ad' END AS kind, count(*) AS n, md5(string_agg(trim(regexp_replace(x[2], '[\x20\x09-\x0D]+', ' ', 'g')), '|' ORDER BY trim(regexp_replace(x[2], '[\x20\x09-\x0D]+', ' ', 'g')))) AS texts FROM p GROUP BY ALL""")
+def _(s, d):
+    found = markup.elements(a.table(s, d, "pages"), [("ad", lambda tag: markup.has_class(tag, "ad")), ("link", lambda tag: markup.attribute(tag, "href").isNotNull())])
+    return found.groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("text")), "|")).alias("texts"))
+
+
+@register("page_signs", r"""
+    WITH p AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<div class="ad">([^<]*)</div>', 1), '[\x20\x09-\x0D]+', ' ', 'g')) AS ad FROM pages WHERE html LIKE '%<div class="ad">%')
+    SELECT page_id, kind, role, classes, CASE kind WHEN 'dialog' THEN trim('Sorry ' || CASE WHEN page_id % 3 = 0 THEN ad || ' ' ELSE '' END || 'Close') ELSE ad END AS text
+    FROM p, (VALUES ('dialog', 'alertdialog', ''), ('error', 'unknown', 'note form-error')) k(kind, role, classes) WHERE kind = 'dialog' OR (page_id % 3 = 0 AND length(ad) BETWEEN 1 AND 499)""")
+def _(s, d):
+    """The advertisement of each page of three as an error within a dialog, of the others as one without it."""
+    p = a.table(s, d, "pages").where(F.contains("html", F.lit('<div class="ad">')))
+    inner = F.regexp_extract("html", '(?s)<div class="ad">([^<]*)</div>', 1)
+    error = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<div class="note form-error"><i>'), inner, F.lit("</i></div>"))).otherwise("")
+    dialog = F.concat(F.lit('<div role="alertdialog"><div><p>Sorry<br></div>'), error, F.lit("<script>var x = '</div>';</script><div>Close</div></div>"))
+    return markup.signs(p.withColumn("html", F.concat(dialog, F.regexp_replace("html", '(?s)<div class="ad">[^<]*</div>', "")))).drop("at")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from threadmill.functions.numbers import rounded
+from threadmill.streaming.bus import Bus
 
 #: How events are announced.
 ROUTES = [
@@ -41,20 +42,11 @@ def new_rows(events: DataFrame, ts: str, late: str, *keys: str) -> DataFrame:
 
 
 def fan_out(events: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
-    """Give every batch to all handlers in their order; one that fails is reported and doesn't keep the batch from others."""
-
-    def each(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        try:
-            for name, handle in handlers.items():
-                try:
-                    handle(batch, number)
-                except Exception as e:  # a handler's fault is its own
-                    print(f"handler {name} failed in batch {number}: {e}")
-        finally:
-            batch.unpersist()
-
-    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Give every batch to all handlers in their order; one that fails doesn't keep the batch from others. ``bus.Bus`` counts failures and lets handlers come and go."""
+    bus = Bus()
+    for handle in handlers.values():
+        bus.subscribe_all(handle)
+    return bus.attach(events, checkpoint)
 
 
 def to_parquet(events: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
