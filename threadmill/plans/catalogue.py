@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from threadmill.plans import analytics, reports, scalars, streams, texts, written  # noqa: F401  they register their queries
+from threadmill.plans import analytics, records, reports, scalars, streams, texts, written  # noqa: F401  they register their queries
 from threadmill.plans.core import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

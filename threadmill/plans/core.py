@@ -121,12 +121,12 @@ def _(s, d):
 
 
 def _halves(s, d):
-    """The older two thirds as the stored table, and a batch that overlaps it."""
+    """Two thirds of all rows as the stored table, and a batch of the others and some of those: every row is in one of them at least."""
     c = a.comments(s, d)
-    return c.where("seq % 3 <> 0"), c.where("seq % 2 = 0")
+    return c.where("seq % 3 <> 0"), c.where("seq % 2 = 0 OR seq % 3 = 0")
 
 
-OLD, NEW = f"(SELECT * FROM {COMMENTS} WHERE seq % 3 <> 0)", f"(SELECT * FROM {COMMENTS} WHERE seq % 2 = 0)"
+OLD, NEW = f"(SELECT * FROM {COMMENTS} WHERE seq % 3 <> 0)", f"(SELECT * FROM {COMMENTS} WHERE seq % 2 = 0 OR seq % 3 = 0)"
 
 
 @register("insert_ignore", f"SELECT seq, client, platform, platform_id FROM {NEW} n WHERE NOT EXISTS (SELECT 1 FROM {OLD} o WHERE o.platform = n.platform AND o.platform_id = n.platform_id) QUALIFY row_number() OVER (PARTITION BY platform, platform_id ORDER BY seq) = 1")

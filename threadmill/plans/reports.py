@@ -459,7 +459,7 @@ def _(s, d):
 
 MERGED = """(
     WITH op AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0), np AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0),
-    oc AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber % 2 = 0), nc AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber % 3 <> 0),
+    oc AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber % 2 = 0 OR l_linenumber % 3 = 0), nc AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber % 3 <> 0),
     c AS (SELECT l_orderkey, count(*) AS n FROM (SELECT * FROM oc UNION ALL SELECT * FROM nc n WHERE NOT EXISTS (SELECT 1 FROM oc WHERE oc.l_orderkey = n.l_orderkey AND oc.l_linenumber = n.l_linenumber)) GROUP BY 1),
     p AS (SELECT np.o_orderkey, np.o_orderstatus, CASE WHEN op.o_orderkey IS NULL THEN 'new' ELSE 'updated' END AS change, CASE WHEN op.o_orderkey IS NULL THEN 'second' ELSE 'first' END AS created_at FROM np LEFT JOIN op USING (o_orderkey)
           UNION ALL SELECT o_orderkey, o_orderstatus, 'kept', 'first' FROM op WHERE o_orderkey NOT IN (SELECT o_orderkey FROM np))
@@ -471,7 +471,7 @@ def _merged(s, d):
     c = a.post_comments(s, d).select("post_id", F.col("idx").alias("platform_id"))
     old = p.where("platform_id % 3 <> 0").withColumn("created_at", F.lit("first"))
     new = p.where("platform_id % 2 = 0 or platform_id % 3 = 0").withColumn("created_at", F.lit("second"))
-    return store.merge_extractions(old, new, c.where("platform_id % 2 = 0"), c.where("platform_id % 3 <> 0"))
+    return store.merge_extractions(old, new, c.where("platform_id % 2 = 0 OR platform_id % 3 = 0"), c.where("platform_id % 3 <> 0"))
 
 
 @register("merge_extractions", f"SELECT platform_id, platform, change, created_at, n_comments FROM {MERGED}")
