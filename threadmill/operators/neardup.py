@@ -6,6 +6,7 @@ gives as many candidates as it has members. A set meets those it is like in seve
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,35 +31,39 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _banded(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+def _marks(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """``id``, ``k`` (128 bits that equal sets share) and ``bands`` of every set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [band_keys(x.values.to_numpy().view(np.uint64), bands, rows) for x in batch.column(1)]
-            for at in range(0, len(keys), 4096):
-                part = keys[at : at + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).slice(at, 4096).to_numpy(), bands)), pa.array(np.concatenate(part))], ["id", "band"])
+            held = [np.sort(x.values.to_numpy()) for x in batch.column(1)]
+            keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in held]
+            made = pa.array([band_keys(x.view(np.uint64), bands, rows).tolist() for x in held], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), made], ["id", "k", "bands"])
 
-    return sets.select("id", "s").mapInArrow(run, "id bigint, band bigint")
+    return sets.select("id", "s").mapInArrow(run, "id bigint, k binary, bands array<bigint>")
 
 
 def groups(sets: DataFrame, threshold: float, bands: int = 14, rows: int = 6) -> DataFrame:
     """``id`` and ``group``, the smallest id of those that the row is linked with, itself included, for every row of ``sets``: ``id`` (long) and ``s``, an array of distinct 64-bit hashes that is not empty. Rows that share an id share its group.
 
-    Every link that is made has at least the threshold's similarity. Of pairs with a similarity of 0.8, 98.6 % share one of 14 bands of 6 hashes.
+    Every link that is made has at least the threshold's similarity. Of pairs with a similarity of 0.8, 98.6 % share one of 14 bands of 6 hashes. ``sets`` is computed twice and never stored: once for marks of some hundred bytes a row, and once
+    for the rows that are candidates.
     """
-    held = written(sets.select("id", F.array_sort("s").alias("s")).withColumn("k1", F.xxhash64("s")).withColumn("k2", F.xxhash64(F.lit(1), "s")), "sets")
-    first = written(held.groupBy("k1", "k2").agg(F.min("id").alias("first")), "first")
-    owner = written(held.select("id", "k1", "k2").join(first, ["k1", "k2"]).select("id", "first"), "owner")
-    own = written(held.join(first, (held.k1 == first.k1) & (held.k2 == first.k2) & (held.id == first["first"])).select("id", "s", held.k1, held.k2).dropDuplicates(["id", "k1", "k2"]).select("id", "s"), "own")
-    banded = written(_banded(own, bands, rows), "bands")
-    least = banded.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = written(banded.join(least, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "met")
-    forget(held, first, banded)
-    left, right = own.select(F.col("id").alias("a"), F.col("s").alias("x")), own.select(F.col("id").alias("b"), F.col("s").alias("y"))
+    marks = written(_marks(sets, bands, rows), "marks")
+    first = written(marks.groupBy("k").agg(F.min("id").alias("first")), "first")
+    owner = written(marks.select("id", "k").join(first, "k").select("id", "first"), "owner")
+    own = marks.join(first, (marks.k == first.k) & (marks.id == first["first"])).select("id", F.explode("bands").alias("band")).distinct()
+    least = own.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = written(own.join(least, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "met")
+    forget(marks, first)
+    asked = met.select(F.col("a").alias("id")).union(met.select("b")).distinct()
+    candidates = written(sets.select("id", "s").join(asked, "id", "left_semi"), "candidates")
+    left, right = candidates.select(F.col("id").alias("a"), F.col("s").alias("x")), candidates.select(F.col("id").alias("b"), F.col("s").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     close = met.join(left, "a").join(right, "b").where(F.least(F.size("x"), F.size("y")) >= F.greatest(F.size("x"), F.size("y")) * threshold).where(common >= threshold * (F.size("x") + F.size("y") - common))
     links = close.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(owner.where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v")))
     roots = components(links)
     found = written(owner.select("id").distinct().join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group")), "groups")
-    forget(own, owner, met)
+    forget(candidates, owner, met)
     return found
