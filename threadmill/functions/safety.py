@@ -180,8 +180,18 @@ def url_post_id(c: Column, platform: str) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in POST_ID[platform]])
 
 
-def url_in_scope(c: Column) -> Column:
-    return ~(F.contains(c, F.lit("/groups/")) | F.contains(c, F.lit("/events/")))
+def url_in_scope(c: Column, page: Column | None = None) -> Column:
+    """Whether a link is no group's or event's and, where a page is named, one of that page's own, in any case of letters."""
+    ours = ~(F.contains(c, F.lit("/groups/")) | F.contains(c, F.lit("/events/")))
+    if page is None:
+        return ours
+    low = F.lower(c)
+    return ours & (page.isNull() | (page == "") | F.contains(low, F.concat(F.lit("/"), page, F.lit("/"))) | F.contains(low, F.concat(F.lit("facebook.com/"), page)))
+
+
+def absolute_url(c: Column, base: str = "https://www.facebook.com") -> Column:
+    """Links without a scheme belong to the base."""
+    return F.when(F.startswith(c, F.lit("http")), c).otherwise(F.concat(F.lit(base), c))
 
 
 def cache_key(kind: Column, **parts: Column) -> Column:

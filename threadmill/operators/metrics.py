@@ -16,6 +16,12 @@ def rate(n: Column, seconds: Column) -> Column:
     return F.when(seconds > 0, n / seconds).otherwise(0.0)
 
 
+def session_rates(df: DataFrame, *keys: str) -> DataFrame:
+    """Posts a minute and comments a minute, and errors a request, of each session; 0 for no time or no requests. df: posts, comments, errors, requests, seconds."""
+    g = df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("posts", "comments", "errors", "requests", "seconds")])
+    return g.select(*keys, (rate(F.col("posts"), F.col("seconds")) * 60).alias("posts_per_minute"), (rate(F.col("comments"), F.col("seconds")) * 60).alias("comments_per_minute"), rate(F.col("errors"), F.col("requests")).alias("error_rate"))
+
+
 def hit_rate(hits: Column, misses: Column) -> Column:
     return F.when(hits + misses > 0, hits / (hits + misses)).otherwise(0.0)
 

@@ -93,7 +93,9 @@ def kmeans(df: DataFrame, k: int = 10, features: int = 1000, language: str = "sp
     d = df.where("text is not null")
     d = tokens.fit(d).transform(d).withColumn("terms", F.concat("w", "ww"))
     model = Pipeline(stages=[CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=features), IDF(inputCol="tf", outputCol="features"), KMeans(k=k, seed=seed, predictionCol="cluster")]).fit(d)
-    return model.transform(d).drop("raw", "w", "ww", "terms", "tf")
+    out = model.transform(d).drop("raw", "w", "ww", "terms", "tf")
+    out.vocabulary = model.stages[0].vocabulary
+    return out
 
 
 def silhouette(df: DataFrame, cluster: str = "cluster", noise: int = -1) -> float:
@@ -118,6 +120,13 @@ def group_details(df: DataFrame, group: str, top: int = 5, author: str = "author
     return base.join(words_, group, "left")
 
 
+def group_peaks(df: DataFrame, group: str, top: int = 3, at: str = "published_at") -> DataFrame:
+    """Per group the days with most rows: ``rank``, ``day`` and ``n``; the earlier day first among equals."""
+    n = df.groupBy(group, F.to_date(at).alias("day")).agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "day"))
+    return n.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
 def group_samples(df: DataFrame, group: str, order: str, first: int = 3) -> DataFrame:
     """The first rows of each group. Spark drops all others within each partition before it shuffles."""
     k = F.row_number().over(Window.partitionBy(group).orderBy(order))
@@ -125,8 +134,9 @@ def group_samples(df: DataFrame, group: str, order: str, first: int = 3) -> Data
 
 
 def cluster_terms(clustered: DataFrame, cluster: str = "cluster", top: int = 10) -> DataFrame:
-    """The ``top`` terms of each cluster by mean weight: ``rank`` and ``term`` (the index in the vocabulary). clustered: with the ``features`` that ``kmeans`` keeps."""
-    values = clustered.select(cluster, F.posexplode(vector_to_array("features")).alias("term", "weight")).where("weight > 0")
+    """The ``top`` terms of each cluster by mean weight: ``rank``, ``term`` and ``weight``; ties in alphabetical order. clustered: what ``kmeans`` returns, whose vocabulary has some thousand terms at most."""
+    names = F.broadcast(clustered.sparkSession.createDataFrame([*enumerate(clustered.vocabulary)], "at int, term string"))
+    values = clustered.select(cluster, F.posexplode(vector_to_array("features")).alias("at", "weight")).where("weight > 0").join(names, "at")
     n = clustered.groupBy(cluster).agg(F.count("*").alias("rows"))
     mean = values.groupBy(cluster, "term").agg(F.sum("weight").alias("w")).join(F.broadcast(n), cluster).select(cluster, "term", (F.col("w") / F.col("rows")).alias("weight"))
     rank = F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("weight"), "term"))

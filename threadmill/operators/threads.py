@@ -71,6 +71,12 @@ def reply_counts(df: DataFrame) -> DataFrame:
     return df.drop("replies_count").join(n, "comment_id", "left").withColumn("replies_count", F.coalesce("replies_count", F.lit(0)))
 
 
+def with_context(df: DataFrame, posts: DataFrame, author: str = "role", order: str = "idx") -> DataFrame:
+    """Positions, and the post's ``post_text`` and ``post_type``, null for unknown posts. posts: post_id, text, media_type."""
+    of = posts.select("post_id", F.col("text").alias("post_text"), F.col("media_type").alias("post_type"))
+    return positions(df, author, order).join(of, "post_id", "left")
+
+
 def positions(df: DataFrame, author: str = "role", order: str = "idx") -> DataFrame:
     """Position in the thread, and the same author's comment before."""
     w = Window.partitionBy("post_id").orderBy(order)

@@ -128,6 +128,15 @@ def request_errors(df: DataFrame, platforms: tuple[str, ...]) -> DataFrame:
     return df.withColumn("errors", _messages((~F.col("platform").isin(*platforms), "platform"), (~bare.rlike(r"^[a-zA-Z0-9._-]+$"), "identifier"), (~F.length("name").between(2, 255), "name"), (~F.col("max_posts").between(1, 1000), "max_posts"), (~F.col("max_comments").between(1, 10000), "max_comments"), (F.col("since") > F.col("until"), "date order")))
 
 
+def list_errors(platforms: Column, known: tuple[str, ...]) -> Column:
+    """Errors of a request's list of platforms: empty, unknown ones, or one named twice."""
+    return F.filter(
+        F.array(
+            F.when(F.coalesce(F.size(platforms), F.lit(0)) < 1, "no platforms"), F.when(F.exists(platforms, lambda x: ~F.coalesce(x.isin(*known), F.lit(False))), "unknown platform"), F.when(F.size(F.array_distinct(platforms)) < F.size(platforms), "platforms not unique")
+        ), lambda x: x.isNotNull()
+    )
+
+
 def uniqueness(df: DataFrame, *keys: str) -> DataFrame:
     """Rows, distinct keys and their share."""
     g = df.groupBy(*keys).agg(F.count("*").alias("n"))

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from threadmill.functions import counts, dates, safety
 from threadmill.functions import text as tx
-from threadmill.operators import documents, export, ingest, metrics, validate
-from threadmill.plans.core import COMMENTS, register
+from threadmill.operators import documents, export, ingest, metrics, similarity, threads, validate
+from threadmill.plans.core import ACTIVITY, COMMENTS, register
 from threadmill.session import shared_path
 from threadmill.sources import adapters as a
 from threadmill.sources import files
+from threadmill.streaming import events
 
 
 def _path(s, name):
@@ -143,3 +144,63 @@ def _(s, d):
 def _(s, d):
     held = files.listing(s, _captured(s, d)).withColumn("client", F.regexp_extract("path", "([^/]+)/[^/]+/[^/]+$", 1))
     return files.latest(held, "path", "client").select("client", F.regexp_extract("path", "([^/]+)$", 1).alias("file"))
+
+
+@register("page_links", """
+    SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'https://www.facebook.com/page' || c_nationkey || '/posts/' || c_custkey WHEN 1 THEN 'https://www.facebook.com/Page' || c_nationkey || '/posts/' || c_custkey END AS url FROM customer WHERE c_custkey % 5 IN (0, 1)""")
+def _(s, d):
+    """Links of a page's own posts, made absolute; those of groups, events and other pages go."""
+    c, key = a.table(s, d, "customer"), F.col("c_custkey").cast("string")
+    page, k = F.concat(F.lit("page"), F.col("c_nationkey").cast("string")), F.col("c_custkey") % 5
+    tail = F.concat(F.lit("/posts/"), key)
+    href = F.when(k == 0, F.concat(F.lit("/"), page, tail)).when(k == 1, F.concat(F.lit("https://www.facebook.com/P"), F.substring(page, 2, 99), tail)).when(k == 2, F.concat(F.lit("/groups/"), page, tail)).when(k == 3, F.concat(F.lit("/other"), tail)).otherwise(F.concat(F.lit("/events/"), page, F.lit("/"), key))
+    return c.where(safety.url_in_scope(href, page)).select("c_custkey", safety.absolute_url(href).alias("url"))
+
+
+_KEYS = {"facebook": "concat_ws(':', role, left(text, 50))", "instagram": r"left(trim(regexp_replace(text, '^@[\\p{L}\\p{N}_.]+', '')), 100)".replace("\\\\", "\\"), "twitter": "text", "google": "concat_ws(':', role, text, (turn % 5)::VARCHAR)"}
+
+
+@register("dedupe_first_platforms", " UNION ALL ".join(f"SELECT '{p}' AS platform, conv_id AS post_id, turn AS idx FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, {key} ORDER BY turn) = 1" for p, key in _KEYS.items()))
+def _(s, d):
+    c = a.table(s, d, "conversations").select(F.col("conv_id").alias("post_id"), F.col("turn").alias("idx"), "text", F.col("role").alias("author"), F.col("role").alias("reviewer_name"), (F.col("turn") % 5).cast("string").alias("rating"))
+    made = [threads.first_of(c, threads.SAME[p]()).select(F.lit(p).alias("platform"), "post_id", "idx") for p in _KEYS]
+    out = made[0]
+    for x in made[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+@register("thread_context", """
+    SELECT conv_id AS post_id, turn AS idx, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS position, md5(lag(c.text) OVER (PARTITION BY conv_id, role ORDER BY turn)) AS previous, md5(d.text) AS post_text, d.source AS post_type
+    FROM conversations c LEFT JOIN documents d ON d.doc_id = conv_id AND doc_id % 3 > 0""")
+def _(s, d):
+    p = a.table(s, d, "documents").where("doc_id % 3 > 0").select(F.col("doc_id").alias("post_id"), "text", F.col("source").alias("media_type"))
+    c = threads.with_context(a.threaded(s, d), p)
+    return c.select("post_id", "idx", "position", F.md5("previous").alias("previous"), F.md5("post_text").alias("post_text"), "post_type")
+
+
+@register("run_routes", "SELECT event_id, CASE event_id % 12 WHEN 0 THEN 'success' WHEN 1 THEN 'info' WHEN 2 THEN 'success' WHEN 3 THEN 'warning' WHEN 4 THEN 'warning' WHEN 5 THEN 'warning' ELSE 'error' END AS level, CASE event_id % 12 WHEN 0 THEN 'Extraction Completed' WHEN 1 THEN 'Login Successful' WHEN 2 THEN 'Data Exported' WHEN 3 THEN 'Rate Limit Warning' WHEN 4 THEN 'Rate Limit Detected' WHEN 5 THEN 'Warning' WHEN 6 THEN 'Extraction Failed' WHEN 7 THEN 'Login Failed' WHEN 8 THEN 'Error Occurred' END AS title FROM events WHERE event_id % 12 < 9")
+def _(s, d):
+    """All nine kinds, and three that nobody announces."""
+    kinds = [*[r[0] for r in events.RUN_ROUTES], "extraction.started", "post.extracted", "progress.update"]
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("event_id") % 12 + 1).cast("int"))
+    return events.route(a.table(s, d, "events").select("event_id", kind.alias("event_type")), events.RUN_ROUTES).select("event_id", "level", "title")
+
+
+@register("group_peaks", f"SELECT platform, k::INTEGER AS rank, day, n FROM (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY n DESC, day) AS k FROM (SELECT platform, published_at::DATE AS day, count(*) AS n FROM {ACTIVITY} GROUP BY ALL)) WHERE k <= 3")
+def _(s, d):
+    return similarity.group_peaks(a.activity(s, d), "platform")
+
+
+@register("session_rates", "SELECT user_id, round(CASE WHEN sum(value) > 0 THEN count(*) FILTER (event_type = 'view') / sum(value) ELSE 0 END * 60, 6) AS posts_per_minute, round(CASE WHEN sum(value) > 0 THEN count(*) FILTER (event_type = 'click') / sum(value) ELSE 0 END * 60, 6) AS comments_per_minute, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS error_rate FROM events GROUP BY 1")
+def _(s, d):
+    one = lambda kind: (F.col("event_type") == kind).cast("int")
+    e = a.table(s, d, "events").select("user_id", one("view").alias("posts"), one("click").alias("comments"), one("error").alias("errors"), F.lit(1).alias("requests"), F.col("value").alias("seconds"))
+    return metrics.session_rates(e, "user_id").select("user_id", *[F.round(c, 6).alias(c) for c in ("posts_per_minute", "comments_per_minute", "error_rate")])
+
+
+@register("platform_list_errors", "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN [] WHEN 1 THEN ['platforms not unique'] WHEN 2 THEN ['unknown platform'] WHEN 3 THEN ['no platforms'] ELSE ['unknown platform', 'platforms not unique'] END AS errors FROM customer")
+def _(s, d):
+    c, k = a.table(s, d, "customer"), F.col("c_custkey") % 5
+    asked = F.when(k == 0, F.array(F.lit("facebook"), F.lit("google"))).when(k == 1, F.array(F.lit("google"), F.lit("google"))).when(k == 2, F.array(F.col("c_mktsegment"))).when(k == 3, F.array().cast("array<string>")).otherwise(F.array(F.lit("x"), F.lit("x")))
+    return c.select("c_custkey", validate.list_errors(asked, ("facebook", "instagram", "twitter", "linkedin", "google")).alias("errors"))

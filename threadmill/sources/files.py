@@ -20,9 +20,9 @@ def known_ids(spark: SparkSession, path: str, key: str = "posts") -> DataFrame:
 
 
 def companies(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each company and account of a configuration; of companies with one id the last counts."""
-    raw = spark.read.option("multiLine", True).json(path).select(F.posexplode("companies").alias("at", "c"))
-    last = F.row_number().over(Window.partitionBy("c.id").orderBy(F.desc("at")))
+    """One row for each company and account of a configuration; of companies with one id the last counts, in the order of files' paths and of places in a file."""
+    raw = spark.read.option("multiLine", True).json(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode("companies").alias("at", "c"))
+    last = F.row_number().over(Window.partitionBy("c.id").orderBy(F.desc("file"), F.desc("at")))
     kept = raw.withColumn("k", last).where("k = 1").select("c.*")
     return kept.select(F.col("id").alias("company_id"), F.col("name"), "industry", "country", F.explode("accounts").alias("a")).select("company_id", "name", "industry", "country", "a.*")
 

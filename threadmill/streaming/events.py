@@ -19,6 +19,18 @@ ROUTES = [
     ("signup", "info", "New signup"),
     ("error", "error", "Error reported"),
 ]
+#: The nine kinds of events that a run announces, their level and title.
+RUN_ROUTES = [
+    ("extraction.completed", "success", "Extraction Completed"),
+    ("auth.login_success", "info", "Login Successful"),
+    ("storage.exported", "success", "Data Exported"),
+    ("rate_limit.warning", "warning", "Rate Limit Warning"),
+    ("rate_limit.detected", "warning", "Rate Limit Detected"),
+    ("warning.occurred", "warning", "Warning"),
+    ("extraction.failed", "error", "Extraction Failed"),
+    ("auth.login_failed", "error", "Login Failed"),
+    ("error.occurred", "error", "Error Occurred"),
+]
 
 
 def read(spark: SparkSession, path: str, schema: object, max_files: int = 8) -> DataFrame:
