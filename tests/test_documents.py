@@ -107,3 +107,21 @@ def test_account_and_company_files(spark, tmp_path):
     documents.company_files(rows, ("company", "platform", "account_id"), "comments", f"{tmp_path}/c", F.lit("2024-02-01 03:04:05").cast("timestamp"), ["id"])
     got = json.loads((tmp_path / "c/co/facebook/acc1_comments_20240201_030405.json").read_text())
     assert got["metadata"] == {"company_id": "co", "platform": "facebook", "account": "acc1", "extracted_at": "2024-02-01T03:04:05", "total_comments": 3} and len(got["comments"]) == 3
+
+
+@pytest.mark.parametrize("fmt", ["csv", "jsonl", "parquet"])
+def test_one_write_into_many_folders(spark, tmp_path, fmt):
+    df = frame(spark).withColumn("client", F.when(F.col("id") != "d", "c one"))
+    export.write_by(df, fmt, f"{tmp_path}/o", ["client", "platform"], export.Options(include=("id", "text"), rename={"text": "said"}), tasks_each=2)
+    folders = sorted(str(p.relative_to(tmp_path / "o")) for p in (tmp_path / "o").glob("*/*"))
+    assert folders == ["client=__HIVE_DEFAULT_PARTITION__/platform=x", "client=c one/platform=x", "client=c one/platform=y"]
+    rows = []
+    for p in (tmp_path / "o").glob("*/*/part-*"):
+        if fmt == "csv":
+            with open(p, encoding="utf-8", newline="") as f:
+                rows += [(r["id"], r["said"] or None) for r in csv.DictReader(f)]
+        elif fmt == "jsonl":
+            rows += [(r["id"], r["said"] or None) for r in map(json.loads, p.read_text(encoding="utf-8").splitlines())]
+        else:
+            rows += [(r.id, r.said or None) for r in spark.read.parquet(str(p)).collect()]
+    assert sorted(rows) == sorted((r[0], r[2] or None) for r in ROWS)

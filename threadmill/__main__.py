@@ -41,11 +41,8 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "duplicates":
         query.duplicate_groups(rows, "client").orderBy(F.desc("n"), "text").show(50)
     elif args.command == "batch":
-        # one folder for each client and platform that has rows
-        pairs = rows.select("client", "platform").distinct().orderBy("client", "platform").toLocalIterator()
-        for client, platform in [(r.client, r.platform) for r in pairs]:
-            own = rows.where(F.col("client").eqNullSafe(client) & F.col("platform").eqNullSafe(platform))
-            print(export.write(own, args.format, args.to, str(client), str(platform), options=export.preset(args.preset) if args.preset else None))
+        export.write_by(rows, args.format, args.to, ["client", "platform"], export.preset(args.preset) if args.preset else None)
+        print(args.to)
     else:
         print(export.write(rows, args.format, args.to, options=export.preset(args.preset) if args.preset else None))
 

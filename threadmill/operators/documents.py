@@ -7,6 +7,7 @@ whose commit streams them into one file and moves that to its place. What a fail
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -102,9 +103,17 @@ class _Writer(DataSourceWriter):
         store.delete_dir(staging)
 
     def abort(self, messages: list[_Written | None]) -> None:
+        """Tasks that still run when a write is aborted may write for a moment more: their folder goes until it stays away."""
         store, staging = self._open(self.staging)
-        if store.get_file_info(staging).type != fs.FileType.NotFound:
-            store.delete_dir(staging)
+        away = 0
+        for _ in range(40):
+            if store.get_file_info(staging).type != fs.FileType.NotFound:
+                store.delete_dir(staging)
+                away = 0
+            away += 1
+            if away > 4:
+                break
+            time.sleep(0.25)
 
     @staticmethod
     def _copied(store: fs.FileSystem, at: str, out: Any) -> None:

@@ -95,14 +95,18 @@ def _without_empty(df: DataFrame) -> list[Column]:
     return [one(f) for f in df.schema.fields]
 
 
-def json_lines(df: DataFrame, o: Options, kind: str | None = None) -> DataFrame:
-    """One object per row as ``value``; a type tag comes first. Without empty fields, nulls, empty strings and arrays are left out."""
-    d = project(df, o)
+def _json_value(d: DataFrame, o: Options, kind: str | None) -> Column:
     cols = _without_empty(d) if not o.keep_empty else [F.col(c) for c in d.columns]
     if o.sort_keys:
         cols = [c for _, c in sorted(zip(d.columns, cols), key=lambda x: x[0])]
     tag = [F.lit(kind).alias("type")] if kind else []
-    return d.select(F.to_json(F.struct(*tag, *cols), {"ignoreNullFields": str(not o.keep_empty).lower()}).alias("value"))
+    return F.to_json(F.struct(*tag, *cols), {"ignoreNullFields": str(not o.keep_empty).lower()}).alias("value")
+
+
+def json_lines(df: DataFrame, o: Options, kind: str | None = None) -> DataFrame:
+    """One object per row as ``value``; a type tag comes first. Without empty fields, nulls, empty strings and arrays are left out."""
+    d = project(df, o)
+    return d.select(_json_value(d, o, kind))
 
 
 #: Version of the documents' layout.
@@ -158,9 +162,7 @@ def metadata_line(df: DataFrame, client: str, exported_at: Column, key: str = "c
     return n.select(F.to_json(F.struct(F.lit("metadata").alias("type"), F.lit(client).alias("client"), exported_at.alias("exported_at"), F.lit("jsonl").alias("format"), F.lit(VERSION).alias("version"), f"total_{key}")).alias("value"))
 
 
-def csv_lines(df: DataFrame, o: Options) -> DataFrame:
-    """One line per row as ``value``. quoting: 0 where a field needs it, 1 all fields, 2 all but numbers, 3 none (a field that needs it raises). Nulls are empty fields; nested ones are JSON."""
-    d = _flat(project(df, o))
+def _csv_value(d: DataFrame, o: Options) -> Column:
     special = "|".join([re.escape(o.delimiter), '"', "\r", "\n"])
 
     def one(f: T.StructField) -> Column:
@@ -173,7 +175,19 @@ def csv_lines(df: DataFrame, o: Options) -> DataFrame:
             return F.when(needs, F.raise_error(F.lit(f"{f.name} needs quoting"))).otherwise(text)
         return F.when(needs, quoted).otherwise(text)
 
-    return d.select(F.concat_ws(o.delimiter, *[one(f) for f in d.schema.fields]).alias("value"))
+    return F.concat_ws(o.delimiter, *[one(f) for f in d.schema.fields]).alias("value")
+
+
+def csv_lines(df: DataFrame, o: Options) -> DataFrame:
+    """One line per row as ``value``. quoting: 0 where a field needs it, 1 all fields, 2 all but numbers, 3 none (a field that needs it raises). Nulls are empty fields; nested ones are JSON."""
+    d = _flat(project(df, o))
+    return d.select(_csv_value(d, o))
+
+
+def _csv_head(names: list[str], o: Options) -> str:
+    made = io.StringIO()
+    csv.writer(made, delimiter=o.delimiter, quoting=o.quoting, lineterminator="").writerow(names)
+    return made.getvalue()
 
 
 def path_parts(client: Column, platform: Column, at: Column) -> Column:
@@ -225,9 +239,7 @@ def _flat(df: DataFrame) -> DataFrame:
 def _write_csv(df: DataFrame, path: str, o: Options) -> None:
     """Lines, and before those of each file the header."""
     o = replace(o, quoting=1) if o.quote_all else o
-    made = io.StringIO()
-    csv.writer(made, delimiter=o.delimiter, quoting=o.quoting, lineterminator="").writerow(project(df, o).columns)
-    head = made.getvalue()
+    head = _csv_head(project(df, o).columns, o)
 
     def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = [head]
@@ -275,5 +287,42 @@ def write(df: DataFrame, fmt: str, base: str, *parts: str, options: Options | No
     return path
 
 
+def write_by(df: DataFrame, fmt: str, base: str, keys: list[str], options: Options | None = None, tasks_each: int = 8) -> None:
+    """One write of all rows as JSON lines, CSV or Parquet, into a folder for each value of the keys. The rows of a value are dealt to some ``tasks_each`` tasks, so that a frequent one is several files; each CSV file begins with its header."""
+    o, own = options or Options(), [f"__{k}" for k in keys]
+    o = replace(o, quoting=1) if o.quote_all else o
+    p = project(df.withColumns({f"__{k}": F.col(k).cast("string") for k in keys}), replace(o, include=(*o.include, *own) if o.include else ()))
+    p = _flat(p) if fmt.lower() == "csv" else p
+    body = p.select(*[c for c in p.columns if c not in own])
+    if fmt.lower() not in ("csv", "jsonl", "parquet"):
+        raise ValueError(f"one write to many folders takes csv, jsonl or parquet, not {fmt!r}")
+    if fmt.lower() == "parquet":
+        rows = p.select(*[c for c in body.columns if c not in keys], *own)
+    else:
+        rows = p.select(_csv_value(body, o) if fmt.lower() == "csv" else _json_value(body, replace(o, sort_keys=False), o.key.removesuffix("s") if o.type_field else None), *own)
+    rows = rows.repartition(*own, F.pmod(F.xxhash64(*[c for c in rows.columns if c not in own]), F.lit(tasks_each))).sortWithinPartitions(*own)
+    if fmt.lower() == "csv" and o.header:
+        head = _csv_head(body.columns, o)
+
+        def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last: tuple | None = None
+            for batch in batches:
+                columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+                out: list[tuple] = []
+                for row in zip(*columns):
+                    if row[1:] != last:
+                        last = row[1:]
+                        out.append((head, *last))
+                    out.append(row)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*out)], batch.schema.names)
+
+        rows = rows.mapInArrow(headed, rows.schema)
+    for k, name in zip(keys, own):
+        rows = rows.withColumnRenamed(name, k)
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*keys)
+    writer.parquet(base) if fmt.lower() == "parquet" else writer.option("lineSep", o.line_end).text(base)
+
+
 def register(fmt: str, writer: Callable[[DataFrame, str, Options], None]) -> None:
     WRITERS[fmt.lower()] = writer

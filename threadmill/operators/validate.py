@@ -143,10 +143,6 @@ def uniqueness(df: DataFrame, *keys: str) -> DataFrame:
     return g.agg(F.sum("n").alias("total"), F.count("*").alias("distinct_keys"), (F.count("*") / F.sum("n")).alias("uniqueness"))
 
 
-def fallback(df: DataFrame, tier: str, *keys: str) -> DataFrame:
-    return df.withColumn("__t", F.min(tier).over(Window.partitionBy(*keys))).where(F.col(tier) == F.col("__t")).drop("__t")
-
-
 def results(posts_: DataFrame, comments_: DataFrame, now: Column, strict: bool = False) -> DataFrame:
     """Each result's verdict: its post's messages, its comments' messages and comments of other posts, as ``errors``, ``warnings`` and ``is_valid``. Both have ``result_id``; comments have ``seq``, by which their messages are ordered."""
     p = posts(posts_, now, strict).select("result_id", F.col("platform_id").alias("of"), F.col("errors").alias("own_errors"), F.col("warnings").alias("own_warnings"))
