@@ -35,7 +35,7 @@ from threadmill.llm.common import byte_slices, discard, holds, materialise, scra
 ORDER, END = 5, b"\xff"
 #: A block ends at so many bytes of text, distinct runs or distinct words.
 BLOCK_BYTES, BLOCK_RUNS, BLOCK_WORDS = 32 << 20, 3 << 20, 1 << 19
-_PIECE = 4 << 20
+_PIECE = 1 << 20
 #: Dictionary entries that a task packs at once.
 _PACK = 1 << 20
 _SPACES = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
