@@ -36,10 +36,13 @@ def _marks(sets: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [np.sort(x.values.to_numpy()) for x in batch.column(1)]
-            keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in held]
-            made = pa.array([band_keys(x.view(np.uint64), bands, rows).tolist() for x in held], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), made], ["id", "k", "bands"])
+            keys, made = [], []
+            for x in batch.column(1):
+                held = np.sort(x.values.to_numpy())
+                keys.append(hashlib.blake2b(held.data, digest_size=16).digest())
+                made.append(band_keys(held.view(np.uint64), bands, rows))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * bands), pa.array(np.concatenate([np.zeros(0, np.int64), *made])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), lists], ["id", "k", "bands"])
 
     return sets.select("id", "s").mapInArrow(run, "id bigint, k binary, bands array<bigint>")
 
