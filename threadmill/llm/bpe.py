@@ -228,11 +228,12 @@ def _texts(piece: pa.RecordBatch) -> list[str]:
     return [x or "" for x in piece.column(1).to_pylist()]
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns: the id, ``n_tokens`` and ``ids`` (binary, little-endian u32). ``path``: a vocabulary file that every executor has. One pass, no shuffle."""
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", memo: int = ByteBpe.memo) -> DataFrame:
+    """Columns: the id, ``n_tokens`` and ``ids`` (binary, little-endian u32). ``path``: a vocabulary file that every executor has; ``memo``: bytes of words that a worker remembers. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path)
+        bpe.memo = memo
         for piece in (p for batch in batches for p in byte_slices(batch, 1)):
             ids = [*bpe.encode_all(_texts(piece))]
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
