@@ -139,11 +139,12 @@ def progression(df: DataFrame) -> DataFrame:
 
 
 def journey(df: DataFrame) -> DataFrame:
-    """Per author: first and last contact, and the trend between the halves of the positive scores, with 3 of these at least. df: author_id, published_at, seq, score. An author's comments are one array."""
-    g = df.groupBy("author_id").agg(F.array_sort(F.collect_list(F.struct("published_at", "seq", "score"))).alias("a"))
-    scores = F.filter(F.transform("a", lambda x: x.score), lambda s: s > 0)
-    half = F.floor(F.size("s") / 2).cast("int")
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x) / F.size(a)
-    d = g.select("author_id", F.element_at("a", 1).published_at.alias("first_contact"), F.element_at("a", -1).published_at.alias("last_contact"), F.size("a").alias("n"), scores.alias("s"))
-    change = mean(F.slice("s", half + 1, F.size("s"))) - mean(F.slice("s", F.lit(1), half))
-    return d.select("author_id", "first_contact", "last_contact", "n", F.when(F.size("s") >= 3, F.when(change > 0.1, "improving").when(change < -0.1, "declining").otherwise("stable")).alias("trend"))
+    """Per author: first and last contact, and the trend between the halves of the positive scores, with 3 of these at least. df: author_id, published_at, seq, score."""
+    own = Window.partitionBy("author_id")
+    positive = F.when(F.col("score") > 0, 1)
+    placed = df.withColumn("__k", F.count(positive).over(own.orderBy("published_at", "seq"))).withColumn("__m", F.count(positive).over(own))
+    early = F.col("__k") <= F.floor(F.col("__m") / 2)
+    mean = lambda c: F.avg(F.when(c & (F.col("score") > 0), F.col("score")))
+    g = placed.groupBy("author_id").agg(F.min("published_at").alias("first_contact"), F.max("published_at").alias("last_contact"), F.count("*").cast("int").alias("n"), F.max("__m").alias("__m"), (mean(~early) - mean(early)).alias("__c"))
+    trend = F.when(F.col("__m") >= 3, F.when(F.col("__c") > 0.1, "improving").when(F.col("__c") < -0.1, "declining").otherwise("stable"))
+    return g.select("author_id", "first_contact", "last_contact", "n", trend.alias("trend"))

@@ -49,15 +49,13 @@ def anomalies(df: DataFrame) -> DataFrame:
 
 
 def sliding(df: DataFrame, key: str, ts: str = "published_at", seconds: int = 60) -> DataFrame:
-    """Events of the same key in the last ``seconds``, each event's own included. Windows are over a key and a span of time, and each span also counts the seconds before it, so that a busy key is dealt to many tasks."""
-    at = F.unix_timestamp(ts)
+    """Events of the same key in the last ``seconds``, each event's own included. Windows are over a key and a span of time, and the rows of the seconds before a span are counted in it too, so that a busy key is dealt to many tasks. Rows without a time go."""
     span = max(seconds * 10, 600)
-    per = df.groupBy(F.col(key).alias("__key"), at.alias("__at")).agg(F.count("*").alias("__n"))
+    rows = df.withColumn("__at", F.unix_timestamp(ts))
     both = F.array_distinct(F.array(F.floor(F.col("__at") / span), F.floor((F.col("__at") + seconds - 1) / span)))
-    spread = per.withColumn("__span", F.explode(both))
-    w = Window.partitionBy("__key", "__span").orderBy("__at").rangeBetween(1 - seconds, 0)
-    counted = spread.withColumn("in_window", F.sum("__n").over(w)).where(F.floor(F.col("__at") / span) == F.col("__span")).select("__key", "__at", "in_window")
-    return df.join(counted, (F.col(key) == F.col("__key")) & (at == F.col("__at"))).drop("__key", "__at")
+    w = Window.partitionBy(key, "__span").orderBy("__at").rangeBetween(1 - seconds, 0)
+    counted = rows.withColumn("__span", F.explode(both)).withColumn("in_window", F.count("*").over(w))
+    return counted.where(F.floor(F.col("__at") / span) == F.col("__span")).drop("__at", "__span")
 
 
 def adaptive_delay(df: DataFrame, key: str, order: str, outcome: str, base: int = 2000, least: int = 500, most: int = 30000, up: float = 1.5, down: float = 0.9, successes: int = 10) -> DataFrame:
