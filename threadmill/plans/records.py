@@ -29,7 +29,7 @@ def _(s, d):
     return validate.health(u).select("user_id", "alerts")
 
 
-@register("masked_logs", """SELECT c_custkey, 'login of ' || c_custkey || ' password=' || left(c_name, 3) || '***, Token: "' || left(c_mktsegment, 3) || '***" api_key=*** done' AS line FROM customer""".replace("api_key=***", "api_key=' || '***' || '"))
+@register("masked_logs", """SELECT c_custkey, 'login of ' || c_custkey || ' password=' || left(c_name, 3) || '***, Token: "' || left(c_mktsegment, 3) || '***" api_key=*** done' AS line FROM customer""")
 def _(s, d):
     line = F.concat(F.lit("login of "), F.col("c_custkey").cast("string"), F.lit(" password="), F.col("c_name"), F.lit(', Token: "'), F.col("c_mktsegment"), F.lit('" api_key=ab done'))
     return a.table(s, d, "customer").select("c_custkey", safety.mask_log(line).alias("line"))
@@ -54,7 +54,7 @@ def _(s, d):
     return i.select("l_orderkey", "l_linenumber", counts.rating(said).alias("rating"), counts.price_level(said).alias("level"))
 
 
-@register("comments_cleaned", "SELECT doc_id, md5(regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS digest FROM documents".replace("\\\\", "\\"))
+@register("comments_cleaned", r"SELECT doc_id, md5(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS digest FROM documents")
 def _(s, d):
     return a.table(s, d, "documents").select("doc_id", F.md5(tx.clean_comment(F.concat(F.lit("\u2003 "), F.chr(F.lit(0)), F.col("text"), F.lit("\t\n")))).alias("digest"))
 
@@ -157,7 +157,7 @@ def _(s, d):
     return c.where(safety.url_in_scope(href, page)).select("c_custkey", safety.absolute_url(href).alias("url"))
 
 
-_KEYS = {"facebook": "concat_ws(':', role, left(text, 50))", "instagram": r"left(trim(regexp_replace(text, '^@[\\p{L}\\p{N}_.]+', '')), 100)".replace("\\\\", "\\"), "twitter": "text", "google": "concat_ws(':', role, text, (turn % 5)::VARCHAR)"}
+_KEYS = {"facebook": "concat_ws(':', role, left(text, 50))", "instagram": r"left(trim(regexp_replace(text, '^@[\p{L}\p{N}_.]+', '')), 100)", "twitter": "text", "google": "concat_ws(':', role, text, (turn % 5)::VARCHAR)"}
 
 
 @register("dedupe_first_platforms", " UNION ALL ".join(f"SELECT '{p}' AS platform, conv_id AS post_id, turn AS idx FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, {key} ORDER BY turn) = 1" for p, key in _KEYS.items()))

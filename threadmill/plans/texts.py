@@ -42,7 +42,7 @@ def _sql_stems(words: str) -> str:
         stemmed AS (SELECT word, {plain(f"CASE WHEN e = '' OR length(s) < rv THEN c WHEN {one_of('e', stems.RESIDUAL_E)} AND suffix(s, 'gu') AND length(s) - 1 >= rv THEN left(s, length(s) - 1) ELSE s END")} AS stem FROM s8)"""
 
 
-_WORDS = r"w AS (SELECT doc_id AS seq, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM documents), v AS (SELECT DISTINCT word FROM w),".replace("\\\\", "\\")
+_WORDS = r"w AS (SELECT doc_id AS seq, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM documents), v AS (SELECT DISTINCT word FROM w),"
 
 
 def _comments(s, d):
