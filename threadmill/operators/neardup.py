@@ -7,7 +7,7 @@ gives as many candidates as it has members. A set meets those it is like in seve
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,29 +31,37 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _marks(sets: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``id``, ``k`` (128 bits that equal sets share) and ``bands`` of every set."""
+#: Of every set its id, 128 bits that equal sets share, and its bands.
+MARKS = "id bigint, k binary, bands array<bigint>"
+
+
+def mark(ids: pa.Array, sets: Iterable[np.ndarray], bands: int, rows: int) -> pa.RecordBatch:
+    """``MARKS`` of sets of 64-bit hashes."""
+    keys, made = [], [np.zeros(0, np.int64)]
+    for values in sets:
+        held = np.sort(values.view(np.int64))
+        keys.append(hashlib.blake2b(held.data, digest_size=16).digest())
+        made.append(band_keys(held.view(np.uint64), bands, rows))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(np.concatenate(made)))
+    return pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), lists], ["id", "k", "bands"])
+
+
+def groups(sets: DataFrame, threshold: float, bands: int = 14, rows: int = 6) -> DataFrame:
+    """``id`` and ``group``, the smallest id of those that the row is linked with, itself included, for every row of ``sets``: ``id`` (long) and ``s``, an array of distinct 64-bit hashes that is not empty. ``sets`` is computed twice and never stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, made = [], []
-            for x in batch.column(1):
-                held = np.sort(x.values.to_numpy())
-                keys.append(hashlib.blake2b(held.data, digest_size=16).digest())
-                made.append(band_keys(held.view(np.uint64), bands, rows))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * bands), pa.array(np.concatenate([np.zeros(0, np.int64), *made])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), lists], ["id", "k", "bands"])
+            yield mark(batch.column(0), (x.values.to_numpy() for x in batch.column(1)), bands, rows)
 
-    return sets.select("id", "s").mapInArrow(run, "id bigint, k binary, bands array<bigint>")
+    return linked(sets.select("id", "s").mapInArrow(run, MARKS), lambda ids: sets.select("id", "s").join(ids, "id", "left_semi"), threshold)
 
 
-def groups(sets: DataFrame, threshold: float, bands: int = 14, rows: int = 6) -> DataFrame:
-    """``id`` and ``group``, the smallest id of those that the row is linked with, itself included, for every row of ``sets``: ``id`` (long) and ``s``, an array of distinct 64-bit hashes that is not empty. Rows that share an id share its group.
+def linked(marks: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """The same from ``MARKS``, some hundred bytes a row, and a function that gives the sets of those ids alone that are candidates. Rows that share an id share its group.
 
-    Every link that is made has at least the threshold's similarity. Of pairs with a similarity of 0.8, 98.6 % share one of 14 bands of 6 hashes. ``sets`` is computed twice and never stored: once for marks of some hundred bytes a row, and once
-    for the rows that are candidates.
+    Every link that is made has at least the threshold's similarity. Of pairs with a similarity of 0.8, 98.6 % share one of 14 bands of 6 hashes.
     """
-    marks = written(_marks(sets, bands, rows), "marks")
+    marks = written(marks, "marks")
     first = written(marks.groupBy("k").agg(F.min("id").alias("first")), "first")
     owner = written(marks.select("id", "k").join(first, "k").select("id", "first"), "owner")
     own = marks.join(first, (marks.k == first.k) & (marks.id == first["first"])).select("id", F.explode("bands").alias("band")).distinct()
@@ -61,7 +69,7 @@ def groups(sets: DataFrame, threshold: float, bands: int = 14, rows: int = 6) ->
     met = written(own.join(least, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "met")
     forget(marks, first)
     asked = met.select(F.col("a").alias("id")).union(met.select("b")).distinct()
-    candidates = written(sets.select("id", "s").join(asked, "id", "left_semi"), "candidates")
+    candidates = written(sets_of(asked), "candidates")
     left, right = candidates.select(F.col("id").alias("a"), F.col("s").alias("x")), candidates.select(F.col("id").alias("b"), F.col("s").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     close = met.join(left, "a").join(right, "b").where(F.least(F.size("x"), F.size("y")) >= F.greatest(F.size("x"), F.size("y")) * threshold).where(common >= threshold * (F.size("x") + F.size("y") - common))
