@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from threadmill.functions.numbers import rounded
 from threadmill.functions.text import cosine, jaccard, words
-from threadmill.operators import neardup, vectors
+from threadmill.operators import neardup, setjoin, vectors
 
 
 def exact(df: DataFrame, id_col: str = "seq") -> DataFrame:
@@ -22,17 +22,8 @@ def exact(df: DataFrame, id_col: str = "seq") -> DataFrame:
 
 
 def jaccard_pairs(df: DataFrame, threshold: float, id_col: str = "seq") -> DataFrame:
-    """Pairs of distinct word sets of at least this similarity, by a prefix filter: the rarest words of both sets must meet. Rows with equal sets count once, under the smallest id."""
-    sets = df.select(F.col(id_col).alias("id"), F.array_sort(words(F.col("text"))).alias("w")).where(F.size("w") > 0).groupBy("w").agg(F.min("id").alias("id"))
-    freq = sets.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("f"))
-    tokens = sets.select("id", F.explode("w").alias("word")).join(freq, "word")
-    ordered = tokens.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("o"))
-    size = F.size("o")
-    prefix = ordered.select("id", size.alias("n"), F.explode(F.slice("o", F.lit(1), (size - F.ceil(size * threshold) + 1).cast("int"))).alias("p")).select("id", "n", F.col("p.word").alias("word"))
-    a, b = prefix.select("word", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("word", F.col("id").alias("b"), F.col("n").alias("nb"))
-    found = a.join(b, (a.word == b.word) & (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)).select("a", "b").distinct()
-    left, right = sets.select(F.col("id").alias("a"), F.col("w").alias("wa")), sets.select(F.col("id").alias("b"), F.col("w").alias("wb"))
-    return found.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    """Pairs of distinct word sets of at least this similarity, all of them, by ``setjoin``. Rows with equal sets count once, under the smallest id."""
+    return setjoin.pairs(df.select(F.col(id_col).alias("id"), F.array_sort(words(F.col("text"))).alias("w")).where(F.size("w") > 0), threshold)
 
 
 def word_set_members(df: DataFrame, id_col: str = "seq") -> DataFrame:
