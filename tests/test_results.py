@@ -100,3 +100,28 @@ def test_minhash_finds_what_exact_jaccard_finds(spark):
     member = {r.seq: r.set_id for r in similarity.word_set_members(df).collect()}
     assert all((k in exact) or member[k[0]] == member[k[1]] for k in got)
     assert sum(v == 1.0 for v in got.values()) >= sum(k != v for k, v in member.items())
+
+
+def test_scores_are_rounded_once(spark, tmp_path):
+    """69.0476 is 69.0, which 69.05 on the way would have made 69.1; the score of influence has the same step."""
+    import duckdb
+
+    from threadmill.plans import catalogue
+
+    made = {t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(1) for t in ("orders", "lineitem", "events")}
+    lines = spark.createDataFrame([(k % 16 + 1,) for k in range(21)], "line int")
+    made["orders"] = made["orders"].withColumns({"o_orderkey": F.lit(1).cast("long"), "o_custkey": F.lit(0).cast("long"), "o_orderstatus": F.lit("O")})
+    made["lineitem"] = made["lineitem"].crossJoin(lines).withColumns({"l_orderkey": F.lit(1).cast("long"), "l_suppkey": F.lit(1).cast("long"), "l_linenumber": F.col("line")}).drop("line")
+    values = spark.createDataFrame([(2.0,)] * 10 + [(2.167,)], "x double")
+    made["events"] = made["events"].crossJoin(values).withColumns({"user_id": F.lit(1).cast("long"), "value": F.col("x").cast(made["events"].schema["value"].dataType)}).drop("x")
+    c = duckdb.connect()
+    c.execute("SET TimeZone='UTC'")
+    for t, df in made.items():
+        at = f"{tmp_path}/{t}.parquet"
+        df.coalesce(1).write.parquet(at)
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/*.parquet'")
+    for name in ("quality_score", "influence_score"):
+        got = [r.score for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()]
+        column = [x[0] for x in c.execute(catalogue.SQL[name]).description].index("score")
+        assert got == [r[column] for r in c.execute(catalogue.SQL[name]).fetchall()], name
+    assert catalogue.QUERIES["quality_score"](spark, str(tmp_path)).first().score == 69.0

@@ -34,12 +34,11 @@ def class_shares(df: DataFrame, column: str) -> DataFrame:
     return g.withColumn("percent", rounded(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))
 
 
-def influence(verified: Column, avg_likes: Column, n: Column, reply_ratio: Column, days_since: Column) -> Column:
-    """0 to 100: verified 20, likes up to 30, comments up to 20, replies up to 15, recency 15 or 7.5."""
+def influence(verified: Column, avg_likes: Column, n: Column, reply_ratio: Column, days_since: Column, digits: int | None = 2) -> Column:
+    """0 to 100: verified 20, likes up to 30, comments up to 20, replies up to 15, recency 15 or 7.5. digits: None leaves the score as it is, for callers that round it themselves."""
     days = F.coalesce(days_since, F.lit(365))
-    return rounded(
-        F.when(F.coalesce(verified, F.lit(False)), 20.0).otherwise(0.0) + F.least(avg_likes / 10 * 30, F.lit(30.0)) + F.least(n / 20 * 20, F.lit(20.0)) + F.least(reply_ratio * 15, F.lit(15.0)) + F.when(days <= 30, 15.0).when(days <= 90, 7.5).otherwise(0.0), 2
-    )
+    score = F.when(F.coalesce(verified, F.lit(False)), 20.0).otherwise(0.0) + F.least(avg_likes / 10 * 30, F.lit(30.0)) + F.least(n / 20 * 20, F.lit(20.0)) + F.least(reply_ratio * 15, F.lit(15.0)) + F.when(days <= 30, 15.0).when(days <= 90, 7.5).otherwise(0.0)
+    return score if digits is None else rounded(score, digits)
 
 
 def issue_counts(df: DataFrame, *keys: str) -> DataFrame:

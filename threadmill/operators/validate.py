@@ -204,8 +204,7 @@ def repeated_ids(comments_: DataFrame, *keys: str) -> DataFrame:
     return g.groupBy(*keys).agg(F.sum("n").alias("total_comments"), F.count("*").alias("unique_comments"), (F.sum("n") - F.count("*")).alias("duplicates"), ((F.sum("n") - F.count("*")) / F.sum("n")).alias("duplicate_rate"))
 
 
-def combined_score(complete: Column, author_rate: Column, consistent: Column, issues: Column, fresh: Column, duplicate_rate: Column) -> Column:
-    """25 points for each check that passed; else a share of authors, two less for each issue, none, and the share without repeats."""
-    return rounded(
-        F.when(complete, 25.0).otherwise(author_rate * 25) + F.when(consistent, 25.0).otherwise(F.greatest(F.lit(0.0), 25.0 - issues * 2)) + F.when(fresh, 25.0).otherwise(0.0) + F.when(duplicate_rate == 0, 25.0).otherwise(25 * (1 - duplicate_rate)), 2
-    )
+def combined_score(complete: Column, author_rate: Column, consistent: Column, issues: Column, fresh: Column, duplicate_rate: Column, digits: int | None = 2) -> Column:
+    """25 points for each check that passed; else a share of authors, two less for each issue, none, and the share without repeats. digits: None leaves the score as it is, for callers that round it themselves."""
+    score = F.when(complete, 25.0).otherwise(author_rate * 25) + F.when(consistent, 25.0).otherwise(F.greatest(F.lit(0.0), 25.0 - issues * 2)) + F.when(fresh, 25.0).otherwise(0.0) + F.when(duplicate_rate == 0, 25.0).otherwise(25 * (1 - duplicate_rate))
+    return score if digits is None else rounded(score, digits)

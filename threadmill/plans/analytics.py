@@ -52,7 +52,7 @@ def _(s, d):
 def _(s, d):
     p = commenters.profiles(a.activity(s, d))
     days = F.datediff(F.lit("2024-02-01").cast("date"), F.col("last_seen"))
-    return p.select("author_id", F.round(commenters.influence(F.col("author_id") % 7 == 0, F.col("avg_likes"), F.col("total_comments"), F.lit(0.5), days), 1).alias("score"))
+    return p.select("author_id", F.round(commenters.influence(F.col("author_id") % 7 == 0, F.col("avg_likes"), F.col("total_comments"), F.lit(0.5), days, None), 1).alias("score"))
 
 
 _named = " , ".join(f"count(*) FILTER ({' OR '.join(f'contains(lower(text), $${w}$$)' for w in words)}) AS {i}" for i, words in commenters.ISSUES.items())

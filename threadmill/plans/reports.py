@@ -320,7 +320,7 @@ def _(s, d):
     j = validate.completeness(p, c, "platform").withColumnRenamed("passed", "complete").join(validate.consistency(p, c, "platform").withColumnRenamed("passed", "consistent"), "platform")
     j = j.join(validate.freshness(p, _now(), "platform").withColumnRenamed("passed", "fresh"), "platform").join(validate.repeated_ids(c, "platform"), "platform")
     col = F.col
-    return j.select("platform", F.round(validate.combined_score(col("complete"), col("comment_author_rate"), col("consistent"), col("issues"), col("fresh"), col("duplicate_rate")), 1).alias("score"))
+    return j.select("platform", F.round(validate.combined_score(col("complete"), col("comment_author_rate"), col("consistent"), col("issues"), col("fresh"), col("duplicate_rate"), None), 1).alias("score"))
 
 
 @register("export_json_document", """
