@@ -62,3 +62,16 @@ def test_band_keys_follow_the_set():
 def test_rows_that_share_an_id(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "e f g h"), (2, "a b c d"), (3, "e f g h")], "seq long, text string")
     assert {(x.seq, x.group) for x in similarity.minhash_groups(df).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_band_keys_are_the_minima_of_each_function(monkeypatch):
+    """Functions are applied many at once; in pieces of any size the keys stay what one function after the other gives."""
+    x = np.random.default_rng(2).integers(0, 1 << 63, 70, np.uint64) * np.uint64(2)
+    low = np.array([(((x ^ (x >> np.uint64(29))) * f + s) >> np.uint64(3)).min() for f, s in zip(neardup._FACTORS[:21], neardup._SHIFTS)], np.uint64).reshape(7, 3)
+    key = np.arange(7, dtype=np.uint64)
+    for r in range(3):
+        key = (key ^ low[:, r]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(31)
+    for cells in (1, 70, 300, 1 << 14):
+        monkeypatch.setattr(neardup, "_CELLS", cells)
+        assert (neardup.band_keys(x, 7, 3) == key.view(np.int64)).all()
