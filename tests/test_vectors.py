@@ -98,3 +98,36 @@ def test_components(spark):
     random.Random(1).shuffle(links)
     got = {x.node: x.root for x in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert {k: v for k, v in got.items() if k != v} == {k: 0 for k in range(1, 301)} | {900: 500, 700: 500} | {1000 + k: 1000 for k in range(1, 200)}
+
+
+def test_frequent_terms_are_those_of_a_plain_count(spark):
+    """Only pairs of words that may be listed are counted; nothing else is lost, ties included."""
+    import random
+    from collections import Counter
+
+    from threadmill.operators import similarity
+
+    r = random.Random(4)
+    rows = [[f"w{int(r.paretovariate(0.8)) % 40}" for _ in range(r.randint(0, 12))] for _ in range(120)]
+    d = spark.createDataFrame([(w, [f"{x} {y}" for x, y in zip(w, w[1:])]) for w in rows], "w array<string>, ww array<string>")
+    n = Counter(t for w in rows for t in [*w, *(f"{x} {y}" for x, y in zip(w, w[1:]))])
+    for features in (1, 5, 20, 30, 5000):
+        assert similarity.frequent_terms(d, features) == sorted(n, key=lambda t: (-n[t], t))[:features]
+
+
+def test_cluster_terms_are_means_of_a_cluster(spark):
+    from pyspark.sql import functions as F
+
+    from threadmill.operators import similarity
+
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(["uno dos tres cuatro", "uno dos tres", None, "red green blue", "green blue red", "blue green"])], "seq int, text string")
+    c = similarity.kmeans(d, 2)
+    sums = {}
+    rows = c.select("cluster", "features").collect()
+    size = {k: sum(r.cluster == k for r in rows) for k in {r.cluster for r in rows}}
+    for r in rows:
+        for i, x in zip(r.features.indices.tolist(), r.features.values.tolist()):
+            sums[r.cluster, c.vocabulary[i]] = sums.get((r.cluster, c.vocabulary[i]), 0) + x
+    got = {(r.cluster, r.term): r.weight for r in similarity.cluster_terms(c, top=50).collect()}
+    assert len(rows) == 5 and got.keys() == {k for k, x in sums.items() if x > 0}
+    assert all(abs(got[k] - sums[k] / size[k[0]]) < 1e-9 for k in got)

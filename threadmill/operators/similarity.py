@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import IDF, CountVectorizerModel, NGram, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadmill.functions.numbers import rounded
 from threadmill.functions.text import cosine, jaccard, words
 from threadmill.operators import neardup, setjoin, vectors
+from threadmill.session import forget, written
 
 
 def exact(df: DataFrame, id_col: str = "seq") -> DataFrame:
@@ -83,12 +85,29 @@ def kmeans(df: DataFrame, k: int = 10, features: int = 1000, language: str = "sp
     tokens = Pipeline(stages=[RegexTokenizer(inputCol="text", outputCol="raw", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2), StopWordsRemover(inputCol="raw", outputCol="w", stopWords=StopWordsRemover.loadDefaultStopWords(language)), NGram(n=2, inputCol="w", outputCol="ww")])
     d = df.where("text is not null")
     d = tokens.fit(d).transform(d).withColumn("terms", F.concat("w", "ww"))
-    model = Pipeline(stages=[CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=features), IDF(inputCol="tf", outputCol="features"), KMeans(k=k, seed=seed, predictionCol="cluster")]).fit(d)
-    out = model.transform(d).drop("raw", "w", "ww", "terms", "tf")
-    out.vocabulary = model.stages[0].vocabulary
+    counter = CountVectorizerModel.from_vocabulary(frequent_terms(d, features), inputCol="terms", outputCol="tf")
+    counted = written(counter.transform(d).select("tf"), "counts")
+    model = Pipeline(stages=[IDF(inputCol="tf", outputCol="features"), KMeans(k=k, seed=seed, predictionCol="cluster")]).fit(counted)
+    forget(counted)
+    out = model.transform(counter.transform(d)).drop("raw", "w", "ww", "terms", "tf")
+    out.vocabulary = counter.vocabulary
     return out
 
 
+def frequent_terms(d: DataFrame, features: int) -> list[str]:
+    """The most frequent of the words ``w`` and word pairs ``ww`` of all rows, ties in alphabetical order. A pair is no more frequent than its words, so only pairs of two words that may be listed themselves are counted."""
+    count = lambda terms: terms.groupBy("term").agg(F.count("*").alias("n"))
+    top = lambda terms: terms.orderBy(F.desc("n"), "term").limit(features)
+    single = written(count(d.select(F.explode("w").alias("term"))), "words")
+    best = top(single).collect()
+    held = written(single.where(F.col("n") >= (best[-1].n if len(best) == features else 1)).select("term"), "frequent")
+    pairs = d.select(F.explode("ww").alias("term")).withColumns({"x": F.substring_index("term", " ", 1), "y": F.substring_index("term", " ", -1)})
+    pairs = pairs.join(held.withColumnRenamed("term", "x"), "x", "left_semi").join(held.withColumnRenamed("term", "y"), "y", "left_semi")
+    found = [r.term for r in top(single.unionByName(count(pairs.select("term")))).collect()]
+    forget(single, held)
+    return found
+
+
 def silhouette(df: DataFrame, cluster: str = "cluster", noise: int = -1) -> float:
     return ClusteringEvaluator(predictionCol=cluster, distanceMeasure="cosine").evaluate(df.where(F.col(cluster) != noise))
 
@@ -127,9 +146,8 @@ def group_samples(df: DataFrame, group: str, order: str, first: int = 3) -> Data
 def cluster_terms(clustered: DataFrame, cluster: str = "cluster", top: int = 10) -> DataFrame:
     """The ``top`` terms of each cluster by mean weight: ``rank``, ``term`` and ``weight``; ties in alphabetical order. clustered: what ``kmeans`` returns, whose vocabulary has some thousand terms at most."""
     names = F.broadcast(clustered.sparkSession.createDataFrame([*enumerate(clustered.vocabulary)], "at int, term string"))
-    values = clustered.select(cluster, F.posexplode(vector_to_array("features")).alias("at", "weight")).where("weight > 0").join(names, "at")
-    n = clustered.groupBy(cluster).agg(F.count("*").alias("rows"))
-    mean = values.groupBy(cluster, "term").agg(F.sum("weight").alias("w")).join(F.broadcast(n), cluster).select(cluster, "term", (F.col("w") / F.col("rows")).alias("weight"))
+    means = clustered.groupBy(cluster).agg(vector_to_array(Summarizer.mean(F.col("features"))).alias("m"))
+    mean = means.select(cluster, F.posexplode("m").alias("at", "weight")).where("weight > 0").join(names, "at").select(cluster, "term", "weight")
     rank = F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("weight"), "term"))
     return mean.withColumn("rank", rank).where(F.col("rank") <= top)
 
