@@ -31,8 +31,7 @@ def test_random_pairs_leave_no_task(spark):
     r = random.Random(3)
     rows = [(i, [f"w{r.randint(0, 2000)}" for _ in range(60)]) for i in range(400)]
     df = spark.createDataFrame([(i, sorted({*w})) for i, w in rows] + [(1000, sorted({*rows[0][1], "other"}))], "id long, w array<string>")
-    hashed = df.selectExpr("id", "unhex(md5(array_join(w, ' '))) AS k", "transform(w, x -> xxhash64(x)) AS h")
-    found = setjoin.candidates(setjoin.prefixes(hashed, 0.7), 0.7)
+    found = setjoin.candidates(setjoin.prefixes(setjoin.keyed(df), 0.7), 0.7)
     assert (0, 1000) in {(x.a, x.b) for x in found.collect()} and found.count() < 20
 
 
@@ -41,3 +40,22 @@ def test_empty_and_texts(spark):
     assert similarity.jaccard_pairs(none, 0.7).count() == 0
     some = spark.createDataFrame([("b", "X y z v"), ("a", "x y z w v"), ("c", "v z y x"), ("d", None)], "seq string, text string")
     assert [tuple(x) for x in similarity.jaccard_pairs(some, 0.7).collect()] == [("a", "b", 0.8)]
+
+
+def test_minhash_drops_no_pair_that_is_similar(spark):
+    """With enough bands of one hash all pairs meet: what sizes and parities rule out has too low a similarity, and copies hang on the first."""
+    r = random.Random(9)
+    base = [[f"w{r.randint(0, 9999)}" for _ in range(n)] for n in (3, 20, 150, 700, 2000)]
+    sets = {}
+    for words in base:
+        for rate in (0, 0.05, 0.1, 0.15, 0.2, 0.4):
+            sets[len(sets)] = frozenset(w if r.random() >= rate else f"n{r.randint(0, 99999)}" for w in words)
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(s, i)
+    want = plain({i: s for s, i in first.items()}, 0.7)
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()] + [(100, sorted(sets[0]))], "id long, w array<string>")
+    got = {(x.a, x.b): x.similarity for x in setjoin.minhash(df, 0.7, 60, 1).collect()}
+    assert len(want) > 10 and {k for k in got if got[k] < 1} == want and got[0, 100] == 1
+    hashed = setjoin.keyed(df)
+    assert hashed.columns == ["id", "k", "h"], "no text goes to where bands meet"
