@@ -62,26 +62,23 @@ def mask_map(c: Column) -> Column:
 
 
 def _masked(v: Column, levels: int) -> Column:
-    """A variant, whose objects are walked down so many levels."""
-    if levels == 0:
-        return v
-    is_a = lambda x, kind: F.startswith(F.schema_of_variant(x), F.lit(kind))
+    """A variant's object, walked down so many levels, and null for other variants. What a value is shows in whether it can be taken as a map or a list, so that no value is walked to its leaves on each level to name its type."""
+    as_a = lambda x, kind: F.try_variant_get(x, "$", kind)
 
     def item(x: Column) -> Column:
-        return F.when(is_a(x, "OBJECT"), _masked(x, levels - 1)).otherwise(x)
+        return x if levels == 1 else F.coalesce(_masked(x, levels - 1), x)
 
     def value(k: Column, x: Column) -> Column:
         secret = k.rlike(_SECRET_KEY) & (F.schema_of_variant(x) == "STRING")
-        listed = F.to_variant_object(F.transform(x.cast("array<variant>"), item))
-        return F.when(secret, mask_credential(F.try_variant_get(x, "$", "string")).cast("variant")).when(is_a(x, "ARRAY"), listed).otherwise(item(x))
+        listed = F.to_variant_object(F.transform(as_a(x, "array<variant>"), item))
+        return F.when(secret, mask_credential(as_a(x, "string")).cast("variant")).otherwise(F.coalesce(listed, item(x)))
 
-    return F.to_variant_object(F.transform_values(v.cast("map<string,variant>"), value))
+    return F.to_variant_object(F.transform_values(as_a(v, "map<string,variant>"), value))
 
 
 def mask_json(c: Column, levels: int = 5) -> Column:
     """A JSON object as text in which strings under keys that name a secret are masked, in objects within objects and lists down to ``levels`` of objects; what lies below, and lists within lists, stays. Keys come out in alphabetical order; text that is no JSON object gives null, as nothing can be said of it."""
-    v = F.try_parse_json(c)
-    return F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.to_json(_masked(v, levels)))
+    return F.to_json(_masked(F.try_parse_json(c), levels))
 
 
 def name_error(c: Column) -> Column:
