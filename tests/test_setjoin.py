@@ -35,6 +35,17 @@ def test_random_pairs_leave_no_task(spark):
     assert (0, 1000) in {(x.a, x.b) for x in found.collect()} and found.count() < 20
 
 
+def test_pairs_that_share_half_leave_no_task(spark):
+    """Sets of 60 of the same 90 words meet in their prefixes, all with all, but differ by far too much."""
+    r = random.Random(5)
+    rows = [(i, sorted(r.sample([f"w{k}" for k in range(90)], 60))) for i in range(200)]
+    rows += [(1000 + i, sorted({*w[1:], "other"})) for i, w in rows[:50]]
+    df = spark.createDataFrame(rows, "id long, w array<string>")
+    want = plain({i: {*w} for i, w in rows}, 0.7)
+    found = {(x.a, x.b) for x in setjoin.candidates(setjoin.prefixes(setjoin.keyed(df), 0.7), 0.7).collect()}
+    assert want <= found and len(want) >= 50 and len(found) < len(want) + 200
+
+
 def test_empty_and_texts(spark):
     none = spark.createDataFrame([(1, None), (2, " ")], "seq string, text string")
     assert similarity.jaccard_pairs(none, 0.7).count() == 0
