@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadmill.llm.bpe import ByteBpe
+from threadmill.llm.bpe import ByteBpe, _byte_symbols
 from threadmill.llm.common import byte_slices, scratch_uri
 
 _HEAD = "<Bq"
@@ -46,32 +46,20 @@ class LibraryBpe(ByteBpe):
 
         super().__init__(path)
         del self.rank, self.merged, self.pair, self.pair_rank, self.first_array, self.merged_array
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.model = Tokenizer.from_file(path).model
+        self.symbols = {byte: symbol for symbol, byte in _byte_symbols().items()}
 
     def merge_all(self, words: list[bytes]) -> list[bytes]:
-        """Words of a space and letters go to the library many at a time, as one text whose words it numbers; others one by one."""
-        texts = [w.decode() for w in words]
-        out: list[bytes] = [b""] * len(words)
-        plain = [i for i, t in enumerate(texts) if t[0] == " " and t[1:].isalpha()]
-        runs = [plain[at : at + 256] for at in range(0, len(plain), 256)]
-        single = sorted({*range(len(texts))} - {*plain})
-        for at in range(0, len(runs), 16):
-            some = runs[at : at + 16]
-            for run, x in zip(some, self.library.encode_batch(["".join(texts[i] for i in run) for run in some], add_special_tokens=False)):
-                cuts = np.searchsorted(np.array(x.word_ids), np.arange(len(run) + 1)).tolist()
-                if x.word_ids[-1] + 1 != len(run):
-                    single += run
-                    continue
-                ids = array("I", x.ids).tobytes()
-                for i, a, b in zip(run, cuts, cuts[1:]):
-                    out[i] = ids[4 * a : 4 * b]
-        for at in range(0, len(single), 4096):
-            some = single[at : at + 4096]
-            for i, x in zip(some, self.library.encode_batch_fast([texts[i] for i in some], add_special_tokens=False)):
-                out[i] = array("I", x.ids).tobytes()
-        return out
+        """The library's model alone: the words are cut already, and what else the library does to a text costs more than its merges."""
+        texts = b"\0".join(words).decode("latin-1").translate(self.symbols).split(self.symbols[0])
+        if len(texts) != len(words):
+            texts = [w.decode("latin-1").translate(self.symbols) for w in words]
+        tokenize, ids, ends = self.model.tokenize, array("I"), [0]
+        for text in texts:
+            ids.extend([x.id for x in tokenize(text)])
+            ends.append(4 * len(ids))
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
 
 @lru_cache(1)
