@@ -131,3 +131,31 @@ def test_cluster_terms_are_means_of_a_cluster(spark):
     got = {(r.cluster, r.term): r.weight for r in similarity.cluster_terms(c, top=50).collect()}
     assert len(rows) == 5 and got.keys() == {k for k, x in sums.items() if x > 0}
     assert all(abs(got[k] - sums[k] / size[k[0]]) < 1e-9 for k in got)
+
+
+def test_connected_parts_read_each_row_once():
+    """Parts of random matrices and of a path, where a pass over the whole matrix for every step would read it 400 times."""
+    class Counted(np.ndarray):
+        read = 0
+
+        def __getitem__(self, at):
+            out = super().__getitem__(at)
+            Counted.read += out.size
+            return out
+
+    r = np.random.default_rng(4)
+    path = np.eye(400, dtype=bool) | np.eye(400, k=1, dtype=bool)
+    for near, root in [(path, np.arange(400)), *((r.random((60, 50)) < share, r.integers(0, 40, 60)) for share in (0, 0.005, 0.02, 0.5, 1))]:
+        Counted.read = 0
+        got = {(frozenset(i.tolist()), frozenset(j.tolist())) for i, j in vectors._reached(near.view(Counted), root)}
+        assert Counted.read <= 2 * near.size + 4 * sum(near.shape)  # the flags of rows are counted as well
+        label = np.arange(sum(near.shape))
+        links = [(i, len(root) + j) for i, j in zip(*np.nonzero(near))] + [(i, k) for i in np.flatnonzero(near.any(1)) for k in np.flatnonzero(near.any(1)) if root[i] == root[k]]
+        for _ in range(len(label)):
+            before = label.copy()
+            for u, v in links:
+                label[u] = label[v] = min(label[u], label[v])
+            if (label == before).all():
+                break
+        want = {(frozenset(i for i in np.flatnonzero(label == x).tolist() if i < len(root)), frozenset(i - len(root) for i in np.flatnonzero(label == x).tolist() if i >= len(root))) for x in {label[u] for u, _ in links}}
+        assert got == want

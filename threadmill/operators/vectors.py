@@ -101,7 +101,7 @@ def counts(left: DataFrame, right: DataFrame, least: float, **tiles: int) -> Dat
     def each(own: Side, products: Iterator) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(own[0]), np.int64)
         for _, near in products:
-            n += np.count_nonzero(near >= least, axis=1)
+            n += np.bitwise_count(np.packbits(near >= least, axis=1)).sum(1, dtype=np.int64)
         yield _batch(id=own[0], n=n)
 
     return tiled(_tagged(left), _tagged(right), each, "id bigint, n bigint", **tiles).groupBy("id").agg(F.sum("n").alias("n"))
@@ -116,27 +116,48 @@ def smallest(left: DataFrame, right: DataFrame, least: float, tag: str = "id", e
             near = near >= least
             if earlier:
                 near &= ids[None, :] < own[0][:, None]
-            m = np.minimum(m, np.where(near, tags[None, :], _NONE).min(1))
+            order = np.argsort(tags)
+            near = np.take(near, order, axis=1)
+            first = near.argmax(1)
+            m = np.minimum(m, np.where(near[np.arange(len(m)), first], tags[order][first], _NONE))
         found = m != _NONE
         yield _batch(id=own[0][found], m=m[found])
 
     return tiled(_tagged(left), _tagged(right, tag), each, "id bigint, m bigint", **tiles).groupBy("id").agg(F.min("m").alias("m"))
 
 
+def _reached(near: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and columns of each connected part of a matrix of links, where rows with one root are connected as well. Every row and every column is read once or twice, however they are linked."""
+    live, open_ = near.any(1), np.ones(near.shape[1], bool)
+    _, group = np.unique(root, return_inverse=True)
+    asked = np.zeros(group.max(initial=-1) + 1, bool)
+    for i in np.flatnonzero(live).tolist():
+        if not live[i]:
+            continue
+        rows, columns, new = [], [], np.array([i])
+        while len(new):
+            asked[:] = False
+            asked[group[new]] = True
+            new = np.flatnonzero(asked[group] & live)
+            live[new] = False
+            rows.append(new)
+            met = np.flatnonzero(near[new].any(0) & open_)
+            open_[met] = False
+            columns.append(met)
+            new = np.flatnonzero(near[:, met].any(1) & live)
+        yield np.concatenate(rows), np.concatenate(columns)
+
+
 def forest(rows: DataFrame, least: float, **tiles: int) -> DataFrame:
     """Links ``u``, ``v`` that connect what the near pairs of ``rows`` connect; at most as many from a product as it has rows and columns."""
 
     def each(own: Side, products: Iterator) -> Iterator[pa.RecordBatch]:
         root = own[0].copy()
         for (ids, _, _), near in products:
-            near = near >= least
-            before, other = root.copy(), ids.copy()
-            while True:
-                there = np.minimum(other, np.where(near, root[:, None], _NONE).min(0))
-                here = np.minimum(root, np.where(near, there[None, :], _NONE).min(1))
-                if (there == other).all() and (here == root).all():
-                    break
-                other, root = there, here
+            before, other = root, ids.copy()
+            root = root.copy()
+            for i, j in _reached(near >= least, root):
+                other[j] = root[i] = min(root[i].min(), ids[j].min())
             u, v = np.concatenate((before, ids)), np.concatenate((root, other))
             links = np.unique(np.stack((u, v))[:, u != v], axis=1)
             changed = root != before
