@@ -125,3 +125,33 @@ def test_one_write_into_many_folders(spark, tmp_path, fmt):
         else:
             rows += [(r.id, r.said or None) for r in spark.read.parquet(str(p)).collect()]
     assert sorted(rows) == sorted((r[0], r[2] or None) for r in ROWS)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_many_documents_are_what_json_dump_writes(spark, tmp_path, parts):
+    """Batches that end within a document, heads without rows, rows without a head, and strings that need escapes."""
+    odd = "a\"b\\c\\u000B\n\r\t\b\f\x00\x0b\x1f\x7f/\u2028é漢😀"
+    rows = [(f"d{i % 3}", i, odd if i % 2 else None, i % 5 == 0, f"v{i}") for i in range(50)] + [("lost", 1, "x", True, "v"), (None, 2, "y", None, None)]
+    df = spark.createDataFrame(rows, 'account string, id long, `the "text"` string, flag boolean, file string').repartition(parts)
+    heads = spark.createDataFrame([(f"d{i}", f'{{"n": {i}}}', f"copy{i}" if i else None) for i in range(4)], "file string, head string, copy string")
+    own = [c for c in df.columns if c != "account"]
+    want = {f"d{i}": {"n": i, "rows": [dict(zip(own, r[1:])) for r in rows if r[0] == f"d{i}"]} for i in range(4)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        documents.write_documents(heads, documents.objects(df, F.col("account"), own, ["id"], 2, documents.level({}, 2)), str(tmp_path), "rows")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["copy1", "copy2", "copy3", "d0", "d1", "d2", "d3"]
+    for i in range(4):
+        text = json.dumps(want[f"d{i}"], indent=2, ensure_ascii=False)
+        assert (tmp_path / f"d{i}").read_bytes().decode() == text and (not i or (tmp_path / f"copy{i}").read_bytes().decode() == text)
+
+
+def test_flat_rows_of_many_documents_need_no_python_and_one_shuffle(spark, tmp_path, monkeypatch):
+    """Of account files, only heads pass a Python worker before the sink, and rows are shuffled by their file once."""
+    saved = []
+    monkeypatch.setattr(documents, "_save", lambda df, *a, **k: saved.append(df._jdf.queryExecution().sparkPlan().toString()))
+    comments = spark.createDataFrame([("acc1", "k", 3, None)], "account_id string, id string, likes long, parent_id long")
+    head = results.account_document(comments.withColumn("comments_count", F.lit(1)), comments, "account_id").withColumns({"platform": F.lit("x"), "extracted_at": F.lit("t")})
+    documents.account_files(head, comments, "account_id", str(tmp_path), F.lit("2024-02-01").cast("date"), ["id"])
+    assert saved[0].count("MapInArrow") == 1 and saved[0].count("Join") == 1
