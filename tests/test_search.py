@@ -1,7 +1,10 @@
 """Stems of known words, and searches that read their own buckets."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from threadmill.functions import stems
 from threadmill.functions.stems import stem
 from threadmill.operators import search
 
@@ -38,3 +41,20 @@ def test_search_reads_its_buckets(spark, tmp_path):
     assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0] and "PushedFilters" in plan
     assert len({r.f.rsplit("/", 2)[-2] for r in search.hits(spark, path, ["niña"]).select(F.input_file_name().alias("f")).collect()}) == 1
     search.build(df.limit(0), f"{tmp_path}/none")
+
+
+def test_an_index_shuffles_words_once_and_stems_once(spark):
+    """Beside the table of distinct words; nothing is sorted for a join, and no word is counted before its stem is known."""
+    df = spark.createDataFrame([(1, "niños niño niño"), (1, "niña"), (2, None)], "seq long, text string")
+    dealt = search._dealt(df, 16, "seq", "text", 8)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3 and "SortMergeJoin" not in plan
+    assert [(r.stem, r.seq, r.n) for r in dealt.collect()] == [("niñ", 1, 4)] == [(r.stem, r.seq, r.n) for r in search.index(df).collect()]
+
+
+def test_branched_patterns_find_what_lists_of_suffixes_find():
+    lists = [stems.PRONOUNS, [*stems.ACCENTED, *stems.PLAIN, "yendo"], stems.STANDARD, stems.Y_VERBS, [*stems.SOFT_VERBS, *stems.VERBS], [*stems.RESIDUAL, *stems.RESIDUAL_E], ["iv"], ["a", "ab", "abc"]]
+    every = [f"{head}{s}{tail}" for x in lists for s in x for head in ("", "x", "canta") for tail in ("", "x", "s")]
+    for x in lists:
+        a, b = re.compile(stems.either(x)), re.compile(stems.branched(x))
+        assert all((m and m.group()) == (n and n.group()) for w in every for m, n in [(a.search(w), b.search(w))])
