@@ -75,3 +75,20 @@ def test_band_keys_are_the_minima_of_each_function(monkeypatch):
     for cells in (1, 70, 300, 1 << 14):
         monkeypatch.setattr(neardup, "_CELLS", cells)
         assert (neardup.band_keys(x, 7, 3) == key.view(np.int64)).all()
+
+
+def test_no_link_is_left_out(spark):
+    """Sets that are alike but share no band, or meet only under smallest ids that are like neither, are linked all the same: the result is the plain search's."""
+    r = random.Random(11)
+    rows = []
+    for _ in range(150):
+        base = r.sample(range(4000), 30)
+        for _ in range(3):  # 27 of 33 words in common at most, 0.7 and little more in most pairs
+            rows.append((len(rows), " ".join(f"w{w}" for w in [*r.sample(base, 27), *r.sample(range(4000, 90_000), r.choice([2, 3]))])))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "seq long, text string").repartition(4)
+    want, pairs = plain_groups(rows, 0.7)
+    assert len(pairs) > 100
+    assert {x.seq: x.group for x in similarity.minhash_groups(df, 0.7).collect()} == want
+    few = {x.seq: x.group for x in similarity.minhash_groups(df, 0.7, bands=1, rows=8).collect()}
+    assert few == want, "whatever the bands miss, the join finds"
