@@ -70,3 +70,61 @@ def test_minhash_drops_no_pair_that_is_similar(spark):
     assert len(want) > 10 and {k for k in got if got[k] < 1} == want and got[0, 100] == 1
     hashed = setjoin.keyed(df)
     assert hashed.columns == ["id", "k", "h"], "no text goes to where bands meet"
+
+
+def copies(r, groups, most):
+    """Sets of which some are changed copies of others, a first group of so many."""
+    sets = {}
+    for g in range(groups):
+        base = [f"w{r.randint(0, 9999)}" for _ in range(r.choice([8, 40, 300, 600]))]
+        for _ in range(most if g == 0 else r.choice([1, 2, 5])):
+            rate = r.choice([0.01, 0.05, 0.1])
+            sets[len(sets)] = frozenset(w if r.random() > rate else f"n{r.randint(0, 99_999)}" for w in base)
+    return sets
+
+
+def test_prefixes_leave_out_words_that_occur_once(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c", "own"]), (2, ["a", "b", "c", "other"]), (3, ["lonely"])], "id long, w array<string>")
+    assert {x.id: len(x.p) for x in setjoin.prefixes(setjoin.keyed(df), 0.5).collect()} == {1: 2, 2: 2, 3: 0}
+
+
+def test_a_set_goes_to_few_tiles(spark, monkeypatch):
+    """The check of a large group's pairs, in tiles of any size, is the plain search's, and no join carries the words of a pair's sets."""
+    sets = copies(random.Random(13), 20, 60)
+    rows = {s: i for i, s in reversed(sets.items())}
+    want = plain({i: s for s, i in rows.items()}, 0.7)
+    df = spark.createDataFrame([(i, " ".join(s)) for i, s in sets.items()], "id long, text string").repartition(3)
+    for pairs, most, words in ((1 << 17, 1 << 12, 1 << 22), (50, 7, 1), (1000, 4, 5000)):
+        monkeypatch.setattr(setjoin, "_PAIRS", pairs)
+        monkeypatch.setattr(setjoin, "_SETS", most)
+        monkeypatch.setattr(setjoin, "_CHECKED", words)
+        found = setjoin.pairs(df, 0.7, block=3000, slice_=3000)
+        got = {(x.a, x.b): x.similarity for x in found.collect()}
+        assert got.keys() == want and len(want) > 500
+        assert all(got[a, b] == len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in want)
+        assert "array_intersect" not in found._jdf.queryExecution().toString()
+
+
+def test_ids_that_are_shared_and_long_sets(spark):
+    """Every set of an id counts, and sets of some thousand words have parities of their own length."""
+    r = random.Random(17)
+    long = [f"w{k}" for k in range(3000)]
+    some = [r.sample(long, 2700) for _ in range(6)]
+    df = spark.createDataFrame([("a", "x y z v"), ("a", " ".join(some[0])), ("b", "v z y x u"), ("b", "p q r"), *[(f"c{i}", " ".join(x)) for i, x in enumerate(some[1:])], (None, "x y z"), ("d", None), ("e", " \n")], "id string, text string")
+    got = {(x.a, x.b) for x in setjoin.pairs(df, 0.7).collect()}
+    assert got == {("a", "b")} | {(x, y) for x in ("a", *[f"c{i}" for i in range(5)]) for y in [f"c{i}" for i in range(5)] if x < y}
+
+
+def test_hashed_texts_have_the_words_of_the_column_function(spark):
+    from pyspark.sql import functions as F
+
+    from threadmill.functions.text import words
+
+    texts = ["A b a", " lead and\ttrail\x0b\x0c\r\n", "ÜBER über x İ ΟΔΟΣ", "x" * 63 + " " + "x" * 64 + " " + "x" * 65 + " " + "x" * 66, "a b", "ab ba aab \x1c\x85", "﻿ 1 2 3", "ß SS ss", None, "", "\t "]
+    df = spark.createDataFrame([*enumerate(texts)], "id long, text string").repartition(1)
+    want = {x.id: [str(w) for w in x.w] for x in df.select("id", words(F.col("text")).alias("w")).collect() if x.w}
+    got = {x.id: x.h for x in setjoin.texts(df).collect()}
+    assert got.keys() == want.keys()
+    hashes = lambda w: int(setjoin.word_hashes([w.encode()])[0].astype("int64")[0])
+    assert all({hashes(w) for w in want[i]} == set(h) and len(h) == len(want[i]) for i, h in got.items())
+    assert len({hashes(w) for x in want.values() for w in x}) == len({w for x in want.values() for w in x})
