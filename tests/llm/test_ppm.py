@@ -109,3 +109,19 @@ def test_adaptive_code_length(spark):
             bits -= math.log2(book.p(s[k - ppm.ORDER : k], s[k]))
             book.learn(s[k - ppm.ORDER : k + 1])
         assert got[i].n_symbols == len(s) - ppm.ORDER and math.isclose(got[i].bits, bits, rel_tol=1e-9)
+
+
+def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
+    """By the size of their files even these tables would be; only contexts of one or two bytes may be."""
+    plans, write = {}, ppm.materialise
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(ppm, "materialise", seen)
+    df = spark.createDataFrame([(i, f"some words of text {i} and some more") for i in range(50)], "doc_id long, text string")
+    done = ppm.tenth_held_out(df)
+    assert done.count() == 50
+    assert all(plans[name].count("BroadcastHashJoin") <= most for name, most in (("trie", 2), ("runs", 0), ("words", 0)))
+    assert "SortMergeJoin" in plans["trie"] and "SortMergeJoin" in plans["runs"] and "SortMergeJoin" in plans["words"]

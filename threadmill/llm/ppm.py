@@ -169,6 +169,11 @@ def blocks(df: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataF
     return df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")), held_out).mapInArrow(run, schema)
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """For joins with tables that grow with the corpus: their files are many times smaller than their rows in memory, so that Spark would broadcast them by the size of the files."""
+    return df.hint("merge")
+
+
 def _log(x: str) -> Column:
     return F.log10(F.expr(x))
 
@@ -184,7 +189,8 @@ def trie(counted: DataFrame) -> DataFrame:
     now = now.withColumn("s", F.expr("case when t = 0 then -log10(256) when n > 0 then log10(n) - log10(t + d) else log10(d) - log10(t + d) + u end"))
     for k in range(1, ORDER + 1):
         below = now.select(F.col("gram").alias("g1"), F.col("n").alias("n1"), F.col("t").alias("t1"), F.col("d").alias("d1"), F.col("u").alias("u1"), F.col("s").alias("s1"))
-        now = levels[k].join(below, F.expr(f"gram & {(1 << 8 * k) - 1}L") == F.col("g1"))
+        # Contexts of one or two bytes are 65 536 at most.
+        now = (levels[k] if k <= 2 else _sorted(levels[k])).join(below if k <= 2 else _sorted(below), F.expr(f"gram & {(1 << 8 * k) - 1}L") == F.col("g1"))
         context = Window.partitionBy("context")
         now = now.withColumn("context", F.shiftright("gram", 8)).withColumns({"t": F.sum("n").over(context), "d": F.count(F.expr("nullif(n, 0)")).over(context), "x": F.sum(F.expr("if(n > 0, n1, 0)")).over(context)})
         # After an escape: what the longer context has seen is excluded; a escapes are left in b.
@@ -239,12 +245,12 @@ def scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: st
     grams, words, texts = of_kind(_GRAM), of_kind(_WORD), of_kind(_TEXT)
     counted = materialise(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     found = trie(counted)
-    runs_of = materialise(_packed(grams.select("block", "gram").join(found, "gram"), "gram", "log_p", _GRAM), "runs")
+    runs_of = materialise(_packed(_sorted(grams.select("block", "gram")).join(_sorted(found), "gram"), "gram", "log_p", _GRAM), "runs")
     discard(grams, counted, found)
     known = materialise(words.groupBy("word").agg(F.sum("n").alias("n")), "known")
     total = known.agg(F.sum("n").alias("n"), F.count(F.expr("nullif(n, 0)")).alias("v")).first()
     n, low = total.n or 0, (total.n or 0) + 0.1 * (total.v + 1)
-    words_of = materialise(_packed(words.select("block", "word").join(known, "word"), "word", "n", _WORD), "words")
+    words_of = materialise(_packed(_sorted(words.select("block", "word")).join(_sorted(known), "word"), "word", "n", _WORD), "words")
     discard(words, known)
 
     empty = lambda name, t: F.lit(None).cast(t).alias(name)
