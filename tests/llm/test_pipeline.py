@@ -105,3 +105,32 @@ def test_near_copies_edges(spark):
     left = nearcopies.dedup(df)
     assert left.columns == df.columns and sorted(str(x.doc_id) for x in left.collect()) == ["1", "3", "4", "5", "None"]
     assert nearcopies.dedup(df.limit(0)).count() == 0
+
+
+def test_no_near_copies_are_left(spark):
+    """Documents that are just similar enough share no band as often as not; none is left beside another, and nothing else is lost."""
+    r = random.Random(12)
+    rows = []
+    for _ in range(120):
+        base = [f"w{r.randint(0, 99_999)}" for _ in range(140)]
+        for k in range(3):  # three changed words in 140 cost 15 of 136 shingles
+            copy = list(base)
+            for at in (20, 70, 120)[:k and 2 + r.randint(0, 1)]:
+                copy[at + r.randint(-5, 5)] = f"n{r.randint(0, 99_999)}"
+            rows.append((len(rows), " ".join(copy)))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pairs = near_pairs(rows)
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    assert len(pairs) > 150
+    assert {x.id: x.group for x in nearcopies.groups(df).collect()} == {i: find(i) for i, _ in rows}
+    assert {x.doc_id for x in nearcopies.dedup(df).collect()} == {i for i, _ in rows if find(i) == i}

@@ -123,7 +123,7 @@ def test_hashed_texts_have_the_words_of_the_column_function(spark):
     texts = ["A b a", " lead and\ttrail\x0b\x0c\r\n", "ÜBER über x İ ΟΔΟΣ", "x" * 63 + " " + "x" * 64 + " " + "x" * 65 + " " + "x" * 66, "a b", "ab ba aab \x1c\x85", "﻿ 1 2 3", "ß SS ss", None, "", "\t "]
     df = spark.createDataFrame([*enumerate(texts)], "id long, text string").repartition(1)
     want = {x.id: [str(w) for w in x.w] for x in df.select("id", words(F.col("text")).alias("w")).collect() if x.w}
-    got = {x.id: x.h for x in setjoin.texts(df).collect()}
+    got = {x.id: x.h for x in setjoin.texts(df).of(df.select("id")).collect()}
     assert got.keys() == want.keys()
     hashes = lambda w: int(setjoin.word_hashes([w.encode()])[0].astype("int64")[0])
     assert all({hashes(w) for w in want[i]} == set(h) and len(h) == len(want[i]) for i, h in got.items())

@@ -41,10 +41,9 @@ def minhash_pairs(df: DataFrame, threshold: float = 0.7, bands: int = 16, rows:
 
 def minhash_groups(df: DataFrame, threshold: float = 0.7, bands: int = 25, rows: int = 5, id_col: str = "seq") -> DataFrame:
     """Every row with words, and ``group``: the smallest id of those that its word set is linked with at this similarity or more, directly or through others. MinHash bands find most links - with 25 bands of 5, 99 % of sets with similarity 0.7 meet in a band -, an exact join of the sets of different groups the others. Ids are whole numbers."""
-    texts = df.select(F.col(id_col).cast("long").alias("id"), "text")
-    hashed, of = setjoin.texts(texts), lambda ids: setjoin.texts(texts.join(ids, "id", "left_semi"))
-    found = neardup.linked(neardup.marked(hashed.select("id", F.col("h").alias("s")), bands, rows), lambda ids: of(ids).select("id", F.col("h").alias("s")), threshold)
-    return setjoin.whole(found, hashed, threshold, of).withColumnRenamed("id", id_col)
+    sets = setjoin.texts(df.select(F.col(id_col).cast("long").alias("id"), "text"))
+    found = neardup.linked(sets.marked(bands, rows), lambda ids: sets.of(ids).select("id", F.col("h").alias("s")), threshold)
+    return setjoin.whole(found, sets, threshold).withColumnRenamed("id", id_col)
 
 
 def similar_to(df: DataFrame, probes: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
